@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import over
 
 #: Entries of one generation of a worker's cache; two generations are held. Longer words are not kept.
-CACHE_WORDS, CACHE_BYTES = 400_000, 48
+CACHE_WORDS, CACHE_BYTES = 250_000, 48
 _NONE = np.int64(1) << 40
 
 
@@ -218,24 +218,27 @@ class WordCache:
 
     def documents(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text."""
-        split = [t.split() for t in texts]
-        need = set().union(*split).difference(self.young) if split else set()
-        long = {}
+        young, old = self.young, self.old
+        # the files handled here lower-case, so variants share an entry; special strings keep their case
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        found = [list(map(young.get, ws)) for ws in split]
+        need = {w for ws, ids in zip(split, found, strict=True) if None in ids for w, x in zip(ws, ids, strict=True) if x is None}
         if need:
-            old = self.old
-            new = [w for w in need if w not in old]
-            for w in need.difference(new):
-                self.young[w] = old[w]
-            for w, ids in zip(new, self.encode_words(new), strict=True):
-                (self.young if len(w) <= CACHE_BYTES else long)[w] = ids
-        young = self.young
-        if long:
-            out = [b"".join([long[w] if w in long else young[w] for w in ws]) for ws in split]
-        else:
-            out = [b"".join([young[w] for w in ws]) for ws in split]
-        if len(young) > self.limit:
-            self.old, self.young = young, {}
-        return out
+            fresh = {}
+            new = []
+            for w in need:
+                if (x := old.get(w)) is None:
+                    new.append(w)
+                else:
+                    fresh[w] = x
+            fresh.update(zip(new, self.encode_words(new), strict=True))
+            for ws, ids in zip(split, found, strict=True):
+                if None in ids:
+                    ids[:] = [fresh[w] if x is None else x for w, x in zip(ws, ids, strict=True)]
+            young.update(fresh if max(map(len, new), default=0) <= CACHE_BYTES else {w: x for w, x in fresh.items() if len(w) <= CACHE_BYTES})
+            if len(young) > self.limit:
+                self.old, self.young = young, {}
+        return [b"".join(ids) for ids in found]
 
 
 @functools.lru_cache(maxsize=1)

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,7 +114,7 @@ def steps(batch: pa.RecordBatch, text: str = "text", limit: int = STEP_BYTES) ->
     if not batch.num_rows:
         return
     col = batch.column(batch.schema.get_field_index(text))
-    n = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0)).astype(np.int64)
+    n = np.asarray(pc.fill_null(pc.binary_length(col), 0)).astype(np.int64)
     at, cum = 0, np.cumsum(n)
     while at < len(n):
         end = max(at + 1, int(np.searchsorted(cum, (cum[at - 1] if at else 0) + limit, "right")))
@@ -125,7 +126,7 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All UTF-8 bytes of a string column and the int64 offsets of its rows; null is empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    col = pa.compute.fill_null(col, "")
+    col = pc.fill_null(col, "")
     wide = pa.types.is_large_string(col.type)
     bufs = col.buffers()
     offs = np.frombuffer(bufs[1], np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)

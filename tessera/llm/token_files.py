@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,9 +42,35 @@ def library_tokenizer(path: str) -> tuple[object, WordCache, int]:
     tok.no_truncation()
     tok.no_padding()
 
+    ends = np.zeros(tok.get_vocab_size(), bool)
+    ends[[i for x, i in tok.get_vocab().items() if x.endswith("</w>")]] = True
+
+    def one_by_one(words: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in tok.encode_batch_fast(words, add_special_tokens=False)]
+
+    def joined(words: list[str], pieces: int) -> list[bytes]:
+        """Words of so many pre-tokens each, a thousand in a call: each pre-token's last id ends a word."""
+        out: list[bytes] = []
+        for lo in range(0, len(words), 1000):
+            part = words[lo : lo + 1000]
+            ids = np.array(tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(ends[ids]) + 1
+            if len(cut) != pieces * len(part):
+                out += one_by_one(part)
+                continue
+            raw, at = ids.tobytes(), [0, *(4 * cut[pieces - 1 :: pieces]).tolist()]
+            out += [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+        return out
+
     def encode_words(words: list[bytes]) -> list[bytes]:
-        got = tok.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in got]
+        kinds: tuple[list, list, list] = ([], [], [])
+        for w in words:
+            plain = w.isascii()
+            kinds[1 if plain and w.isalpha() else 2 if plain and w[-1] in b".,;:!?" and w[:-1].isalpha() else 0].append(w)
+        got = dict(zip(kinds[0], one_by_one([w.decode("utf-8", "replace") for w in kinds[0]]), strict=True))
+        for n in (1, 2):
+            got.update(zip(kinds[n], joined([w.decode() for w in kinds[n]], n), strict=True))
+        return [got[w] for w in words]
 
     return tok, WordCache(encode_words), tok.get_vocab_size()
 
@@ -68,7 +95,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
                     ends = n_tokens + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
                     ids_f.write(np.frombuffer(b"".join(ids), "<u4").astype(kind).tobytes())
                     idx_f.write(ends.astype("<i8").tobytes())
-                    doc_f.write(np.asarray(pa.compute.fill_null(rows.column(0), int(_NULL)), "<i8").tobytes())
+                    doc_f.write(np.asarray(pc.fill_null(rows.column(0), int(_NULL)), "<i8").tobytes())
                     n_docs, n_tokens = n_docs + len(ids), int(ends[-1])
         if n_docs:
             yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "n_docs": [n_docs], "n_tokens": [n_tokens], "width": [int(kind[2])]})
