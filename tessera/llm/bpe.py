@@ -16,6 +16,7 @@ doc_id stays null; repeated rows give repeated results; extra columns are ignore
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import hashlib
 import json
@@ -208,6 +209,22 @@ class SegmentTreeBPE:
         return b" ".join([s[i] for i in ids if i < n and s[i]]).decode()
 
 
+_COMMON = bytes([*b"abcdefghijklmnopqrstuvwxyz0123456789 \t\n\r\v\f,."])
+
+
+def spread(text: bytes) -> bytes:
+    """The text as the cache splits it. The files handled here lower-case, so variants share an entry; special strings keep
+    their case. Where a text has only letters, digits, white space and lone commas and points, each of those is a pre-token
+    of its own and is set apart."""
+    if b"<|" in text:
+        return text
+    text = text.lower()
+    odd = text.translate(None, _COMMON)
+    if odd and not odd.decode("utf-8", "replace").isalpha() or b",," in text or b".." in text or b".," in text or b",." in text:
+        return text
+    return text.replace(b",", b" , ").replace(b".", b" . ")
+
+
 class WordCache:
     """Ids by word, in two generations: the older one is dropped when the younger is full."""
 
@@ -219,10 +236,16 @@ class WordCache:
     def documents(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text."""
         young, old = self.young, self.old
-        # the files handled here lower-case, so variants share an entry; special strings keep their case
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        split = [spread(t).split() for t in texts]
         found = [list(map(young.get, ws)) for ws in split]
-        need = {w for ws, ids in zip(split, found, strict=True) if None in ids for w, x in zip(ws, ids, strict=True) if x is None}
+        gaps: list[tuple[list, int, bytes]] = []
+        for ws, ids in zip(split, found, strict=True):
+            i = -1
+            with contextlib.suppress(ValueError):
+                while True:
+                    i = ids.index(None, i + 1)
+                    gaps.append((ids, i, ws[i]))
+        need = {w for _, _, w in gaps}
         if need:
             fresh = {}
             new = []
@@ -232,9 +255,8 @@ class WordCache:
                 else:
                     fresh[w] = x
             fresh.update(zip(new, self.encode_words(new), strict=True))
-            for ws, ids in zip(split, found, strict=True):
-                if None in ids:
-                    ids[:] = [fresh[w] if x is None else x for w, x in zip(ws, ids, strict=True)]
+            for ids, i, w in gaps:
+                ids[i] = fresh[w]
             young.update(fresh if max(map(len, new), default=0) <= CACHE_BYTES else {w: x for w, x in fresh.items() if len(w) <= CACHE_BYTES})
             if len(young) > self.limit:
                 self.old, self.young = young, {}
