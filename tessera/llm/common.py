@@ -246,3 +246,59 @@ def ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new[1:] = start[1:] > end[:-1]
     at = np.flatnonzero(new)
     return start[at], end[np.append(at[1:] - 1, len(start) - 1)]
+
+
+# ---------------------------------------------------------------- packed exchange
+
+def buckets_for(docs: DataFrame, text: str = "text", each: int = 16 << 20) -> int:
+    """A power of two of hash ranges: about one for each 16 MB of text, 16 at least."""
+    n = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
+    return 1 << max(4, (n // each).bit_length())
+
+
+def split_by_bucket(keys: np.ndarray, n_buckets: int) -> Iterator[tuple[int, slice]]:
+    """Runs of sorted 64-bit keys that share their leading bits; n_buckets: a power of two."""
+    b = (keys >> np.uint64(65 - n_buckets.bit_length())).astype(np.int64) if n_buckets > 1 else np.zeros(len(keys), np.int64)
+    cut = np.flatnonzero(np.diff(b)) + 1
+    for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(b)], strict=True):
+        if hi > lo:
+            yield int(b[lo]), slice(lo, hi)
+
+
+BLOBS = "kind int, bucket int, data binary"
+
+
+def blobs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    kind, bucket, data = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_pydict({"kind": pa.array(kind, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "data": pa.array(data, pa.binary())})
+
+
+def reduce_blobs(df: DataFrame, n_buckets: int, schema: str, f: Callable[[int, dict[int, list[bytes]]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Brings the blobs of a bucket together and calls f(bucket, {kind: blobs}) once for each bucket.
+
+    A bucket is a range of hash values and mappers combine equal keys, so no bucket depends on how often one key occurs.
+    """
+
+    def run(batches):
+        at, held = None, {}
+        for batch in batches:
+            for kind, bucket, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if bucket != at:
+                    if held:
+                        yield from f(at, held)
+                    at, held = bucket, {}
+                held.setdefault(kind, []).append(data)
+        if held:
+            yield from f(at, held)
+
+    return df.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+
+def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted distinct keys and the sums of their values."""
+    if not len(keys):
+        return keys, *values
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], *(np.add.reduceat(v[order], first, dtype=v.dtype) for v in values)
