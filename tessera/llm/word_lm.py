@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,6 +113,7 @@ def train(docs: DataFrame) -> Model:
     path = local_path(where)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for part in steps(batch, limit=_STEP):
                 h, rows = tokens(part)
@@ -124,15 +126,17 @@ def train(docs: DataFrame) -> Model:
                 first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
                 c = np.diff(np.append(first, len(key))).astype(np.uint32)
                 key, a, b2 = key[first], a[order][first], b2[order][first]
-                five = lambda x: np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+                five = lambda x: np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :5]
                 for b, s in split_by_bucket(key, n):
-                    more = np.flatnonzero(c[s] > 1).astype(np.uint32)
-                    out.append((1, b, np.uint32(s.stop - s.start).tobytes() + np.uint32(len(more)).tobytes() + more.tobytes() + c[s][more].tobytes() + five(a[s]) + five(b2[s])))
+                    by_first = s.start + np.argsort(a[s])  # sorted and byte by byte, first words take little room
+                    more = np.flatnonzero(c[by_first] > 1).astype(np.uint32)
+                    raw = np.uint32(s.stop - s.start).tobytes() + np.uint32(len(more)).tobytes() + more.tobytes() + c[by_first][more].tobytes() + five(a[by_first]).reshape(-1, 5).T.tobytes() + five(b2[by_first]).tobytes()
+                    out.append((1, b, packer.compress(raw)))
                 yield blobs(out)
 
     def eight(raw: np.ndarray) -> np.ndarray:
-        wide = np.zeros((len(raw) // 5, 8), np.uint8)
-        wide[:, :5] = raw.reshape(-1, 5)
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, :5] = raw
         return wide.view(np.uint64).ravel()
 
     def store(bucket: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
@@ -146,15 +150,16 @@ def train(docs: DataFrame) -> Model:
         _save(f"{path}/word-{bucket}", key=key, c=c)
         stats = [int(c.sum()), len(key)]
         a, b, c = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
-        for x in held.get(1, []):
+        unpacker = zstandard.ZstdDecompressor()
+        for x in map(unpacker.decompress, held.get(1, [])):
             k, m = np.frombuffer(x, np.uint32, 2).tolist()
             more, times = np.frombuffer(x, np.uint32, m, 8), np.frombuffer(x, np.uint32, m, 8 + 4 * m)
             own = np.ones(k, np.uint32)
             own[more] = times
             c.append(own)
             raw = np.frombuffer(x, np.uint8, 10 * k, 8 + 8 * m)
-            a.append(eight(raw[: 5 * k]))
-            b.append(eight(raw[5 * k :]))
+            a.append(eight(raw[: 5 * k].reshape(5, k).T))
+            b.append(eight(raw[5 * k :].reshape(k, 5)))
         a, b, c = np.concatenate(a), np.concatenate(b), np.concatenate(c)
         key = pair_hash(a, b)
         order = np.argsort(key, kind="stable")
