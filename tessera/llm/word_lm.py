@@ -173,12 +173,13 @@ def train(docs: DataFrame) -> Model:
         order = np.argsort(spread)
         spread, w = spread[order], w[order]
         sums = [x[order].astype(t) for x, t in zip(sums, _SIDE, strict=True)]
-        out = [(1, k, w[s].tobytes() + b"".join(x[s].tobytes() for x in sums)) for k, s in split_by_bucket(spread, n)]
+        pack = zstandard.ZstdCompressor(level=1).compress
+        out = [(1, k, pack(w[s].tobytes() + b"".join(x[s].tobytes() for x in sums))) for k, s in split_by_bucket(spread, n)]
         yield blobs([*out, (0, 0, np.array(stats, np.int64).tobytes())])
 
     def side(bucket: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
         ws, cols = [], [[] for _ in range(5)]
-        for x in held.get(1, []):
+        for x in map(zstandard.ZstdDecompressor().decompress, held.get(1, [])):
             k = len(x) // 32
             ws.append(np.frombuffer(x, np.uint64, k))
             for i, t in enumerate(_SIDE):
