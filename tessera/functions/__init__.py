@@ -1,0 +1 @@
+"""Scalar functions: sizes, shuffle keys, categoricals."""

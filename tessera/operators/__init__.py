@@ -1,0 +1 @@
+"""Relational operators: alignment of feature spaces, interval lookup, sparse rows, checks."""

@@ -1,2 +1,402 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Queries over the test tables, and the SQL each is held against.
+
+Dense matrix: ``embeddings``. Sparse matrix: ``lineitem`` summed by (order, part), with ``orders`` as rows and ``part`` as
+features. Sources with different features: orders by their customer's nation. Values are made whole numbers by a power of two
+(exact), so sums don't depend on their order.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from tessera.functions.categories import as_category, categories, encode, sort_keys, union_categories
+from tessera.functions.keys import hash_key
+from tessera.functions.sizes import round_down, rows_of
+from tessera.operators.align import make_unique
+from tessera.operators.checks import key_counts
+from tessera.operators.intervals import offsets, resolve
+from tessera.operators.sparse import indptr, rows_from_items, with_empty_rows
+from tessera.plans.blocks import BlockPlan, place
+from tessera.plans.chunks import ChunkPlan, worker_of
+from tessera.samplers import DistributedSampler, RandomSampler, SequentialSampler
+from tessera.types import Annotated
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _whole(x) -> F.Column:
+    """Sum of floor(1024 * value) over an array."""
+    return F.aggregate(F.transform(x, lambda v: F.floor(v.cast("double") * 1024).cast("long")), F.lit(0).cast("long"), lambda a, v: a + v)
+
+
+def dense(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("obs_id"), "label", F.col("embedding").alias("x"))
+
+
+def orders(spark, d, *columns) -> DataFrame:
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("obs_id"), *columns)
+
+
+def n_orders(spark, d) -> int:
+    return table(spark, d, "orders").count()
+
+
+def sparse(spark, d) -> DataFrame:
+    """obs_id, x: every order with its items, empty rows included."""
+    items = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    return with_empty_rows(orders(spark, d), rows_from_items(items, "l_orderkey", "l_partkey", "l_quantity").withColumnRenamed("l_orderkey", "obs_id"), "obs_id")
+
+
+# ---------------------------------------------------------------- batches
+
+_EMB = "e AS (SELECT vec_id, label, list_sum(list_transform(embedding, lambda v: CAST(floor(CAST(v AS DOUBLE) * 1024) AS BIGINT))) AS s FROM embeddings)"
+
+
+@query(f"WITH {_EMB} SELECT CAST(vec_id // 32 AS BIGINT) AS batch, count(*) AS n_rows, CAST(sum(s) AS BIGINT) AS value_sum FROM e GROUP BY 1")
+def seq_batches_dense(spark, d):
+    rows = dense(spark, d)
+    plan = SequentialSampler(64, 4, 32).plan(rows.count())
+    held = plan.rows(rows.select("obs_id", _whole(F.col("x")).alias("_s")))
+    return held.groupBy((F.col("request_id") * (plan.request_rows // 32) + F.col("batch_id")).alias("batch")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("_s").alias("value_sum"))
+
+
+def _chunk_sql(n: str, cs: int, preload: int, seed: str, start: int = 0) -> str:
+    """c(id, pos, a, b): chunks by running sums in row space; the last in the order is the short one."""
+    return f"""
+      k AS (SELECT i AS id, row_number() OVER (ORDER BY md5('{seed}:chunk:' || i), i) - 1 AS pos FROM range(CAST(ceil(({n}) / {cs}.0) AS BIGINT)) r(i)),
+      z AS (SELECT id, pos, CASE WHEN pos = (SELECT max(pos) FROM k) THEN ({n}) - {cs} * (SELECT max(pos) FROM k) ELSE {cs} END AS n FROM k),
+      c AS (SELECT id, pos, CAST({start} + sum(n) OVER (ORDER BY id) - n AS BIGINT) AS a, CAST({start} + sum(n) OVER (ORDER BY id) AS BIGINT) AS b, CAST(pos // {preload} AS BIGINT) AS req FROM z)"""
+
+
+def _random_sql(n: str, cs: int, preload: int, batch: int, seed: str) -> str:
+    return f"""WITH {_chunk_sql(n, cs, preload, seed)},
+      r AS (SELECT o_orderkey AS obs_id, c.pos, c.req FROM orders JOIN c ON o_orderkey >= c.a AND o_orderkey < c.b),
+      q AS (SELECT *, row_number() OVER (PARTITION BY req ORDER BY md5('{seed}:row:' || pos || ':' || obs_id), pos, obs_id) - 1 AS rk FROM r)
+      SELECT obs_id, pos AS chunk_pos, req AS request_id, CAST(rk // {batch} AS BIGINT) AS batch_id, CAST(rk % {batch} AS BIGINT) AS pos_in_batch FROM q"""
+
+
+@query(_random_sql("SELECT count(*) FROM orders", 512, 4, 256, "7"))
+def random_batches(spark, d):
+    plan = RandomSampler(512, 4, 256, rng=7).plan(n_orders(spark, d))
+    return plan.rows(orders(spark, d)).select("obs_id", "chunk_pos", "request_id", "batch_id", "pos_in_batch")
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM orders),
+  k AS (SELECT i AS id, CAST(('0x' || substr(md5('11:start:' || i), 1, 8)) AS BIGINT) % (n - 100 + 1) AS a, CASE WHEN i = 10 THEN 50 ELSE 100 END AS s FROM range(11) r(i), n),
+  r AS (SELECT id AS pos, id // 4 AS req, unnest(range(a, a + s)) AS obs_id FROM k),
+  q AS (SELECT *, row_number() OVER (PARTITION BY req ORDER BY md5('11:row:' || pos || ':' || obs_id), pos, obs_id) - 1 AS rk FROM r)
+  SELECT q.obs_id, CAST(pos AS BIGINT) AS chunk_pos, CAST(req AS BIGINT) AS request_id, CAST(rk // 50 AS BIGINT) AS batch_id, CAST(rk % 50 AS BIGINT) AS pos_in_batch
+  FROM q JOIN orders ON o_orderkey = q.obs_id""")
+def replacement_batches(spark, d):
+    plan = RandomSampler(100, 4, 50, replacement=True, num_samples=1050, rng=11).plan(n_orders(spark, d))
+    return plan.rows(orders(spark, d)).select("obs_id", "chunk_pos", "request_id", "batch_id", "pos_in_batch")
+
+
+@query(f"""WITH {_chunk_sql("SELECT count(*) FROM orders", 300, 4, "5")}, n AS (SELECT count(*) AS n FROM orders),
+  r AS (SELECT o_orderkey AS obs_id, c.pos, c.req FROM orders JOIN c ON o_orderkey >= c.a AND o_orderkey < c.b),
+  m AS (SELECT *, row_number() OVER (PARTITION BY req ORDER BY pos, obs_id) AS mem, count(*) OVER (PARTITION BY req) AS have, max(req) OVER () AS last FROM r),
+  f AS (SELECT * FROM m WHERE req < last OR mem <= have // 200 * 200),
+  q AS (SELECT *, row_number() OVER (PARTITION BY req ORDER BY md5('5:row:' || pos || ':' || obs_id), pos, obs_id) - 1 AS rk FROM f)
+  SELECT req AS request_id, CAST(rk // 200 AS BIGINT) AS batch_id, count(*) AS n_rows, CAST(sum(obs_id) AS BIGINT) AS id_sum FROM q GROUP BY 1, 2""")
+def drop_last_batches(spark, d):
+    plan = RandomSampler(300, 4, 200, drop_last=True, rng=5).plan(n_orders(spark, d))
+    return plan.rows(orders(spark, d)).groupBy("request_id", "batch_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("obs_id").alias("id_sum"))
+
+
+@query(f"""WITH {_chunk_sql("SELECT count(*) FROM orders", 100, 2, "9")},
+  r AS (SELECT o_orderkey AS obs_id, c.pos, c.req FROM orders JOIN c ON o_orderkey >= c.a AND o_orderkey < c.b),
+  q AS (SELECT *, row_number() OVER (PARTITION BY req ORDER BY md5('9:row:' || pos || ':' || obs_id), pos, obs_id) - 1 AS rk FROM r)
+  SELECT req AS request_id, CAST(rk // 40 AS BIGINT) AS batch_id, count(*) AS n_rows, CAST(sum(obs_id) AS BIGINT) AS id_sum FROM q
+  WHERE req * 5 + rk // 40 < 19 GROUP BY 1, 2""")
+def num_samples_batches(spark, d):
+    plan = RandomSampler(100, 2, 40, num_samples=737, rng=9).plan(n_orders(spark, d))
+    return plan.rows(orders(spark, d)).groupBy("request_id", "batch_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("obs_id").alias("id_sum"))
+
+
+@query(f"WITH {_chunk_sql('SELECT count(*) - 123 FROM orders', 64, 8, '3', 123)} SELECT CAST(id AS BIGINT) AS chunk_id, CAST(pos AS BIGINT) AS pos, req AS request_id, a AS start, b AS stop FROM c")
+def masked_chunks(spark, d):
+    return RandomSampler(64, 8, 32, mask=slice(123, None), rng=3).plan(n_orders(spark, d)).chunks(spark).select("chunk_id", "pos", "request_id", "start", "stop")
+
+
+@query(f"""WITH {_EMB}, n AS (SELECT count(*) // 3 // 8 * 8 AS p FROM embeddings), r AS (SELECT CAST(vec_id // p AS BIGINT) AS rank, vec_id % p AS i, s FROM e, n)
+  SELECT rank, CAST(i // 8 AS BIGINT) AS batch, count(*) AS n_rows, CAST(sum(s) AS BIGINT) AS value_sum FROM r WHERE rank < 3 GROUP BY 1, 2""")
+def rank_shards(spark, d):
+    rows = dense(spark, d).select("obs_id", _whole(F.col("x")).alias("_s"))
+    n, out = rows.count(), None
+    for rank in range(3):
+        plan = DistributedSampler(SequentialSampler(16, 4, 8), dist_info=lambda r=rank: (r, 3)).plan(n)
+        own = plan.rows(rows).select(F.lit(rank).cast("long").alias("rank"), (F.col("request_id") * 8 + F.col("batch_id")).alias("batch"), "_s")
+        out = own if out is None else out.union(own)
+    return out.groupBy("rank", "batch").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("_s").alias("value_sum"))
+
+
+@query(f"WITH {_chunk_sql('SELECT count(*) FROM orders', 100, 4, '13')} SELECT CAST(id AS BIGINT) AS chunk_id, CAST(pos AS BIGINT) AS pos, CAST(ntile(4) OVER (ORDER BY pos) - 1 AS BIGINT) AS worker FROM c")
+def worker_shards(spark, d):
+    plan = RandomSampler(100, 4, 100, drop_last=True, rng=13).plan(n_orders(spark, d))
+    return plan.chunks(spark).select("chunk_id", "pos", worker_of("pos", plan.n_chunks, 4).alias("worker"))
+
+
+@query(f"""WITH {_chunk_sql("SELECT count(*) FROM embeddings", 50, 4, "21")},
+  r AS (SELECT vec_id, label, c.pos, c.req FROM embeddings JOIN c ON vec_id >= c.a AND vec_id < c.b),
+  q AS (SELECT *, row_number() OVER (PARTITION BY req ORDER BY md5('21:row:' || pos || ':' || vec_id), pos, vec_id) - 1 AS rk FROM r)
+  SELECT req AS request_id, CAST(rk // 20 AS BIGINT) AS batch_id, label, count(*) AS n_rows FROM q GROUP BY ALL""")
+def batch_label_mix(spark, d):
+    rows = dense(spark, d).select("obs_id", "label")
+    return RandomSampler(50, 4, 20, rng=21).plan(rows.count()).rows(rows).groupBy("request_id", "batch_id", "label").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("""SELECT vec_id AS obs_id, CAST(b AS BIGINT) AS block_row, CAST(sum(CAST(floor(CAST(embedding[8 * b + i + 1] AS DOUBLE) * 1024) AS BIGINT)) AS BIGINT) AS value_sum
+  FROM embeddings, range(8) x(b), range(8) y(i) GROUP BY 1, 2""")
+def nd_blocks(spark, d):
+    nested = dense(spark, d).select("obs_id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda b: F.slice("x", b * 8 + 1, 8)).alias("x"))
+    return nested.select("obs_id", F.posexplode("x").alias("block_row", "row")).select("obs_id", F.col("block_row").cast("long").alias("block_row"), _whole(F.col("row")).alias("value_sum"))
+
+
+# ---------------------------------------------------------------- intervals and sparse rows
+
+@query("""SELECT event_type AS dataset_id, count(*) AS n_rows, CAST(sum(count(*)) OVER (ORDER BY event_type) - count(*) AS BIGINT) AS start, CAST(sum(count(*)) OVER (ORDER BY event_type) AS BIGINT) AS stop
+  FROM events GROUP BY event_type""")
+def dataset_offsets(spark, d):
+    sizes = table(spark, d, "events").groupBy(F.col("event_type").alias("dataset_id")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return offsets(sizes).select("dataset_id", "n_rows", "start", "stop")
+
+
+@query("""WITH o AS (SELECT event_type AS d, CAST(sum(count(*)) OVER (ORDER BY event_type) - count(*) AS BIGINT) AS a, CAST(sum(count(*)) OVER (ORDER BY event_type) AS BIGINT) AS b FROM events GROUP BY 1),
+  s AS (SELECT i AS pos, i * 700 AS x, least((i + 1) * 700, (SELECT count(*) FROM events)) AS y FROM range(CAST(ceil((SELECT count(*) FROM events) / 700.0) AS BIGINT)) r(i))
+  SELECT CAST(pos AS BIGINT) AS pos, d AS dataset_id, greatest(x, a) - a AS rel_start, least(y, b) - a AS rel_stop FROM s JOIN o ON x < b AND y > a""")
+def slice_resolution(spark, d):
+    events = table(spark, d, "events")
+    sizes = events.groupBy(F.col("event_type").alias("dataset_id")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return resolve(SequentialSampler(700, 1, 700).plan(events.count()).chunks(spark), offsets(sizes))
+
+
+_ITEMS = "i AS (SELECT l_orderkey AS o, l_partkey AS p, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2)"
+
+
+@query(f"""WITH {_ITEMS} SELECT o_orderkey AS obs_id, count(p) AS nnz, CAST(coalesce(sum(q), 0) AS BIGINT) AS value_sum, CAST(min(p) AS INT) AS first_index, CAST(max(p) AS INT) AS last_index
+  FROM orders LEFT JOIN i ON o = o_orderkey GROUP BY 1""")
+def csr_rows(spark, d):
+    x = F.col("x")
+    return sparse(spark, d).select("obs_id", F.size(x["indices"]).cast("long").alias("nnz"), F.aggregate(x["values"], F.lit(0.0), lambda a, v: a + v).cast("long").alias("value_sum"), F.get(x["indices"], 0).alias("first_index"), F.get(x["indices"], F.size(x["indices"]) - 1).alias("last_index"))
+
+
+@query(f"""WITH {_ITEMS}, r AS (SELECT o_orderkey AS id, count(p) AS n FROM orders LEFT JOIN i ON o = o_orderkey GROUP BY 1)
+  SELECT CAST(id // 1000 AS BIGINT) AS dataset_id, id AS obs_id, CAST(sum(n) OVER (PARTITION BY id // 1000 ORDER BY id) - n AS BIGINT) AS ptr_start, CAST(sum(n) OVER (PARTITION BY id // 1000 ORDER BY id) AS BIGINT) AS ptr_stop FROM r""")
+def csr_indptr(spark, d):
+    rows = sparse(spark, d).withColumn("dataset_id", F.floor(F.col("obs_id") / 1000).cast("long"))
+    return indptr(rows, "dataset_id", "obs_id")
+
+
+@query(f"""WITH {_ITEMS}, s AS (SELECT j AS slot, CAST(('0x' || substr(md5('17:gather:' || j), 1, 8)) AS BIGINT) % (SELECT count(*) FROM orders) AS id FROM range(200) r(j))
+  SELECT CAST(slot AS BIGINT) AS slot, id AS obs_id, count(p) AS nnz, CAST(coalesce(sum(q), 0) AS BIGINT) AS value_sum FROM s LEFT JOIN i ON o = id GROUP BY 1, 2""")
+def sparse_row_gather(spark, d):
+    n = n_orders(spark, d)
+    want = spark.range(200).select(F.col("id").alias("slot"), (F.conv(F.substring(hash_key(17, "gather", "id"), 1, 8), 16, 10).cast("long") % n).alias("obs_id"))
+    x = F.col("x")
+    return sparse(spark, d).join(F.broadcast(want), "obs_id").select("slot", "obs_id", F.size(x["indices"]).cast("long").alias("nnz"), F.aggregate(x["values"], F.lit(0.0), lambda a, v: a + v).cast("long").alias("value_sum"))
+
+
+# ---------------------------------------------------------------- alignment
+
+_BOUGHT = "b AS (SELECT DISTINCT c_nationkey AS f, l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"
+
+
+def bought(spark, d) -> DataFrame:
+    """f, p, q: quantity of each part in each source (a nation's orders)."""
+    c, o, li = table(spark, d, "customer"), table(spark, d, "orders"), table(spark, d, "lineitem")
+    near = o.join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").alias("f"))
+    return li.select("l_orderkey", F.col("l_partkey").alias("p"), F.col("l_quantity").alias("q")).join(near, F.col("l_orderkey") == F.col("o_orderkey")).select("f", "o_orderkey", "p", "q")
+
+
+def _first_seen(pairs: DataFrame) -> DataFrame:
+    """var_id of each part: sources in order, within a source by part; one row a feature."""
+    first = pairs.groupBy("p").agg(F.min("f").alias("first_source"))
+    return first.select("p", "first_source", (F.row_number().over(W.partitionBy(F.lit(0)).orderBy("first_source", "p")) - 1).cast("long").alias("var_id"))
+
+
+@query(f"""WITH {_BOUGHT}, v AS (SELECT p, min(f) AS s FROM b GROUP BY p), g AS (SELECT p, s, row_number() OVER (ORDER BY s, p) - 1 AS id FROM v)
+  SELECT CAST(id AS BIGINT) AS var_id, p_name AS var_name, CAST(s AS BIGINT) AS first_source, (SELECT count(*) FROM b WHERE b.p = g.p) AS n_sources FROM g JOIN part ON p = p_partkey""")
+def var_outer_join(spark, d):
+    pairs = bought(spark, d).select("f", "p").distinct()
+    seen = _first_seen(pairs).join(pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n_sources")), "p")
+    names = table(spark, d, "part").select(F.col("p_partkey").alias("p"), F.col("p_name").alias("var_name"))
+    return seen.join(names, "p").select("var_id", "var_name", F.col("first_source").cast("long").alias("first_source"), "n_sources")
+
+
+@query(f"""WITH {_BOUGHT}, v AS (SELECT p, min(f) AS s FROM b GROUP BY p), g AS (SELECT p, row_number() OVER (ORDER BY s, p) - 1 AS id FROM v),
+  {_ITEMS} SELECT o AS obs_id, count(*) AS nnz, CAST(min(id) AS BIGINT) AS first_index, CAST(max(id) AS BIGINT) AS last_index, CAST(sum(id * q) AS BIGINT) AS weighted FROM i JOIN g USING (p) GROUP BY 1""")
+def aligned_rows(spark, d):
+    items = bought(spark, d)
+    ids = _first_seen(items.select("f", "p").distinct()).select("p", "var_id")
+    rows = rows_from_items(items.join(ids, "p").select(F.col("o_orderkey").alias("obs_id"), "var_id", "q"), "obs_id", "var_id", "q")
+    x = F.col("x")
+    weighted = F.aggregate(F.zip_with(x["indices"], x["values"], lambda i, v: i * v), F.lit(0.0), lambda a, v: a + v).cast("long")
+    return rows.select("obs_id", F.size(x["indices"]).cast("long").alias("nnz"), F.array_min(x["indices"]).cast("long").alias("first_index"), F.array_max(x["indices"]).cast("long").alias("last_index"), weighted.alias("weighted"))
+
+
+@query(f"""WITH {_ITEMS}, s AS (SELECT p_partkey AS p, row_number() OVER (ORDER BY p_partkey) - 1 AS id FROM part WHERE p_size <= 10)
+  SELECT o AS obs_id, count(*) AS nnz, CAST(sum(id) AS BIGINT) AS index_sum, CAST(sum(q) AS BIGINT) AS value_sum FROM i JOIN s USING (p) GROUP BY 1""")
+def var_subset(spark, d):
+    kept = table(spark, d, "part").filter("p_size <= 10").select("p_partkey")
+    ids = kept.select("p_partkey", (F.row_number().over(W.partitionBy(F.lit(0)).orderBy("p_partkey")) - 1).alias("var_id"))
+    items = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity").join(ids, F.col("l_partkey") == F.col("p_partkey"))
+    x = F.col("x")
+    rows = rows_from_items(items, "l_orderkey", "var_id", "l_quantity")
+    return rows.select(F.col("l_orderkey").alias("obs_id"), F.size(x["indices"]).cast("long").alias("nnz"), F.aggregate(x["indices"], F.lit(0).cast("long"), lambda a, v: a + v).alias("index_sum"), F.aggregate(x["values"], F.lit(0.0), lambda a, v: a + v).cast("long").alias("value_sum"))
+
+
+@query(f"""WITH {_BOUGHT}, old AS (SELECT DISTINCT p FROM b WHERE f < 12)
+  SELECT CAST(f AS BIGINT) AS source, count(*) AS n_kept, CAST(sum(p) AS BIGINT) AS part_sum FROM b JOIN old USING (p) WHERE f >= 12 GROUP BY 1""")
+def append_var_intersection(spark, d):
+    pairs = bought(spark, d).select("f", "p").distinct()
+    kept = pairs.filter("f >= 12").join(pairs.filter("f < 12").select("p").distinct(), "p", "left_semi")
+    return kept.groupBy(F.col("f").cast("long").alias("source")).agg(F.count(F.lit(1)).alias("n_kept"), F.sum("p").cast("long").alias("part_sum"))
+
+
+# ---------------------------------------------------------------- annotations of many sources
+
+@query("""SELECT 'customer' AS src_path, c_custkey AS obs_id, CAST(c_nationkey AS BIGINT) AS nation, c_mktsegment AS segment, CAST(NULL AS VARCHAR) AS supplier_name FROM customer
+  UNION ALL BY NAME SELECT 'supplier' AS src_path, s_suppkey AS obs_id, CAST(s_nationkey AS BIGINT) AS nation, s_name AS supplier_name FROM supplier""")
+def concat_missing_cols(spark, d):
+    from tessera.sources.scan import concat_rows
+
+    a = table(spark, d, "customer").select(F.lit("customer").alias("src_path"), F.col("c_custkey").alias("obs_id"), F.col("c_nationkey").cast("long").alias("nation"), F.col("c_mktsegment").alias("segment"))
+    b = table(spark, d, "supplier").select(F.lit("supplier").alias("src_path"), F.col("s_suppkey").alias("obs_id"), F.col("s_nationkey").cast("long").alias("nation"), F.col("s_name").alias("supplier_name"))
+    return concat_rows([a, b])
+
+
+@query("""SELECT event_id, CASE WHEN k = 0 THEN n ELSE n || '-' || k END AS obs_name FROM
+  (SELECT event_id, 'user_' || user_id AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events)""")
+def unique_names(spark, d):
+    rows = table(spark, d, "events").select("event_id", F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("obs_name"))
+    return make_unique(rows, "obs_name", ["event_id"])
+
+
+_CATS = """a AS (SELECT list_sort(list(DISTINCT event_type)) AS l FROM events WHERE event_id % 2 = 0 AND event_type <> (SELECT max(event_type) FROM events)),
+  z AS (SELECT list_sort(list(DISTINCT event_type)) AS l FROM events WHERE event_id % 2 = 1), u AS (SELECT list_concat(a.l, list_filter(z.l, lambda x: NOT list_contains(a.l, x))) AS l FROM a, z)"""
+
+
+def _category_parts(spark, d) -> list[DataFrame]:
+    e = table(spark, d, "events").select("event_id", "event_type")
+    top = e.agg(F.max("event_type")).first()[0]
+    return [as_category(e.filter((F.col("event_id") % 2 == 0) & (F.col("event_type") != top)), "event_type"), as_category(e.filter("event_id % 2 = 1"), "event_type")]
+
+
+@query(f"WITH {_CATS} SELECT CAST(i - 1 AS BIGINT) AS code, l[i] AS category FROM u, (SELECT unnest(range(1, 100)) AS i) WHERE i <= len(l)")
+def category_union(spark, d):
+    known = union_categories([categories(p, "event_type") for p in _category_parts(spark, d)])
+    return spark.createDataFrame(list(enumerate(known)), "code long, category string")
+
+
+@query(f"WITH {_CATS} SELECT event_id, event_type, CAST(list_position(l, event_type) - 1 AS INT) AS code FROM events, u WHERE event_id % 2 = 1 OR event_type <> (SELECT max(event_type) FROM events)")
+def categorical_codes(spark, d):
+    from tessera.sources.scan import concat_rows
+
+    both = concat_rows(_category_parts(spark, d))
+    return both.select("event_id", "event_type", encode("event_type", categories(both, "event_type")).alias("code"))
+
+
+@query("""WITH p AS (SELECT source, count(*) AS n_docs, count(l.doc_id) AS n_labelled FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY source)
+  SELECT 'obs' AS kind, k AS key, CAST(sum(has) AS BIGINT) AS n_sources FROM (
+    SELECT 'lang' AS k, CAST(n_docs > 0 AS INT) AS has FROM p UNION ALL SELECT 'quality', CAST(n_labelled > 0 AS INT) FROM p UNION ALL SELECT 'toxic', CAST(n_docs > n_labelled * 2 AS INT) FROM p) GROUP BY k""")
+def key_mismatch(spark, d):
+    docs, labels = table(spark, d, "documents").select("doc_id", "lang", "source"), table(spark, d, "labels").select("doc_id", "quality")
+    per = docs.join(labels, "doc_id", "left").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("quality").alias("n_labelled"))
+    parts = []
+    for r in per.collect():  # one row a source; keys are a matter of schemas
+        cols = ["lang", *(["quality"] if r["n_labelled"] else []), *(["toxic"] if r["n"] > 2 * r["n_labelled"] else [])]
+        parts.append(Annotated(spark.createDataFrame([], ", ".join(f"{c} string" for c in cols))))
+    out = [(kind, k, n) for kind, keys in key_counts(parts).items() for k, n in keys.items()]
+    return spark.createDataFrame(out, "kind string, key string, n_sources long")
+
+
+@query("""SELECT o_orderpriority AS column_value, count(*) AS n_rows, CAST(count(DISTINCT o_orderkey % 4) AS BIGINT) AS n_sources, count(DISTINCT o_orderkey % 4) = 4 AS consistent FROM orders GROUP BY 1""")
+def groupby_validation(spark, d):
+    o = table(spark, d, "orders").select("o_orderpriority", (F.col("o_orderkey") % 4).alias("s"))
+    per = o.groupBy(F.col("o_orderpriority").alias("column_value"), "s").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("column_value").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_sources"), (F.count(F.lit(1)) == 4).alias("consistent"))
+
+
+# ---------------------------------------------------------------- preshuffle
+
+@query("""WITH b AS (SELECT i AS id, row_number() OVER (ORDER BY md5('19:block:' || i), i) - 1 AS pos FROM range(CAST(ceil((SELECT count(*) FROM events) / 300.0) AS BIGINT)) r(i))
+  SELECT CAST(id AS BIGINT) AS block_id, CAST(pos AS BIGINT) AS block_pos, CAST(pos // 3 AS INT) AS dataset_id FROM b""")
+def block_shuffle_plan(spark, d):
+    return BlockPlan(table(spark, d, "events").count(), 300, True, 19, rows_per_dataset=1000).blocks(spark).select("block_id", "block_pos", "dataset_id")
+
+
+_DEAL = """b AS (SELECT i AS id, row_number() OVER (ORDER BY md5('19:block:' || i), i) - 1 AS pos FROM range(CAST(ceil((SELECT count(*) FROM events) / 300.0) AS BIGINT)) r(i)),
+  r AS (SELECT event_id, event_type, CAST(pos // 3 AS INT) AS ds FROM events JOIN b ON event_id // 300 = id)"""
+
+
+def _dealt(spark, d) -> tuple[DataFrame, int]:
+    e = table(spark, d, "events")
+    n = e.count()
+    plan = BlockPlan(n, 300, True, 19, rows_per_dataset=1000)
+    return plan.deal(as_category(e.select(F.col("event_id").alias("row_id"), "event_type"), "event_type")), n
+
+
+@query(f"WITH {_DEAL} SELECT event_id AS row_id, ds AS dataset_id, CAST(row_number() OVER (PARTITION BY ds ORDER BY md5('19:place:' || ds || ':' || event_id), event_id) - 1 AS BIGINT) AS pos FROM r")
+def preshuffle_create(spark, d):
+    rows, n = _dealt(spark, d)
+    return place(rows, seed=19, shuffle=True, sort=[], ids=["row_id"], n_rows=n).select("row_id", "dataset_id", "pos")
+
+
+@query(f"WITH {_DEAL} SELECT event_id AS row_id, ds AS dataset_id, event_type, CAST(row_number() OVER (PARTITION BY ds ORDER BY event_type NULLS LAST, md5('19:place:' || ds || ':' || event_id), event_id) - 1 AS BIGINT) AS pos FROM r")
+def preshuffle_groupby(spark, d):
+    rows, n = _dealt(spark, d)
+    return place(rows, seed=19, shuffle=True, sort=sort_keys(rows, ["event_type"]), ids=["row_id"], n_rows=n).select("row_id", "dataset_id", "event_type", "pos")
+
+
+@query("""WITH b AS (SELECT i AS id, row_number() OVER (ORDER BY md5('23:block:' || i), i) - 1 AS pos FROM range(CAST(ceil((SELECT count(*) FROM events) / 70.0) AS BIGINT)) r(i)),
+  t AS (SELECT id, ntile(4) OVER (ORDER BY pos) - 1 AS ds FROM b)
+  SELECT event_id AS row_id, CAST(ds AS INT) AS dataset_id FROM events JOIN t ON event_id // 70 = id""")
+def append_route(spark, d):
+    e = table(spark, d, "events").select(F.col("event_id").alias("row_id"))
+    return BlockPlan(e.count(), 70, True, 23, n_datasets=4).deal(e).select("row_id", "dataset_id")
+
+
+@query(f"""WITH {_ITEMS}, r AS (SELECT o_orderkey AS id, c_nationkey AS f, count(p) AS n FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN i ON o = o_orderkey GROUP BY 1, 2)
+  SELECT CAST(f AS BIGINT) AS source, count(*) AS n_rows, CAST(sum(12 * n + 8) AS BIGINT) AS total_bytes, round(avg(12 * n + 8), 6) AS bytes_per_row FROM r GROUP BY f""")
+def bytes_per_row(spark, d):
+    from tessera.functions.sizes import _bytes
+
+    rows = sparse(spark, d).join(orders(spark, d, "o_custkey"), "obs_id")
+    rows = rows.join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("source")), "o_custkey")
+    each = _bytes(F.col("x"), rows.schema["x"].dataType) + 8
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(each.cast("long")).alias("total_bytes"), F.round(F.avg(each), 6).alias("bytes_per_row"))
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM embeddings), s AS (SELECT n, unnest([3, 5, 64]) AS chunk, least(greatest(1, 65536 // 268), n) AS rows FROM n)
+  SELECT CAST(vec_id // greatest(chunk, rows - rows % chunk) AS BIGINT) AS shard, CAST(chunk AS BIGINT) AS chunk, count(*) AS n_rows FROM embeddings, s GROUP BY 1, 2""")
+def shard_plan(spark, d):
+    """268 bytes a row: 64 floats, a label and a row number."""
+    rows = dense(spark, d).select("obs_id")
+    n, out = rows.count(), None
+    for chunk in (3, 5, 64):
+        shard = max(chunk, round_down(min(rows_of("64KB", 268), n), chunk))
+        own = rows.select(F.floor(F.col("obs_id") / shard).cast("long").alias("shard"), F.lit(chunk).cast("long").alias("chunk"))
+        out = own if out is None else out.union(own)
+    return out.groupBy("shard", "chunk").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def epoch(spark: SparkSession, d: str, plan: ChunkPlan) -> DataFrame:
+    """A pass over the orders as a loader makes it: every row with its items and its place."""
+    return plan.rows(sparse(spark, d))
