@@ -58,7 +58,7 @@ class Segment:
         p = (low[s] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         new = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (s[1:] != s[:-1] + 1)])) if len(s) else np.zeros(0, np.int64)
         self.p, self.s1, self.s2 = p[new], s[new], s[np.append(new[1:], len(s)) - 1] if len(s) else s
-        self.key = g[self.p]
+        self.key = mix(g[self.p] + np.uint64(1))  # least hashes share their leading bits: spread again
 
     def contents(self, i: np.ndarray) -> np.ndarray:
         """A hash of the surroundings of anchors and the anchors' places in them."""
