@@ -107,6 +107,28 @@ def heavy_join(rows: DataFrame, groups: DataFrame, keys: list[str], n_rows: int,
     return done.unionByName(todo.join(rest, keys, "left"))
 
 
+def keyed_join(rows: DataFrame, groups: DataFrame, key: str, n_rows: int, size: str) -> DataFrame:
+    """Inner join of rows with one row for each key (a number), safe where one key holds a large share of the rows.
+
+    At most 1000 keys can hold a thousandth of the rows each. Those, bounded whatever the data, are broadcast, and the
+    shuffle gets the rows of the others only.
+    """
+    cut = max(1, n_rows // 1000)
+    heavy = groups.filter(F.col(size) > cut)
+    keys = [r[0] for r in heavy.select(key).collect()]
+    rest = groups.filter(F.col(size) <= cut)
+    if not keys:
+        return rows.join(rest, key)
+    return rows.join(F.broadcast(heavy), key).unionByName(rows.filter(~F.col(key).isin(keys)).join(rest, key))
+
+
+def wide(df: DataFrame, *columns: str) -> DataFrame:
+    """df dealt to many tasks: few rows that each take long to work on. The number is given, so it isn't lowered again."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism * 3, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *columns)
+
+
 # ---------------------------------------------------------------- Arrow batches
 
 def steps(batch: pa.RecordBatch, text: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BLOBS, Rolling, blobs, buckets_for, heavy_join, local_path, materialize, mix, new_path, over, reduce_blobs, split_by_bucket, steps, text_bytes, words
+from tessera.llm.common import BLOBS, Rolling, blobs, buckets_for, keyed_join, local_path, materialize, mix, new_path, over, reduce_blobs, split_by_bucket, steps, text_bytes, wide, words
 from tessera.llm.keyfiles import open_array, pack, save_array, unpack
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -247,7 +247,7 @@ def verify(pairs: DataFrame, path: str, n: int) -> DataFrame:
             linked = [seq.similar(x, y) for x, y in zip(p, q, strict=True)]
             yield pa.RecordBatch.from_pydict({"lead": batch.column(0), "cid": batch.column(1), "linked": pa.array(linked, pa.bool_())})
 
-    return pairs.select("lead", "cid").mapInArrow(run, "lead long, cid long, linked boolean")
+    return wide(pairs.select("lead", "cid"), "lead", "cid").mapInArrow(run, "lead long, cid long, linked boolean")
 
 
 def finish(rest: DataFrame, path: str, n: int) -> DataFrame:
@@ -276,7 +276,7 @@ def finish(rest: DataFrame, path: str, n: int) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_pydict({"lead": pa.array(np.array(out[0], np.uint64).view(np.int64)), "cid": pa.array(np.array(out[1], np.uint64).view(np.int64))})
 
-    dealt = rest.select("bucket", "cid").repartition("bucket").sortWithinPartitions("bucket", F.xxhash64("cid", "bucket"))
+    dealt = wide(rest.select("bucket", "cid"), "bucket").sortWithinPartitions("bucket", F.xxhash64("cid", "bucket"))
     return dealt.mapInArrow(run, "lead long, cid long")
 
 
@@ -288,11 +288,11 @@ def links(classes: DataFrame, docs: DataFrame, n: int, salt: int, left_over: int
         # the leader is the least by a hash, with the class itself as its last part: a number, so it is aggregated in place
         mixed = rows.withColumn("_x", F.xxhash64("cid", "bucket"))
         groups, _ = materialize(mixed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("_x").alias("_lead")).filter("size > 1"), "buckets")
-        members = heavy_join(mixed, groups, ["bucket"], rows.count(), "size").filter("size is not null")
+        members = keyed_join(mixed, groups, "bucket", rows.count(), "size")
         members, _ = materialize(members, "members")
         lead = members.filter("_x = _lead").groupBy("bucket").agg(F.min("cid").alias("lead"), F.first("size").alias("size"))
         lead, _ = materialize(lead, "leaders")
-        led = heavy_join(members.select("bucket", "cid"), lead, ["bucket"], members.count(), "size").filter("cid <> lead")
+        led = keyed_join(members.select("bucket", "cid"), lead, "bucket", members.count(), "size").filter("cid <> lead")
         led, _ = materialize(led.select("bucket", "cid", "lead"), "led")
         if path is None:
             wanted = members.select("cid").distinct()
@@ -320,7 +320,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     both, _ = materialize(both.distinct(), "star")
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("size"))
     least, _ = materialize(least, "star-least")
-    seen = heavy_join(both, least, ["u"], both.count(), "size")
+    seen = keyed_join(both, least, "u", both.count(), "size")
     if large:
         return seen.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return seen.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(least.select("u", F.col("m").alias("v")).filter("u <> v"))
@@ -360,9 +360,9 @@ def near_dedup(docs: DataFrame, left_over: int = LEFT_OVER) -> DataFrame:
     named, _ = materialize(named.select("cid", "first", "copies", "root"), "named")
     group = named.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("_n"))
     group, _ = materialize(group, "groups")
-    whole = heavy_join(named, group, ["root"], named.count(), "_n").select("cid", "class_id", "class_size", F.col("first").alias("copy_of"), "copies")
+    whole = keyed_join(named, group, "root", named.count(), "_n").select("cid", "class_id", "class_size", F.col("first").alias("copy_of"), "copies")
     whole, _ = materialize(whole, "whole")
-    out = heavy_join(every.select("doc_id", "cid"), whole, ["cid"], every.count(), "copies")
+    out = keyed_join(every.select("doc_id", "cid"), whole, "cid", every.count(), "copies")
     return out.select("doc_id", "class_id", "class_size", "copy_of", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
