@@ -284,17 +284,21 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     return over(docs, ["doc_id", "text"], "doc_id long, ids array<int>, decoded string", run)
 
 
-def encode_digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the text decoded from them."""
+def encode_digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of the text decoded from them; with_ids: the ids too."""
 
     def run(part: pa.RecordBatch) -> dict:
         bpe, cache = tree_tokenizer(path)
         ids = cache.documents(texts_of(part))
         s = bpe.strings
         decoded = [hashlib.sha256(b" ".join([s[i] for i in np.frombuffer(x, "<u4").tolist()])).hexdigest() for x in ids]
-        return {"doc_id": part.column(0), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids]), "decoded_sha256": pa.array(decoded, pa.string())}
+        out = {"doc_id": part.column(0), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids]), "decoded_sha256": pa.array(decoded, pa.string())}
+        if with_ids:
+            ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])
+            out["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
+        return out
 
-    return over(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id", "text"], "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", run)
+    return over(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id", "text"], "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, run)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

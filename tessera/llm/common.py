@@ -122,6 +122,14 @@ def keyed_join(rows: DataFrame, groups: DataFrame, key: str, n_rows: int, size:
     return rows.join(F.broadcast(heavy), key).unionByName(rows.filter(~F.col(key).isin(keys)).join(rest, key))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def wide(df: DataFrame, *columns: str) -> DataFrame:
     """df dealt to many tasks: few rows that each take long to work on. The number is given, so it isn't lowered again."""
     spark = df.sparkSession

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tessera.llm.common import materialize, small
+from tessera.llm.common import fresh, materialize, small
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Documents in one range of keys, about.
@@ -93,8 +93,9 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 def copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The documents as often as the mix takes them, with their own columns."""
-    times, n_bytes = materialize(mixed.filter("taken > 0").select(F.col("doc_id").alias("_id"), (F.col("taken") / F.col("size")).cast("int").alias("_times")).distinct(), "mix-times")
-    out = docs.join(small(times, n_bytes), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select(*docs.columns)
-
-
+    own, n, copy = (fresh(docs, c) for c in ("_id", "_times", "_copy"))
+    times = mixed.filter("taken > 0").select(F.col("doc_id").alias(own), (F.col("taken") / F.col("size")).cast("int").alias(n))
+    times = times.groupBy(own).agg(F.max(n).alias(n))  # rows that share an id are taken as often as the one taken most
+    times, n_bytes = materialize(times, "mix-times")
+    out = docs.join(small(times, n_bytes), F.col("doc_id").eqNullSafe(F.col(own)))
+    return out.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(n)))).select(*docs.columns)

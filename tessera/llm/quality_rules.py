@@ -101,10 +101,11 @@ def language_of(part: pa.RecordBatch) -> list[str]:
 
 
 def _by_language(part: pa.RecordBatch, langs: list[str]) -> Iterator[tuple[str, np.ndarray, pa.RecordBatch]]:
-    names = np.array(langs, object)
-    for lang in sorted(set(langs)):
-        rows = np.flatnonzero(names == lang)
-        yield lang, rows, part.take(pa.array(rows))
+    of: dict[str, list[int]] = {}
+    for i, lang in enumerate(langs):
+        of.setdefault(lang, []).append(i)
+    for lang, rows in of.items():
+        yield lang, np.array(rows), part.take(pa.array(rows))
 
 
 def _file(lang: str) -> str:
