@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import over
+from tessera.llm.common import holding, over
 
 #: Entries of one generation of a worker's cache; two generations are held. Longer words are not kept.
 CACHE_WORDS, CACHE_BYTES = 250_000, 48
@@ -266,6 +266,7 @@ class WordCache:
 @functools.lru_cache(maxsize=1)
 def tree_tokenizer(path: str) -> tuple[SegmentTreeBPE, WordCache]:
     bpe = SegmentTreeBPE(path)
+    holding("bpe", tree_tokenizer.cache_clear)
     return bpe, WordCache(bpe.encode_words)
 
 
@@ -281,7 +282,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
         ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in cache.documents(texts_of(part))]
         return {"doc_id": part.column(0), "ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array([bpe.decode(x.tolist()) for x in ids], pa.string())}
 
-    return over(docs, ["doc_id", "text"], "doc_id long, ids array<int>, decoded string", run)
+    return over(docs, ["doc_id", "text"], "doc_id long, ids array<int>, decoded string", run, name="bpe")
 
 
 def encode_digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
@@ -298,7 +299,7 @@ def encode_digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFr
             out["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
         return out
 
-    return over(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id", "text"], "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, run)
+    return over(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id", "text"], "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, run, name="bpe")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

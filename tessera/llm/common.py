@@ -7,6 +7,8 @@ the same six characters, so it is the scalar form of every vectorised word split
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,8 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table up to so many bytes may be broadcast; its size is read from its files first.
-BROADCAST_BYTES = 24 << 20
+#: A table up to so many bytes may be broadcast; its size is read from its files first. In memory it takes about 13 times that.
+BROADCAST_BYTES = 8 << 20
 #: Bytes of text that one vectorised step holds; longer single documents are a step of their own.
 STEP_BYTES = 1 << 20
 
@@ -137,6 +139,30 @@ def wide(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(n, *columns)
 
 
+# ---------------------------------------------------------------- what workers hold
+
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def holding(name: str, clear: Callable[[], None]) -> None:
+    """Says that this worker keeps something between tasks of one kind."""
+    _caches[name] = clear
+
+
+def enter(name: str | None = None) -> None:
+    """A task begins: what tasks of another kind have left in this worker goes, and freed memory returns to the system."""
+    for other in [x for x in _caches if x != name]:
+        _caches.pop(other)()
+    if name is not None:
+        _powers.clear()
+    leave()
+
+
+def leave() -> None:
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # ---------------------------------------------------------------- Arrow batches
 
 def steps(batch: pa.RecordBatch, text: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
@@ -165,15 +191,17 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(bufs[2], np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
-def over(df: DataFrame, columns: list[str], schema: str, f: Callable[[pa.RecordBatch], Iterator[dict] | dict], limit: int = STEP_BYTES) -> DataFrame:
+def over(df: DataFrame, columns: list[str], schema: str, f: Callable[[pa.RecordBatch], Iterator[dict] | dict], limit: int = STEP_BYTES, name: str | None = None) -> DataFrame:
     """mapInArrow over slices of bounded text; f returns the columns of one output batch, or yields several such."""
 
     def run(batches):
+        enter(name)
         for batch in batches:
             for part in steps(batch, limit=limit):
                 got = f(part)
                 for out in [got] if isinstance(got, dict) else got:
                     yield pa.RecordBatch.from_pydict(out)
+        leave()
 
     return df.select(*columns).mapInArrow(run, schema)
 
@@ -310,6 +338,7 @@ def reduce_blobs(df: DataFrame, n_buckets: int, schema: str, f: Callable[[int, d
     """
 
     def run(batches):
+        enter()
         at, held = None, {}
         for batch in batches:
             for kind, bucket, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -320,6 +349,8 @@ def reduce_blobs(df: DataFrame, n_buckets: int, schema: str, f: Callable[[int, d
                 held.setdefault(kind, []).append(data)
         if held:
             yield from f(at, held)
+        held = {}
+        leave()
 
     return df.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 

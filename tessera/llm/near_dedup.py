@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BLOBS, Rolling, blobs, buckets_for, keyed_join, local_path, materialize, mix, new_path, over, reduce_blobs, split_by_bucket, steps, text_bytes, wide, words
+from tessera.llm.common import BLOBS, Rolling, blobs, buckets_for, enter, keyed_join, local_path, materialize, mix, new_path, over, reduce_blobs, split_by_bucket, steps, text_bytes, wide, words
 from tessera.llm.keyfiles import open_array, pack, save_array, unpack
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -152,7 +152,7 @@ class Sequences:
 
     def __init__(self, path: str, n: int):
         self.path, self.n = path, n
-        self.sets = functools.lru_cache(maxsize=4096)(self._set)
+        self.sets = functools.lru_cache(maxsize=256)(self._set)
 
     def words(self, cid: int) -> np.ndarray:
         b = cid >> (65 - self.n.bit_length())
@@ -202,6 +202,7 @@ def store_sequences(docs: DataFrame, wanted: DataFrame, n: int, salt: int) -> st
     materialize(wanted.select(range_of.alias("b"), "cid").repartition(n, "b").sortWithinPartitions("b").mapInArrow(keys, "n long"), "wanted")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter()
         sent: set[int] = set()
         for batch in batches:
             for part in steps(batch, limit=_STEP):
@@ -241,6 +242,7 @@ def verify(pairs: DataFrame, path: str, n: int) -> DataFrame:
     """pairs (lead, cid) with whether they are similar (linked)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter()
         seq = Sequences(path, n)
         for batch in batches:
             p, q = (np.asarray(batch.column(i)).view(np.uint64).tolist() for i in (0, 1))
@@ -254,6 +256,7 @@ def finish(rest: DataFrame, path: str, n: int) -> DataFrame:
     """Links (lead, cid) within buckets (bucket, cid) of bounded size: each member joins the first leader it is similar to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter()
         seq = Sequences(path, n)
         known: dict[tuple[int, int], bool] = {}
         at, leaders = None, []
@@ -262,7 +265,7 @@ def finish(rest: DataFrame, path: str, n: int) -> DataFrame:
             for b, c in zip(batch.column(0).to_pylist(), np.asarray(batch.column(1)).view(np.uint64).tolist(), strict=True):
                 if b != at:
                     at, leaders = b, []
-                    if len(known) > 200_000:
+                    if len(known) > 20_000:
                         known.clear()
                 for lead in leaders:
                     if (lead, c) not in known:

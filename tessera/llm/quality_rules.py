@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tessera.llm.common import BLOBS, Rolling, blobs, local_path, lowered, materialize, mix, new_path, over, reduce_blobs, small, split_by_bucket, steps, summed, text_bytes, words
+from tessera.llm.common import BLOBS, Rolling, blobs, enter, local_path, lowered, materialize, mix, new_path, over, reduce_blobs, small, split_by_bucket, steps, summed, text_bytes, words
 from tessera.llm.word_lm import _save, discounts
 
 ORDER = 5
@@ -154,6 +154,7 @@ def train(docs: DataFrame) -> str:
         return blobs(out)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter()
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for part in steps(batch):
@@ -164,7 +165,7 @@ def train(docs: DataFrame) -> str:
                     new = (grams[first], np.diff(np.append(first, len(grams))).astype(np.uint64))
                     old = held.get(lang)
                     held[lang] = new if old is None else summed(np.concatenate([old[0], new[0]]), np.concatenate([old[1], new[1]]))
-                if sum(len(k) for k, _ in held.values()) > 3_000_000:
+                if sum(len(k) for k, _ in held.values()) > 2_000_000:
                     yield emit(held)
                     held = {}
         if held:

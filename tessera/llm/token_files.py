@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessera.llm.bpe import WordCache, texts_of
-from tessera.llm.common import local_path, materialize, new_path, steps
+from tessera.llm.common import enter, holding, local_path, materialize, new_path, steps
 
 _NULL = np.iinfo(np.int64).min
 
@@ -80,7 +80,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     where = local_path(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("library")
         _, cache, size = library_tokenizer(tokenizer)
+        holding("library", library_tokenizer.cache_clear)
         kind = "<u2" if max(size, (end_id or 0) + 1) <= 1 << 16 else "<u4"
         end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         part = TaskContext.get().partitionId()
