@@ -6,8 +6,11 @@ bucket in that band. Texts that share their order too meet, so the sketch is sen
 similarity 0.8 meets in no band with probability 0.0002.
 
 A bucket's members are compared with its leader, the least by a hash of bucket and class, so leaders differ between buckets. Members that the leader
-is not similar to stay behind; while more than LEFT_OVER of a bucket do, they get a next leader in another distributed
-round, and fewer are finished in one task, leader after leader. No bucket's pairs are ever listed and none is capped. Two
+is not similar to stay behind. They are compared with the members that joined it, but for those of a Jaccard similarity below
+0.6 to the leader, which by the triangle inequality are similar to none that joined, and with each other. Where more than LEFT_OVER
+stay behind, they get a next leader in another distributed round as long as leaders take half; after that only those not yet in one component
+are compared. Comparisons are dealt by pairs of blocks of about LEFT_OVER members, and within a task go by an inverted index of shingles that skips
+what is connected already, so all members of a bucket that are similar end in one component. No bucket's pairs are ever listed and none is capped. Two
 texts are linked if their sets of shingles have a Jaccard similarity of at least 0.8 and a banded alignment of their words finds
 an edit similarity of at least 0.8. Sequences of words lie in memory-mapped files by class. Groups are the
 connected components of the links, by alternating large and small stars over tables.
@@ -38,6 +41,8 @@ LEFT_OVER = 2000
 _NEAR = 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = 2 << 20
+#: Shingles that an index within a task holds, about.
+_INDEX = 1 << 20
 
 
 def sequences(part: pa.RecordBatch, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -164,18 +169,62 @@ class Sequences:
         w = self.words(cid).astype(np.uint64)
         return np.unique(shingles(w, np.array([0, len(w)]))[0])
 
-    def similar(self, p: int, q: int, least: float = SIMILARITY) -> bool:
+    def jaccard(self, p: int, q: int, least: float) -> float:
+        """Of the sets of shingles; 0 if their sizes tell that it is below least."""
         a, b = self.sets(p), self.sets(q)
         if min(len(a), len(b)) < least * max(len(a), len(b)):
-            return False
+            return 0.0
         both = np.concatenate([a, b])
         both.sort()
         shared = int((both[1:] == both[:-1]).sum())
-        if shared < least * (len(a) + len(b) - shared):
-            return False
+        return shared / (len(a) + len(b) - shared)
+
+    def aligned(self, p: int, q: int, least: float = SIMILARITY) -> bool:
         x, y = np.asarray(self.words(p)), np.asarray(self.words(q))
         return within(x, y, int((1 - least) * max(len(x), len(y)) + 1e-9))
 
+    def connect(self, own: list[int], label: np.ndarray, others: int, known: dict[tuple[int, int], bool]) -> Iterator[tuple[int, int]]:
+        """Links that connect whatever is similar among own, or, if others is not 0, between own[:others] and own[others:].
+
+        label: a number for each that is equal where two are connected already; it is kept up to date, and such pairs are skipped.
+        """
+        n = others or len(own)
+        size = np.array([len(self.sets(c)) for c in own])
+        lo = 0
+        while lo < n:  # an index of bounded size: at least one member, about _INDEX shingles
+            hi = max(lo + 1, int(np.searchsorted(np.cumsum(size[lo:n]), _INDEX, "right")) + lo)
+            sh = np.concatenate([self.sets(c) for c in own[lo:hi]])
+            order = np.argsort(sh, kind="stable")
+            sh, member = sh[order], np.repeat(np.arange(hi - lo), size[lo:hi])[order]
+            ask = np.arange(others or lo, len(own))
+            if not others:  # those most like the rest first: they connect most
+                per = np.searchsorted(sh, sh, "right") - np.searchsorted(sh, sh, "left")
+                common = np.bincount(member, per, hi - lo) / size[lo:hi]
+                ask = np.concatenate([lo + np.argsort(-common, kind="stable"), np.arange(hi, len(own))])
+            todo = np.ones(hi - lo, bool)
+            for q in ask.tolist():
+                if not others and q < hi:
+                    todo[q - lo] = False
+                open_ = todo & (label[lo:hi] != label[q])
+                if not open_.any():
+                    continue
+                mine = self.sets(own[q])
+                left = np.searchsorted(sh, mine, "left")
+                count = np.searchsorted(sh, mine, "right") - left
+                found = np.repeat(left - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                shared = np.bincount(member[found], minlength=hi - lo)
+                for i in np.flatnonzero(open_ & (shared >= SIMILARITY * (size[lo:hi] + size[q] - shared))).tolist():
+                    i += lo
+                    if label[i] == label[q]:
+                        continue
+                    pair = (min(own[i], own[q]), max(own[i], own[q]))
+                    if pair not in known:
+                        known[pair] = self.aligned(*pair)
+                    if known[pair]:
+                        label[label == label[q]] = label[i]
+                        yield own[i], own[q]
+            lo = hi
+
 
 def store_sequences(docs: DataFrame, wanted: DataFrame, n: int, salt: int) -> str:
     """Writes the words of the classes wanted (cid) by ranges of cid; returns the path."""
@@ -239,52 +288,89 @@ def store_sequences(docs: DataFrame, wanted: DataFrame, n: int, salt: int) -> st
 
 
 def verify(pairs: DataFrame, path: str, n: int) -> DataFrame:
-    """pairs (lead, cid) with whether they are similar (linked)."""
+    """pairs (lead, cid) with whether they are similar (linked), and whether something similar to cid can be similar to lead too (near)."""
+    far = 2 * SIMILARITY - 1  # Jaccard distances add up: two steps of 0.2 at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter()
         seq = Sequences(path, n)
         for batch in batches:
             p, q = (np.asarray(batch.column(i)).view(np.uint64).tolist() for i in (0, 1))
-            linked = [seq.similar(x, y) for x, y in zip(p, q, strict=True)]
-            yield pa.RecordBatch.from_pydict({"lead": batch.column(0), "cid": batch.column(1), "linked": pa.array(linked, pa.bool_())})
+            like = [seq.jaccard(x, y, far - 1e-9) for x, y in zip(p, q, strict=True)]
+            linked = [j >= SIMILARITY and seq.aligned(x, y) for x, y, j in zip(p, q, like, strict=True)]
+            yield pa.RecordBatch.from_pydict({"lead": batch.column(0), "cid": batch.column(1), "linked": pa.array(linked, pa.bool_()), "near": pa.array([j >= far - 1e-9 for j in like], pa.bool_())})
 
-    return wide(pairs.select("lead", "cid"), "lead", "cid").mapInArrow(run, "lead long, cid long, linked boolean")
+    return wide(pairs.select("lead", "cid"), "lead", "cid").mapInArrow(run, "lead long, cid long, linked boolean, near boolean")
 
 
-def finish(rest: DataFrame, path: str, n: int) -> DataFrame:
-    """Links (lead, cid) within buckets (bucket, cid) of bounded size: each member joins the first leader it is similar to."""
+def finish(jobs: DataFrame, path: str, n: int) -> DataFrame:
+    """Links (lead, cid) of the jobs: members (cid) of two blocks (i, j) of a bucket, on the sides 0 and 1, that are compared across, or of one
+    block with each other if cross is false. Members of one root are connected already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter()
         seq = Sequences(path, n)
         known: dict[tuple[int, int], bool] = {}
-        at, leaders = None, []
+
+        def links_of(held: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
+            if len(known) > 20_000:
+                known.clear()
+            side, own, root = (list(x) for x in zip(*held, strict=True))
+            cross, others = at[1], side.count(0)
+            if cross and others in (0, len(own)):
+                return
+            label = np.unique(np.array(root), return_inverse=True)[1]
+            out = list(seq.connect(own, label, others if cross else 0, known))
+            if out:
+                lead, cid = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_pydict({"lead": lead, "cid": cid})
+
+        at, held = None, []
         for batch in batches:
-            out: tuple[list[int], list[int]] = ([], [])
-            for b, c in zip(batch.column(0).to_pylist(), np.asarray(batch.column(1)).view(np.uint64).tolist(), strict=True):
-                if b != at:
-                    at, leaders = b, []
-                    if len(known) > 20_000:
-                        known.clear()
-                for lead in leaders:
-                    if (lead, c) not in known:
-                        known[lead, c] = seq.similar(lead, c)
-                    if known[lead, c]:
-                        out[0].append(lead)
-                        out[1].append(c)
-                        break
-                else:
-                    leaders.append(c)
-            if out[0]:
-                yield pa.RecordBatch.from_pydict({"lead": pa.array(np.array(out[0], np.uint64).view(np.int64)), "cid": pa.array(np.array(out[1], np.uint64).view(np.int64))})
-
-    dealt = wide(rest.select("bucket", "cid"), "bucket").sortWithinPartitions("bucket", F.xxhash64("cid", "bucket"))
+            cid = np.asarray(batch.column(5)).view(np.uint64).tolist()
+            for b, cross, joined, i, j, c, root, side in zip(*(batch.column(k).to_pylist() for k in range(5)), cid, batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True):
+                if (b, cross, joined, i, j) != at:
+                    if held:
+                        yield from links_of(held)
+                    at, held = (b, cross, joined, i, j), []
+                held.append((side, c, root))
+        if held:
+            yield from links_of(held)
+
+    dealt = wide(jobs.select("bucket", "cross", "joined", "i", "j", "cid", "root", "side"), "bucket", "cross", "joined", "i", "j").sortWithinPartitions("bucket", "cross", "joined", "i", "j", "side", F.xxhash64("cid", "bucket"))
     return dealt.mapInArrow(run, "lead long, cid long")
 
 
+def _block(size: str, each: int) -> tuple:
+    """Number of blocks of a side of so many members, and the block of a member."""
+    blocks = F.ceil(F.col(size) / each).cast("int")
+    return blocks, F.pmod(F.xxhash64("cid", F.lit(7)), blocks).cast("int")
+
+
+def _others(blocks):
+    return F.explode(F.sequence(F.lit(0), blocks - 1))
+
+
+def across(judged: DataFrame, each: int) -> DataFrame:
+    """Jobs that compare those that joined their leader (linked; n_joined in the bucket) with those left over that may be similar to some (n_near)."""
+    judged = judged.filter("n_joined > 0 and n_near > 0")
+    (a, own_a), (b, own_b) = _block("n_joined", each), _block("n_near", each)
+    put = ["bucket", F.lit(True).alias("cross"), F.lit(True).alias("joined")]
+    joined = judged.filter("linked").select(*put, own_a.alias("i"), _others(b).alias("j"), "cid", F.col("lead").alias("root"), F.lit(0).alias("side"))
+    near = judged.filter("not linked and near").select(*put, own_b.alias("j"), _others(a).alias("i"), "cid", F.col("cid").alias("root"), F.lit(1).alias("side"))
+    return joined.unionByName(near)
+
+
+def among(left: DataFrame, each: int) -> DataFrame:
+    """Jobs that compare the left-overs (bucket, cid, root; n_left in the bucket) with each other."""
+    blocks, own = _block("n_left", each)
+    rows = left.filter("n_left > 1").select("bucket", "cid", "root", own.alias("_own"), _others(blocks).alias("_other"))
+    cross = F.col("_own") != F.col("_other")
+    return rows.select("bucket", cross.alias("cross"), F.lit(False).alias("joined"), F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "cid", "root", (F.col("_own") > F.col("_other")).cast("int").alias("side"))
+
+
 def links(classes: DataFrame, docs: DataFrame, n: int, salt: int, left_over: int = LEFT_OVER) -> DataFrame:
-    """Verified links (lead, cid) between classes (cid, bands)."""
+    """Verified links (lead, cid) between classes (cid, bands): they connect all classes that share a bucket and are similar."""
     rows, _ = materialize(classes.select("cid", F.explode("bands").alias("bucket")).filter("bucket <> 0").select("bucket", "cid"), "bands")
     links_, path = None, None
     while True:
@@ -304,15 +390,30 @@ def links(classes: DataFrame, docs: DataFrame, n: int, salt: int, left_over: int
         done, _ = materialize(verify(pairs, path, n), "verified")
         new = done.filter("linked").select("lead", "cid")
         links_ = new if links_ is None else links_.union(new)
-        rest, _ = materialize(led.join(done.filter("not linked"), ["lead", "cid"]).select("bucket", "cid"), "rest")
-        size = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        size, _ = materialize(size, "rest-sizes")
-        small = rest.join(size.filter(F.col("n") <= left_over).select("bucket"), "bucket", "left_semi")
-        last, _ = materialize(finish(small, path, n), "finished")
+        judged, _ = materialize(led.join(done, ["lead", "cid"]).select("bucket", "lead", "cid", "linked", "near"), "judged")
+        count = lambda which: F.sum(F.expr(which).cast("long"))
+        size = judged.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), count("linked").alias("n_joined"), count("not linked").alias("n_left"), count("near and not linked").alias("n_near"))
+        size, _ = materialize(size.filter("n_left > 1 or (n_joined > 0 and n_near > 0)"), "rest-sizes")
+        judged, _ = materialize(keyed_join(judged, size, "bucket", judged.count(), "n"), "rest")
+        left = judged.filter("not linked").withColumn("root", F.col("cid"))
+        last, _ = materialize(finish(across(judged, left_over).unionByName(among(left.filter(F.col("n_left") <= left_over), left_over)), path, n), "finished")
         links_ = links_.union(last)
-        if size.filter(F.col("n") > left_over).isEmpty():
+        large = F.col("n_left") > left_over
+        had, stay = size.filter(large).agg(F.sum("n"), F.sum("n_left")).first()
+        if not stay:
             return links_.distinct()
-        rows, _ = materialize(rest.join(size.filter(F.col("n") > left_over).select("bucket"), "bucket", "left_semi"), "next-round")
+        rows, _ = materialize(left.filter(large).select("bucket", "cid", "n_left"), "next-round")
+        if 2 * stay <= had:
+            rows = rows.select("bucket", "cid")
+            continue
+        # leaders take few: all that are not in one component yet are compared, block by block
+        root = components(links_.select(F.col("lead").alias("u"), F.col("cid").alias("v")))
+        rows, _ = materialize(rows.join(root, F.col("cid") == F.col("node"), "left").select("bucket", "cid", "n_left", F.coalesce("root", "cid").alias("root")), "labelled")
+        apart = rows.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count(F.lit(1)).alias("_n")).filter("_a <> _b").select("bucket", "_n")
+        apart, _ = materialize(apart, "apart")
+        rows, _ = materialize(keyed_join(rows, apart, "bucket", rows.count(), "_n"), "next-round")
+        last, _ = materialize(finish(among(rows, left_over), path, n), "finished")
+        return links_.union(last).distinct()
 
 
 # ---------------------------------------------------------------- connected components

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from conftest import SMALL
@@ -87,6 +88,50 @@ def test_recall_at_the_threshold():
     assert met >= 197 and far <= 30
 
 
+def test_template_and_its_copies(spark):
+    """Copies at 0.81 to a template and about 0.66 to each other: whichever leads, the template connects them all."""
+    rng = random.Random(11)
+    rows = []
+    for n in (320, 40):
+        base = [f"t{n}-{i}" for i in range(110)]
+        rows.append((len(rows), " ".join(base)))
+        for k in range(n):
+            w = list(base)
+            at = 5 * rng.randrange(20)
+            w[at : at + 1] = [f"x{k}"]
+            at = (at + 30 + rng.randrange(40)) % 100
+            w[at : at + 2] = [f"y{k}", f"z{k}"]
+            rows.append((len(rows), " ".join(w)))
+    rows += [(len(rows) + k, " ".join(f"o{rng.randint(0, 10**6)}" for _ in range(50))) for k in range(20)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute(rows)
+    assert sorted({x[2] for x in want}) == [1, 41, 321]
+    assert got(nd.near_dedup(df)) == want
+
+
+def test_links_connect_all_that_share_a_bucket(spark):
+    """No template: chains and copies that only some others are similar to, all in one bucket, against all pairs."""
+    rng = random.Random(12)
+    rows = []
+    for g in range(6):
+        w = [f"c{i}" for i in range(60)]
+        for k in range(25):
+            w = list(w)
+            w[rng.randrange(60)] = f"n{g}-{k}"
+            rows.append((len(rows), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cid = [int(x) for x in nd.sequences(pa.RecordBatch.from_pydict({"text": [t for _, t in rows]}))[2].view(np.int64)]
+    classes = spark.createDataFrame([(c, [5]) for c in cid], "cid long, bands array<long>")
+    least = {d: x for d, x, _ in brute(rows)}
+    want = {frozenset(c for (d, _), c in zip(rows, cid, strict=True) if least[d] == x) for x in least.values()}
+    root = {c: c for c in cid}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for r in nd.links(classes, docs, 16, 0, left_over=20).collect():
+        root[find(r.lead)] = find(r.cid)
+    assert {frozenset(c for c in cid if find(c) == x) for x in map(find, cid)} == want
+
+
 def test_banded_alignment():
     rng = random.Random(1)
     for _ in range(200):
