@@ -16,22 +16,26 @@ doc_id stays null; repeated rows give repeated results; extra columns are ignore
 
 from __future__ import annotations
 
-import contextlib
 import functools
 import hashlib
+import itertools
 import json
 import unicodedata
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import holding, over
 
-#: Entries of one generation of a worker's cache; two generations are held. Longer words are not kept.
-CACHE_WORDS, CACHE_BYTES = 250_000, 48
+#: Entries of a worker's cache. Longer words are not kept.
+CACHE_WORDS, CACHE_BYTES = 400_000, 48
+#: Bytes of text encoded at once.
+_STEP = 4 << 20
 _NONE = np.int64(1) << 40
 
 
@@ -48,6 +52,23 @@ def _byte_symbols() -> list[str]:
     return out
 
 
+def _hash_tables(keys: np.ndarray, ranks: np.ndarray) -> list[tuple[np.int64, np.uint64, np.ndarray, np.ndarray]]:
+    """Tables (multiplier, shift, keys, ranks) that hold each key in one of them, at its hash: what collides goes to the next, smaller one."""
+    out, odd = [], 0x5851F42D4C957F2D
+    while len(keys) or not out:
+        bits = max(8, (16 * len(keys)).bit_length())
+        at = (keys * np.int64(odd)).view(np.uint64) >> np.uint64(64 - bits)
+        slot, first = np.unique(at, return_index=True)
+        own, rank = np.full(1 << bits, -1, np.int64), np.full(1 << bits, _NONE)
+        own[slot], rank[slot] = keys[first], ranks[first]
+        out.append((np.int64(odd), np.uint64(64 - bits), own, rank))
+        rest = np.ones(len(keys), bool)
+        rest[first] = False
+        keys, ranks = keys[rest], ranks[rest]
+        odd = odd * 0x2545F4914F6CDD1D % (1 << 63) | 1
+    return out
+
+
 class SegmentTreeBPE:
     """A tokenizer file of byte-level BPE with word ends."""
 
@@ -67,7 +88,7 @@ class SegmentTreeBPE:
         ranks = np.arange(len(keys))
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         last = np.unique(keys[::-1], return_index=True)  # a pair given twice has its later rank
-        self.keys, self.ranks = last[0], ranks[::-1][last[1]]
+        self.tables = _hash_tables(last[0], ranks[::-1][last[1]])
         self.made = made
         self.strings = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for s, i in [*vocab.items(), *self.special.items()]:
@@ -77,8 +98,12 @@ class SegmentTreeBPE:
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 20 | b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], _NONE)
+        out = None
+        for odd, shift, keys, ranks in self.tables:
+            at = (key * odd).view(np.uint64) >> shift
+            rank = np.where(keys[at] == key, ranks[at], _NONE)
+            out = rank if out is None else np.minimum(out, rank)
+        return out
 
     def _merge(self, sym: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of symbols, each with n[i] >= 2 of them, to the symbols left (concatenated) and how many each row has."""
@@ -176,32 +201,34 @@ class SegmentTreeBPE:
                 else:
                     part = unicodedata.normalize("NFC", part)
                     low = "".join(c.lower() for c in part) if "Σ" in part else part.lower()
-                out += [p.encode() for p in self.pattern.findall(low)]
+                out += [low.encode()] if low.isalpha() else [p.encode() for p in self.pattern.findall(low)]
         return out
 
-    def encode_words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word as little-endian unsigned 32-bit integers."""
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after another, and the offsets of the words."""
         pieces: list[bytes] = []
-        plans: list[tuple[int, int] | list] = []
+        n, fixed = [], []
         for w in words:
+            if w.isalpha():  # of ASCII letters: a pre-token as it is
+                pieces.append(w.lower())
+                n.append(1)
+                continue
             found = self._split(w)
-            at = len(pieces)
-            if any(isinstance(x, int) for x in found):
-                plan = []
-                for x in found:
-                    plan.append(x if isinstance(x, int) else (len(pieces),))
-                    pieces += [] if isinstance(x, int) else [x]
-                plans.append(plan)
-            else:
-                pieces += found
-                plans.append((at, len(pieces)))
+            n.append(len(found))
+            for x in found:
+                if isinstance(x, int):
+                    fixed.append((len(pieces), x))
+                    x = b""
+                pieces.append(x)
         ids, offsets = self.encode_pieces(pieces)
-        raw, at = ids.astype("<u4").tobytes(), (4 * offsets).tolist()
-        return [raw[at[p[0]] : at[p[1]]] if isinstance(p, tuple) else b"".join(x.to_bytes(4, "little") if isinstance(x, int) else raw[at[x[0]] : at[x[0] + 1]] for x in p) for p in plans]
+        if fixed:
+            at, special = map(np.array, zip(*fixed, strict=True))
+            ids = np.insert(ids, offsets[at], special.astype(np.uint32))
+            offsets = offsets + np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(pieces)))])
+        return ids, offsets[np.concatenate([[0], np.cumsum(np.array(n, np.int64))])]
 
     def encode(self, text: str) -> list[int]:
-        words = text.encode().split()
-        return np.frombuffer(b"".join(self.encode_words(words)), "<u4").tolist()
+        return self.encode_words(text.encode().split())[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Token strings joined by spaces: what the library does where a file names no decoder; it leaves unknown ids out."""
@@ -225,42 +252,54 @@ def spread(text: bytes) -> bytes:
     return text.replace(b",", b" , ").replace(b".", b" . ")
 
 
+@dataclass
+class Encoded:
+    """Some documents' ids one after another; slots: the cache's number of each of their words, those of document i from rows[i] on."""
+
+    ids: np.ndarray
+    ends: np.ndarray  # of the documents, in ids; 0 first
+    slots: np.ndarray
+    rows: np.ndarray
+
+
 class WordCache:
-    """Ids by word, in two generations: the older one is dropped when the younger is full."""
+    """Ids by word. A slice of texts is split into words and these are numbered by Arrow, so only distinct words are looked up, those
+    not known are encoded together, and numpy gathers the ids of all words. Everything is dropped when the limit is passed."""
 
     def __init__(self, encode_words, limit: int = CACHE_WORDS):
         self.encode_words, self.limit = encode_words, limit
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def documents(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text."""
-        young, old = self.young, self.old
-        split = [spread(t).split() for t in texts]
-        found = [list(map(young.get, ws)) for ws in split]
-        gaps: list[tuple[list, int, bytes]] = []
-        for ws, ids in zip(split, found, strict=True):
-            i = -1
-            with contextlib.suppress(ValueError):
-                while True:
-                    i = ids.index(None, i + 1)
-                    gaps.append((ids, i, ws[i]))
-        need = {w for _, _, w in gaps}
-        if need:
-            fresh = {}
-            new = []
-            for w in need:
-                if (x := old.get(w)) is None:
-                    new.append(w)
-                else:
-                    fresh[w] = x
-            fresh.update(zip(new, self.encode_words(new), strict=True))
-            for ids, i, w in gaps:
-                ids[i] = fresh[w]
-            young.update(fresh if max(map(len, new), default=0) <= CACHE_BYTES else {w: x for w, x in fresh.items() if len(w) <= CACHE_BYTES})
-            if len(young) > self.limit:
-                self.old, self.young = young, {}
-        return [b"".join(ids) for ids in found]
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slot: dict[bytes, int] = {}
+        self.ids, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def encode(self, texts: list[bytes]) -> Encoded:
+        if len(self.start) > self.limit or len(self.ids) > 8 * self.limit:
+            self._clear()
+        try:
+            col = pa.array([spread(t) for t in texts], pa.large_binary()).cast(pa.large_string())
+        except pa.ArrowInvalid:  # not UTF-8
+            col = pa.array([spread(t).decode("utf-8", "replace") for t in texts], pa.large_string())
+        lists = pc.ascii_split_whitespace(col)
+        coded = lists.flatten().dictionary_encode()
+        words = pc.binary_join(pa.LargeListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), pa.scalar(" ", pa.large_string()))[0].as_py().encode().split(b" ") if len(coded) else []
+        slots = np.array(list(map(self.slot.get, words, itertools.repeat(-1))), np.int64)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            fresh = [words[i] for i in new.tolist()]
+            ids, offsets = self.encode_words(fresh)
+            at = len(self.start) - 1
+            slots[new] = at + np.arange(len(new))
+            self.slot.update((w, i) for i, w in enumerate(fresh, at) if len(w) <= CACHE_BYTES)
+            self.start = np.concatenate([self.start, len(self.ids) + offsets[1:]])
+            self.ids = np.concatenate([self.ids, ids])
+        own = slots[np.asarray(coded.indices)] if len(words) else slots
+        n = self.start[own + 1] - self.start[own]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = self.ids[np.repeat(self.start[own] - ends[:-1], n) + np.arange(ends[-1])]
+        rows = np.asarray(lists.offsets).astype(np.int64) - lists.offsets[0].as_py()
+        return Encoded(ids, ends[rows], own, rows)
 
 
 @functools.lru_cache(maxsize=1)
@@ -274,13 +313,25 @@ def texts_of(part: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [b"" if x is None else x for x in part.column(part.schema.get_field_index(column)).cast(pa.binary()).to_pylist()]
 
 
+def decoded(bpe: SegmentTreeBPE, cache: WordCache, got: Encoded) -> pa.Array:
+    """The texts decoded from the ids: each distinct word's token strings are joined once, then the words of a document."""
+    used, at = np.unique(got.slots, return_inverse=True)
+    start, stop = cache.start[used].tolist(), cache.start[used + 1].tolist()
+    ids, s = cache.ids, bpe.strings
+    words = pa.array([b" ".join([s[i] for i in ids[a:b].tolist()]) for a, b in zip(start, stop, strict=True)], pa.large_binary())
+    full = np.flatnonzero((cache.start[got.slots + 1] > cache.start[got.slots]))
+    rows = np.searchsorted(full, got.rows)
+    lists = pa.LargeListArray.from_arrays(pa.array(rows, pa.int64()), words.take(pa.array(at[full])))
+    return pc.binary_join(lists, pa.scalar(b" ", pa.large_binary()))
+
+
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (array<int>) and decoded text of each document."""
 
     def run(part: pa.RecordBatch) -> dict:
         bpe, cache = tree_tokenizer(path)
-        ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in cache.documents(texts_of(part))]
-        return {"doc_id": part.column(0), "ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array([bpe.decode(x.tolist()) for x in ids], pa.string())}
+        got = cache.encode(texts_of(part))
+        return {"doc_id": part.column(0), "ids": pa.ListArray.from_arrays(pa.array(got.ends, pa.int32()), pa.array(got.ids.astype(np.int32))), "decoded": decoded(bpe, cache, got).cast(pa.string())}
 
     return over(docs, ["doc_id", "text"], "doc_id long, ids array<int>, decoded string", run, name="bpe")
 
@@ -290,16 +341,16 @@ def encode_digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFr
 
     def run(part: pa.RecordBatch) -> dict:
         bpe, cache = tree_tokenizer(path)
-        ids = cache.documents(texts_of(part))
-        s = bpe.strings
-        decoded = [hashlib.sha256(b" ".join([s[i] for i in np.frombuffer(x, "<u4").tolist()])).hexdigest() for x in ids]
-        out = {"doc_id": part.column(0), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids]), "decoded_sha256": pa.array(decoded, pa.string())}
+        got = cache.encode(texts_of(part))
+        raw, ends = memoryview(got.ids.astype("<u4").tobytes()), (4 * got.ends).tolist()
+        texts = [hashlib.sha256(x.as_buffer()).hexdigest() for x in decoded(bpe, cache, got)]
+        digests = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in itertools.pairwise(ends)]
+        out = {"doc_id": part.column(0), "n_tokens": pa.array(np.diff(got.ends), pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(texts, pa.string())}
         if with_ids:
-            ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])
-            out["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
+            out["ids"] = pa.ListArray.from_arrays(pa.array(got.ends, pa.int32()), pa.array(got.ids.astype(np.int32)))
         return out
 
-    return over(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id", "text"], "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, run, name="bpe")
+    return over(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id", "text"], "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, run, _STEP, name="bpe")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -5,14 +5,15 @@ fits, else 32), ``.idx`` (int64 offsets of its documents within the part, one mo
 A part's first id in the whole corpus, its base, is the prefix sum of the parts before it. Files of a failed or repeated
 attempt have other names and no row points at them. Readers map the files and touch only what they return.
 
+The ids are those of the tokenizers library for the file; they come from the segment-tree encoder.
+
 Edge cases: null and empty texts hold the end id alone; null doc_ids come first and are stored as the least int64; equal
-doc_ids keep all their rows, in the order of their texts; an empty table gives no parts. The shared folder must be mounted
+doc_ids keep all their rows, in the order of a hash of their texts; an empty table gives no parts. The shared folder must be mounted
 (``file:``) since files are mapped.
 """
 
 from __future__ import annotations
 
-import functools
 import os
 import uuid
 import zlib
@@ -26,65 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tessera.llm.bpe import WordCache, texts_of
-from tessera.llm.common import enter, holding, local_path, materialize, new_path, steps
+from tessera.llm.bpe import _STEP, texts_of, tree_tokenizer
+from tessera.llm.common import enter, local_path, materialize, new_path, steps
 
 _NULL = np.iinfo(np.int64).min
 
 
-@functools.lru_cache(maxsize=1)
-def library_tokenizer(path: str) -> tuple[object, WordCache, int]:
-    """The tokenizers library behind a cache: no word of this file's kind reaches over ASCII white space."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    tok.no_truncation()
-    tok.no_padding()
-
-    ends = np.zeros(tok.get_vocab_size(), bool)
-    ends[[i for x, i in tok.get_vocab().items() if x.endswith("</w>")]] = True
-
-    def one_by_one(words: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in tok.encode_batch_fast(words, add_special_tokens=False)]
-
-    def joined(words: list[str], pieces: int) -> list[bytes]:
-        """Words of so many pre-tokens each, a thousand in a call: each pre-token's last id ends a word."""
-        out: list[bytes] = []
-        for lo in range(0, len(words), 1000):
-            part = words[lo : lo + 1000]
-            ids = np.array(tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cut = np.flatnonzero(ends[ids]) + 1
-            if len(cut) != pieces * len(part):
-                out += one_by_one(part)
-                continue
-            raw, at = ids.tobytes(), [0, *(4 * cut[pieces - 1 :: pieces]).tolist()]
-            out += [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
-        return out
-
-    def encode_words(words: list[bytes]) -> list[bytes]:
-        kinds: tuple[list, list, list] = ([], [], [])
-        for w in words:
-            plain = w.isascii()
-            kinds[1 if plain and w.isalpha() else 2 if plain and w[-1] in b".,;:!?" and w[:-1].isalpha() else 0].append(w)
-        got = dict(zip(kinds[0], one_by_one([w.decode("utf-8", "replace") for w in kinds[0]]), strict=True))
-        for n in (1, 2):
-            got.update(zip(kinds[n], joined([w.decode() for w in kinds[n]], n), strict=True))
-        return [got[w] for w in words]
-
-    return tok, WordCache(encode_words), tok.get_vocab_size()
-
-
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int | None) -> DataFrame:
     """Writes the parts below path (in the shared folder); returns part, name, n_docs, n_tokens, base, width."""
     where = local_path(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter("library")
-        _, cache, size = library_tokenizer(tokenizer)
-        holding("library", library_tokenizer.cache_clear)
-        kind = "<u2" if max(size, (end_id or 0) + 1) <= 1 << 16 else "<u4"
-        end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
+        enter("bpe")
+        bpe, cache = tree_tokenizer(tokenizer)
+        kind = "<u2" if max(len(bpe.strings), (end_id or 0) + 1) <= 1 << 16 else "<u4"
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
         os.makedirs(where, exist_ok=True)
@@ -92,20 +48,23 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
         with open(f"{where}/{name}.bin", "wb") as ids_f, open(f"{where}/{name}.idx", "wb") as idx_f, open(f"{where}/{name}.doc", "wb") as doc_f:
             idx_f.write(np.zeros(1, "<i8").tobytes())
             for batch in batches:
-                for rows in steps(batch):
-                    ids = [x + end for x in cache.documents(texts_of(rows))]
-                    ends = n_tokens + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
-                    ids_f.write(np.frombuffer(b"".join(ids), "<u4").astype(kind).tobytes())
-                    idx_f.write(ends.astype("<i8").tobytes())
+                for rows in steps(batch, limit=_STEP):
+                    got = cache.encode(texts_of(rows))
+                    ids, ends = got.ids, got.ends[1:]
+                    if end_id is not None:
+                        ids, ends = np.insert(ids, ends, np.uint32(end_id)), ends + np.arange(1, len(ends) + 1)
+                    ids_f.write(ids.astype(kind).tobytes())
+                    idx_f.write((n_tokens + ends).astype("<i8").tobytes())
                     doc_f.write(np.asarray(pc.fill_null(rows.column(0), int(_NULL)), "<i8").tobytes())
-                    n_docs, n_tokens = n_docs + len(ids), int(ends[-1])
+                    n_docs, n_tokens = n_docs + len(ends), n_tokens + len(ids)
         if n_docs:
             yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "n_docs": [n_docs], "n_tokens": [n_tokens], "width": [int(kind[2])]})
         else:
             for x in ("bin", "idx", "doc"):
                 os.remove(f"{where}/{name}.{x}")
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_x"))  # rows of one doc_id are dealt by their texts
+    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "_x").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_x", "text").select("doc_id", "text")
     parts, _ = materialize(ordered.mapInArrow(run, "part long, name string, n_docs long, n_tokens long, width long"), "token-parts")
     return parts.withColumn("base", F.coalesce(F.sum("n_tokens").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
 
