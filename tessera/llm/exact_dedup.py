@@ -7,8 +7,8 @@ text is read where it lies and never moves with its document. If an identifier e
 of the chunk contents themselves are used instead, so the outcome is exact in any case.
 
 Edge cases: null and empty texts normalise to the empty text and form one group with an empty recipe. A null doc_id counts
-as larger than any other. Rows that repeat both doc_id and text are counted one by one and all marked kept when their
-doc_id is the one that stays. Extra columns are ignored; an empty table gives an empty result.
+as larger than any other. Of rows that share a doc_id but differ in white space only those with the most code points are
+kept; rows that also agree in that are counted one by one and all marked kept when their doc_id is the one that stays. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -51,17 +51,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         lists = cut.select("doc_id", "n_cp", F.sha2(F.encode("_norm", "UTF-8"), 256).alias("text_sha256"), F.regexp_extract_all("_norm", F.lit(CHUNKS), F.lit(0)).alias("recipe"))
     lists, _ = materialize(lists, "recipes")
     best = F.min(F.struct((-F.col("n_cp")).alias("n"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"))).alias("best")
-    groups = lists.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"), best).select("recipe", "group_size", F.col("best.doc_id").alias("keep_id"))
+    groups = lists.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"), best).select("recipe", "group_size", F.col("best.doc_id").alias("keep_id"), (-F.col("best.n")).alias("keep_cp"))
     groups, _ = materialize(groups, "recipe-groups")
     out = heavy_join(lists, groups, ["recipe"], lists.count(), "group_size")
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_cp") == F.col("keep_cp"))).alias("kept"), "text_sha256")
 
 
 ORACLE = r"""
 SELECT doc_id,
        first_value(doc_id) OVER w AS keep_id,
        count(*) OVER (PARTITION BY norm) AS group_size,
-       doc_id = first_value(doc_id) OVER w AS kept,
+       doc_id IS NOT DISTINCT FROM first_value(doc_id) OVER w AND n_cp = first_value(n_cp) OVER w AS kept,
        sha256(norm) AS text_sha256
 FROM (SELECT doc_id, length(coalesce(text, '')) AS n_cp,
              regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)

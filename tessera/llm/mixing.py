@@ -11,8 +11,8 @@ the largest R/W and each target is min(cap, weight * level): no iteration.
 
 A document is taken whole: it belongs to the last, partial epoch if its middle lies within the budget's remainder, so a
 source's taken words differ from its target by half a document at most. Edge cases: null and empty texts have size 0 and
-are never taken; null sources are one source; a null doc_id is keyed as such; equal rows have equal keys and are taken one
-after the other; a total of 0 gives targets of 0.
+are never taken; null sources are one source; keys come from doc_id (null too) and text, so rows that share one of them are
+spread; equal rows have equal keys and are taken one after the other; a total of 0 gives targets of 0.
 """
 
 from __future__ import annotations
@@ -25,11 +25,13 @@ from tessera.llm.common import fresh, materialize, small
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Documents in one range of keys, about.
-RANGE_ROWS = 4096
+RANGE_ROWS = 1024
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORDS)).cast("long").alias("size"))
+def sizes(docs: DataFrame, seed: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.md5(F.encode(text, "UTF-8"))).cast("binary"))
+    return docs.select("doc_id", "source", key.alias("_key"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORDS)).cast("long").alias("size"))
 
 
 def targets(by_source: DataFrame, cap: int = 3, cycle: int = 3) -> DataFrame:
@@ -46,11 +48,10 @@ def targets(by_source: DataFrame, cap: int = 3, cycle: int = 3) -> DataFrame:
 
 def mix_sources(docs: DataFrame, seed: str = "mix", cap: int = 3) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (a multiple of size, at most cap times it)."""
-    sized, _ = materialize(sizes(docs), "mix-sizes")
+    sized, _ = materialize(sizes(docs, seed), "mix-sizes")
     bits = max(0, (sized.count() // RANGE_ROWS)).bit_length()
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     lead = F.conv(F.substring(F.col("_key"), 1, 8), 16, 10).cast("long")
-    keyed = sized.select("*", key.alias("_key")).select("*", F.shiftright(lead, 32 - bits).cast("int").alias("_range") if bits else F.lit(0).alias("_range"), F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_no"))
+    keyed = sized.select("*", F.shiftright(lead, 32 - bits).cast("int").alias("_range") if bits else F.lit(0).alias("_range"), F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_no"))
     held = ["_no", "_s", "_range"]
     sums = keyed.groupBy(*held).agg(F.sum("size").alias("n"))
     sums, n_bytes = materialize(sums.select("*", F.coalesce(F.sum("n").over(W.partitionBy("_no", "_s").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base")), "mix-ranges")
@@ -68,7 +69,7 @@ def mix_sources(docs: DataFrame, seed: str = "mix", cap: int = 3) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k,
+  SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS k,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT source, source_size, 3 * source_size AS cap,
