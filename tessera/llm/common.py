@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: A table up to so many bytes may be broadcast; its size is read from its files first. In memory it takes about 13 times that.
 BROADCAST_BYTES = 8 << 20
+#: Parts that a heavy key's rows are dealt to where its group is too long to be broadcast.
+SALTS = 64
 #: Bytes of text that one vectorised step holds; longer single documents are a step of their own.
 STEP_BYTES = 1 << 20
 
@@ -31,9 +34,12 @@ _scratch: dict[str, SparkSession] = {}
 # ---------------------------------------------------------------- tables in the shared folder
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one where the setting is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``); where the setting is unset, a temporary one in local mode, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -96,14 +102,19 @@ def small(df: DataFrame, n_bytes: int) -> DataFrame:
 def heavy_join(rows: DataFrame, groups: DataFrame, keys: list[str], n_rows: int, size: str) -> DataFrame:
     """Left join of rows with one row for each key, safe where one key holds a large share of the rows.
 
-    At most 1000 keys can hold a thousandth of the rows each: those are broadcast, a bound that holds whatever the data.
-    The rest are joined by a shuffle in which no key has over a thousandth of the rows. keys: not null on both sides.
+    At most 1000 keys can hold a thousandth of the rows each: those are broadcast if their table's bytes allow it (keys may be
+    long), else they are repeated under SALTS numbers and the rows dealt over these. The rest are joined by a shuffle in which no
+    key has over a thousandth of the rows. keys: not null on both sides.
     """
     cut = max(1, n_rows // 1000)
     put = [c for c in groups.columns if c not in keys]
-    heavy = groups.filter(F.col(size) > cut).withColumn("_heavy", F.lit(True))
+    heavy, n_bytes = materialize(groups.filter(F.col(size) > cut).withColumn("_heavy", F.lit(True)), "heavy-groups")
     rest = groups.filter(F.col(size) <= cut)
-    first = rows.join(F.broadcast(heavy), keys, "left")
+    if n_bytes <= BROADCAST_BYTES:
+        first = rows.join(F.broadcast(heavy), keys, "left")
+    else:
+        salted = heavy.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        first = rows.withColumn("_salt", F.pmod(F.xxhash64(*(F.col(c) for c in rows.columns if c not in keys)), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"], "left").drop("_salt")
     done = first.filter(F.col("_heavy")).drop("_heavy")
     todo = first.filter(F.col("_heavy").isNull()).drop("_heavy", *put)
     return done.unionByName(todo.join(rest, keys, "left"))
@@ -280,7 +291,9 @@ def lowered(data: np.ndarray) -> np.ndarray:
 
 
 def minima(h: np.ndarray, width: int) -> np.ndarray:
-    """For each i the least of h[i : i + width]; doubling, so log2(width) passes."""
+    """For each i the least of h[i : i + width]; doubling, so log2(width) passes. Nothing if h is shorter than width."""
+    if len(h) < width:
+        return h[:0]
     out, have = h, 1
     while have * 2 <= width:
         out = np.minimum(out[: len(out) - have], out[have:])
@@ -308,10 +321,14 @@ def ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 # ---------------------------------------------------------------- packed exchange
 
+#: Hash ranges and shuffle partitions of a packed exchange at most: beyond 2 TB of text ranges grow, not the number of pieces.
+MAX_RANGES, MAX_PARTITIONS = 1 << 17, 1 << 14
+
+
 def buckets_for(docs: DataFrame, text: str = "text", each: int = 16 << 20) -> int:
-    """A power of two of hash ranges: about one for each 16 MB of text, 16 at least."""
+    """A power of two of hash ranges: about one for each 16 MB of text, 16 at least, MAX_RANGES at most."""
     n = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
-    return 1 << max(4, (n // each).bit_length())
+    return min(MAX_RANGES, 1 << max(4, (n // each).bit_length()))
 
 
 def split_by_bucket(keys: np.ndarray, n_buckets: int) -> Iterator[tuple[int, slice]]:
@@ -324,6 +341,8 @@ def split_by_bucket(keys: np.ndarray, n_buckets: int) -> Iterator[tuple[int, sli
 
 
 BLOBS = "kind int, bucket int, data binary"
+_EMPTY = -1
+FOLD_BYTES = 16 << 20
 
 
 def blobs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -331,28 +350,36 @@ def blobs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"kind": pa.array(kind, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "data": pa.array(data, pa.binary())})
 
 
-def reduce_blobs(df: DataFrame, n_buckets: int, schema: str, f: Callable[[int, dict[int, list[bytes]]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """Brings the blobs of a bucket together and calls f(bucket, {kind: blobs}) once for each bucket.
+def reduce_blobs(df: DataFrame, n_buckets: int, schema: str, f: Callable[[int, dict[int, list[bytes]]], Iterator[pa.RecordBatch]], fold: Callable[[dict[int, list[bytes]]], dict[int, list[bytes]]] | None = None) -> DataFrame:
+    """Brings the blobs of a bucket together and calls f(bucket, {kind: blobs}) once for each bucket, also for those without blobs:
+    so each range's files are written, and a reader that misses one fails instead of finding nothing.
 
-    A bucket is a range of hash values and mappers combine equal keys, so no bucket depends on how often one key occurs.
+    A bucket is a range of hash values and mappers combine equal keys, so no bucket depends on how often one key occurs. A
+    partition holds many buckets where there are more than MAX_PARTITIONS; its task works on one after the other. With fold,
+    which adds up blobs of a bucket, never more than FOLD_BYTES of new ones are held beside the sums.
     """
+    every = df.sparkSession.range(n_buckets).select(F.lit(_EMPTY).cast("int").alias("kind"), F.col("id").cast("int").alias("bucket"), F.lit(b"").alias("data"))
 
     def run(batches):
         enter()
-        at, held = None, {}
+        at, held, size = None, {}, 0
         for batch in batches:
             for kind, bucket, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if bucket != at:
-                    if held:
+                    if at is not None:
                         yield from f(at, held)
-                    at, held = bucket, {}
-                held.setdefault(kind, []).append(data)
-        if held:
+                    at, held, size = bucket, {}, 0
+                if kind != _EMPTY:
+                    held.setdefault(kind, []).append(data)
+                    size += len(data)
+                if fold and size > FOLD_BYTES:
+                    held, size = fold(held), 0
+        if at is not None:
             yield from f(at, held)
         held = {}
         leave()
 
-    return df.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return df.unionByName(every).repartition(min(n_buckets, MAX_PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
 def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:

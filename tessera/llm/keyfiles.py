@@ -32,9 +32,8 @@ def save_array(file: str, a: np.ndarray) -> None:
 
 
 @functools.lru_cache(maxsize=2048)
-def open_array(file: str) -> np.ndarray | None:
-    if not os.path.exists(file):
-        return None
+def open_array(file: str) -> np.ndarray:
+    """Every range writes its files, empty ones too: one that is missing is an error (a folder that is not mounted), not an empty range."""
     return np.load(file, mmap_mode="r") if os.path.getsize(file) > 128 else np.load(file)
 
 
@@ -72,7 +71,7 @@ class KeyFiles:
         out = np.zeros(len(h), bool)
         for b, s in split_by_bucket(sorted_h, self.n):
             own = open_array(f"{self.path}/{name}-{b}.npy")
-            if own is None or not len(own):
+            if not len(own):
                 continue
             want = short_keys(sorted_h[s], self.n)
             at = np.minimum(np.searchsorted(own, want), len(own) - 1)
@@ -110,8 +109,8 @@ def repeated(docs: DataFrame, columns: list[str], hashes: Callable[[pa.RecordBat
 
     def store(bucket: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
         os.makedirs(path, exist_ok=True)
-        keys, counts = [], []
-        for x in held[0]:
+        keys, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
+        for x in held.get(0, []):
             step, m, c = unpack(x)
             keys.append(np.cumsum(step, dtype=step.dtype))
             own = np.ones(len(step), np.uint32)
@@ -120,8 +119,8 @@ def repeated(docs: DataFrame, columns: list[str], hashes: Callable[[pa.RecordBat
         key, c = np.concatenate(keys), np.concatenate(counts)
         order = np.argsort(key)
         key, c = key[order], c[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        c = np.add.reduceat(c, first, dtype=np.int64)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+        c = np.add.reduceat(c, first, dtype=np.int64) if len(first) else c
         key = key[first]
         save_array(f"{path}/key-{bucket}.npy", key[c > 1])
         if hot is not None:

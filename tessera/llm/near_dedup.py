@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BLOBS, Rolling, blobs, buckets_for, enter, keyed_join, local_path, materialize, mix, new_path, over, reduce_blobs, split_by_bucket, steps, text_bytes, wide, words
+from tessera.llm.common import BLOBS, MAX_PARTITIONS, Rolling, blobs, buckets_for, enter, keyed_join, local_path, materialize, mix, new_path, over, reduce_blobs, split_by_bucket, steps, text_bytes, wide, words
 from tessera.llm.keyfiles import open_array, pack, save_array, unpack
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -236,19 +236,21 @@ def store_sequences(docs: DataFrame, wanted: DataFrame, n: int, salt: int) -> st
         at, held = None, []
         for batch in batches:
             for b, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if b != at and held:
+                if b != at and at is not None:
                     save_array(f"{path}/want-{at}.npy", np.sort(np.array(held, np.int64).view(np.uint64)))
                     yield pa.RecordBatch.from_pydict({"n": [len(held)]})
                     held = []
                 at = b
-                held.append(c)
-        if held:
+                if c is not None:
+                    held.append(c)
+        if at is not None:
             save_array(f"{path}/want-{at}.npy", np.sort(np.array(held, np.int64).view(np.uint64)))
             yield pa.RecordBatch.from_pydict({"n": [len(held)]})
 
     bits = n.bit_length() - 1
     range_of = F.shiftrightunsigned("cid", 64 - bits).cast("int") if bits else F.lit(0)
-    materialize(wanted.select(range_of.alias("b"), "cid").repartition(n, "b").sortWithinPartitions("b").mapInArrow(keys, "n long"), "wanted")
+    every = wanted.sparkSession.range(n).select(F.col("id").cast("int").alias("b"), F.lit(None).cast("long").alias("cid"))  # each range has its file
+    materialize(wanted.select(range_of.alias("b"), "cid").unionByName(every).repartition(min(n, MAX_PARTITIONS), "b").sortWithinPartitions("b").mapInArrow(keys, "n long"), "wanted")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter()
@@ -260,7 +262,7 @@ def store_sequences(docs: DataFrame, wanted: DataFrame, n: int, salt: int) -> st
                 out = []
                 for b, s in split_by_bucket(cid[order], n):
                     own = open_array(f"{path}/want-{b}.npy")
-                    if own is None:
+                    if not len(own):
                         continue
                     q = order[s]
                     q = q[own[np.minimum(np.searchsorted(own, cid[q]), len(own) - 1)] == cid[q]]
@@ -271,8 +273,8 @@ def store_sequences(docs: DataFrame, wanted: DataFrame, n: int, salt: int) -> st
                     yield blobs(out)
 
     def store(bucket: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
-        cids, sizes, data = (list(x) for x in zip(*map(unpack, held[0]), strict=True))
-        cid, size, data = np.concatenate(cids), np.concatenate(sizes), np.concatenate(data)
+        none = [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32)]
+        cid, size, data = map(np.concatenate, zip(none, *map(unpack, held.get(0, [])), strict=True))
         first = np.cumsum(size) - size
         cid, at = np.unique(cid, return_index=True)
         size, first = size[at], first[at]

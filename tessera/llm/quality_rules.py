@@ -1,7 +1,7 @@
 """Quality rules: word and repetition counts, then n-gram perplexity within bands of each language.
 
 The model is a modified Kneser-Ney model of the bytes of lower-cased texts, one for each language, order 5. Tasks count the
-5-grams of all texts, Spark sums them by ranges of keys, and one task a language, whose input is distinct 5-grams
+5-grams of all texts, Spark sums them by ranges of keys (a range for each 128 MB of text, added up piece by piece), and one task a language, whose input is distinct 5-grams
 and so follows the alphabet rather than the corpus, derives the lower orders and writes arrays sorted by packed key (a hash
 without collisions), with ready probabilities and back-off weights. Workers memory-map them. Each language's bands come from the
 histogram of all its documents that pass the base rules: the quartiles, FENCE quartile distances further out on either side. A
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tessera.llm.common import BLOBS, Rolling, blobs, enter, local_path, lowered, materialize, mix, new_path, over, reduce_blobs, small, split_by_bucket, steps, summed, text_bytes, words
+from tessera.llm.common import BLOBS, Rolling, blobs, buckets_for, enter, local_path, lowered, materialize, mix, new_path, over, reduce_blobs, small, split_by_bucket, steps, summed, text_bytes, words
 from tessera.llm.word_lm import _save, discounts
 
 ORDER = 5
@@ -33,7 +33,6 @@ ORDER = 5
 FENCE = 3.0
 #: The mean over a text of n bytes scatters more the shorter it is: bands are sqrt(1 + SHORT / n) times as far out.
 SHORT = 1500.0
-_RANGES = 16
 _BOS, _EOS = 0xFF, 0xFE  # no byte of UTF-8
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -97,7 +96,8 @@ def byte_grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def language_of(part: pa.RecordBatch) -> list[str]:
-    return ["\0" if x is None else x for x in part.column(part.schema.get_field_index("lang")).to_pylist()]
+    """A name for each row's language: empty for null, else the language after an s."""
+    return ["" if x is None else "s" + x for x in part.column(part.schema.get_field_index("lang")).to_pylist()]
 
 
 def _by_language(part: pa.RecordBatch, langs: list[str]) -> Iterator[tuple[str, np.ndarray, pa.RecordBatch]]:
@@ -139,7 +139,7 @@ def build(keys: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
 
 def train(docs: DataFrame) -> str:
     """Counts the 5-grams of all docs (text, lang) and writes the models; returns their path as the system opens it."""
-    path = local_path(new_path(docs.sparkSession, "byte-lm"))
+    path, n = local_path(new_path(docs.sparkSession, "byte-lm")), buckets_for(docs, each=128 << 20)
 
     def emit(held: dict[str, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         out = []
@@ -148,7 +148,7 @@ def train(docs: DataFrame) -> str:
             spread = mix(key)
             order = np.argsort(spread)
             name = lang.encode()
-            for b, s in split_by_bucket(spread[order], _RANGES):
+            for b, s in split_by_bucket(spread[order], n):
                 own = np.sort(order[s])
                 out.append((len(name), b, name + pack(np.diff(key[own], prepend=np.uint64(0)).tobytes() + c[own].tobytes())))
         return blobs(out)
@@ -175,14 +175,22 @@ def train(docs: DataFrame) -> str:
         raw = [np.frombuffer(zstandard.ZstdDecompressor().decompress(y), np.uint64) for y in x]
         return summed(np.concatenate([np.cumsum(y[: len(y) // 2], dtype=np.uint64) for y in raw]), np.concatenate([y[len(y) // 2 :] for y in raw]))
 
-    def add_up(_: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
-        by_lang: dict[str, list[bytes]] = {}
-        for n, xs in held.items():
+    def fold(held: dict[int, list[bytes]]) -> dict[int, list[bytes]]:
+        """One piece for each language."""
+        by_lang: dict[bytes, list[bytes]] = {}
+        for k, xs in held.items():
             for x in xs:
-                by_lang.setdefault(x[:n].decode(), []).append(x[n:])
+                by_lang.setdefault(x[:k], []).append(x[k:])
+        out: dict[int, list[bytes]] = {}
         for lang, xs in by_lang.items():
             key, c = gather(xs)
-            yield pa.RecordBatch.from_pydict({"lang": [lang], "data": [zstandard.ZstdCompressor(level=1).compress(np.diff(key, prepend=np.uint64(0)).tobytes() + c.tobytes())]})
+            out.setdefault(len(lang), []).append(lang + zstandard.ZstdCompressor(level=1).compress(np.diff(key, prepend=np.uint64(0)).tobytes() + c.tobytes()))
+        return out
+
+    def add_up(_: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        for k, xs in fold(held).items():
+            for x in xs:
+                yield pa.RecordBatch.from_pydict({"lang": [x[:k].decode()], "data": [x[k:]]})
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def write(lang: str, xs: list[bytes]) -> pa.RecordBatch:
@@ -202,8 +210,8 @@ def train(docs: DataFrame) -> str:
         if xs:
             yield write(at, xs)
 
-    summed_up = reduce_blobs(docs.select("text", "lang").mapInArrow(count, BLOBS), _RANGES, "lang string, data binary", add_up)
-    materialize(summed_up.repartition(_RANGES, "lang").sortWithinPartitions("lang").mapInArrow(store, "n long"), "byte-lm-sizes")
+    summed_up = reduce_blobs(docs.select("text", "lang").mapInArrow(count, BLOBS), n, "lang string, data binary", add_up, fold)
+    materialize(summed_up.repartition(16, "lang").sortWithinPartitions("lang").mapInArrow(store, "n long"), "byte-lm-sizes")
     return path
 
 
@@ -248,7 +256,7 @@ def rules(docs: DataFrame, fence: float = FENCE) -> DataFrame:
 
     schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_prob double, n_bytes long"
     scored, _ = materialize(over(docs, ["doc_id", "text", "lang"], schema, run), "rules")
-    lang = F.coalesce("lang", F.lit("\0"))
+    lang = F.coalesce(F.concat(F.lit("s"), F.col("lang")), F.lit(""))
     cells = scored.filter(~F.col("base_failed")).groupBy(lang.alias("_lang"), F.floor(F.col("log_prob") * 1000).alias("_cell")).agg(F.count(F.lit(1)).alias("n"))
     by = W.partitionBy("_lang")
     up = cells.select("*", F.sum("n").over(by.orderBy("_cell")).alias("upto"), F.sum("n").over(by).alias("all"))

@@ -105,17 +105,17 @@ def earliest(docs: DataFrame, level: KeyFiles, n: int, window: int, first: int)
 
     def store(bucket: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
         os.makedirs(path, exist_ok=True)
-        cols: list[list[np.ndarray]] = [[], [], [], []]
-        for x in held[0]:
+        cols: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.uint64, np.int64, np.uint32, bool)]
+        for x in held.get(0, []):
             step, names, index, start, many = unpack(x)
             for c, v in zip(cols, (np.cumsum(step, dtype=np.uint64), names[index], start, np.unpackbits(many, count=len(step)).astype(bool)), strict=True):
                 c.append(v)
         key, doc, start, many = map(np.concatenate, cols)
         order = np.lexsort((start, doc, key))
         key = key[order]
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
         n_of = np.diff(np.append(at, len(key)))
-        twice = (n_of > 1) | np.logical_or.reduceat(many[order], at)
+        twice = (n_of > 1) | (np.logical_or.reduceat(many[order], at) if len(at) else many)
         at = at[twice]
         save_array(f"{path}/key-{bucket}.npy", key[at])
         save_array(f"{path}/doc-{bucket}.npy", doc[order][at])
@@ -140,7 +140,7 @@ def removed(t: Text, ids: np.ndarray, at: np.ndarray, path: str, n: int, window:
     later = np.zeros(len(at), bool)
     for b, s in split_by_bucket(h[order], n):
         own = open_array(f"{path}/key-{b}.npy")
-        if own is None or not len(own):
+        if not len(own):
             continue
         q = order[s]
         i = np.minimum(np.searchsorted(own, key[q]), len(own) - 1)

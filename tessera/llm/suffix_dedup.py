@@ -13,6 +13,8 @@ An anchor found over HOT times (a passage or copy in a large share of the docume
 to one range. Around such anchors every window is sent by its own hash instead, so these are spread evenly; that
 way compares 64-bit hashes, all others compare bytes.
 
+With ``short``, the same scans also search with that smaller window and count the bytes it finds (n_repeated); shorter repeats stay in the text.
+
 Edge cases: null and empty texts have no bytes and one empty kept text; texts below a window stay whole; repeated rows are
 each other's copies and lose everything that is a window long; doc_id (null too) is carried along only; very long texts are
 searched in segments; an empty table gives an empty result; extra columns are ignored.
@@ -23,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,8 @@ from tessera.llm.common import BLOBS, Rolling, blobs, buckets_for, local_path, m
 from tessera.llm.keyfiles import FLUSH, KeyFiles, open_array, pack, repeated, save_array, unpack
 
 WINDOW, GRAM = 400, 64
+#: Smaller window of the query: passages of over 50 words are longer in all four languages.
+SHORT = 250
 #: Occurrences of an anchor from which its windows are sent one by one.
 HOT = 1000
 #: Window starts searched at once within a long text.
@@ -43,22 +48,18 @@ RUN_BYTES = 48 << 20
 PAIRS = 8
 
 
-class Segment:
-    """Anchors of the windows that start in data[lo:hi]: anchor p serves the windows from s1 to s2."""
+class Anchors:
+    """Anchors of the windows of one length that start in a segment: anchor p serves the windows from s1 to s2."""
 
-    def __init__(self, data: np.ndarray, lo: int, hi: int, row_end: np.ndarray, window: int, gram: int):
-        self.lo, self.window = lo, window
-        self.data = part = data[lo : hi + window - 1]
-        self.sums = Rolling(part)
-        at = np.arange(max(0, len(part) - gram + 1))
-        g = self.sums.slices(at, at + gram)
-        low = minima((g & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64), window - gram + 1)
+    def __init__(self, seg: Segment, window: int):
+        self.window, self.sums = window, seg.sums
+        low = minima(seg.grams, window - seg.gram + 1)[: seg.starts]
         s = np.arange(len(low))
-        s = s[row_end[lo : lo + len(low)] >= s + lo + window]
+        s = s[seg.row_end[: len(low)] >= s + seg.lo + window]
         p = (low[s] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         new = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (s[1:] != s[:-1] + 1)])) if len(s) else np.zeros(0, np.int64)
         self.p, self.s1, self.s2 = p[new], s[new], s[np.append(new[1:], len(s)) - 1] if len(s) else s
-        self.key = mix(g[self.p] + np.uint64(1))  # least hashes share their leading bits: spread again
+        self.key = mix(seg.hashes[self.p] + np.uint64(1))  # least hashes share their leading bits: spread again
 
     def contents(self, i: np.ndarray) -> np.ndarray:
         """A hash of the surroundings of anchors and the anchors' places in them."""
@@ -71,7 +72,21 @@ class Segment:
         return s, self.sums.slices(s, s + self.window)
 
 
-def segments(data: np.ndarray, offs: np.ndarray, window: int, gram: int, segment: int = SEGMENT) -> Iterator[Segment]:
+class Segment:
+    """Hashes of data[lo:hi] and of what windows that start there reach; ``by[window]`` its anchors."""
+
+    def __init__(self, data: np.ndarray, lo: int, hi: int, row_end: np.ndarray, lengths: tuple[int, ...], gram: int):
+        self.lo, self.starts, self.row_end, self.gram = lo, hi - lo, row_end[lo:hi], gram
+        self.data = part = data[lo : hi + max(lengths) - 1]
+        self.sums = Rolling(part)
+        at = np.arange(max(0, len(part) - gram + 1))
+        self.hashes = self.sums.slices(at, at + gram)
+        self.grams = (self.hashes & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
+        self.by = {w: Anchors(self, w) for w in lengths}
+        del self.grams
+
+
+def segments(data: np.ndarray, offs: np.ndarray, lengths: tuple[int, ...], gram: int, segment: int = SEGMENT) -> Iterator[Segment]:
     """Whole documents together up to a segment's length, longer ones in pieces from their own start on: what surrounds an
     anchor depends on its document alone, not on how the table is read."""
     row_end = np.repeat(offs[1:], np.diff(offs))
@@ -86,8 +101,8 @@ def segments(data: np.ndarray, offs: np.ndarray, window: int, gram: int, segment
             lo = b
     cuts.append((lo, len(data)))
     for lo, hi in cuts:
-        got = Segment(data, lo, hi, row_end, window, gram)
-        if len(got.p):
+        got = Segment(data, lo, hi, row_end, lengths, gram)
+        if any(len(x.p) for x in got.by.values()):
             yield got
 
 
@@ -244,11 +259,11 @@ def merge(pieces: list[bytes], window: int, gram: int, pairs: int = PAIRS) -> It
         yield from resolve(group, window, pairs)
 
 
-def repeats(docs: DataFrame, anchors: KeyFiles, n: int, window: int, gram: int, segment: int = SEGMENT, pairs: int = PAIRS) -> str:
-    """Sorts and merges the suffixes at repeated anchors; returns the path of what was found."""
+def repeats(docs: DataFrame, anchors: KeyFiles, n: int, lengths: tuple[int, ...], gram: int, segment: int = SEGMENT, pairs: int = PAIRS) -> str:
+    """Sorts and merges the suffixes at repeated anchors, for each length of windows; returns the path of what was found."""
     path = local_path(new_path(docs.sparkSession, "suffixes"))
 
-    def runs(held: list[tuple[int, bytes, bytes, int]]) -> list[tuple[int, int, bytes]]:
+    def runs(kind: int, held: list[tuple[int, bytes, bytes, int]]) -> list[tuple[int, int, bytes]]:
         held.sort()
         out, i = [], 0
         while i < len(held):
@@ -263,119 +278,148 @@ def repeats(docs: DataFrame, anchors: KeyFiles, n: int, window: int, gram: int,
                     twice.append(False)
                     contents.append(content)
                 i += 1
-            out.append((0, b, pack(*front_code(rights), *front_code(lefts), np.packbits(np.array(twice)), np.array(contents, np.uint64))))
+            out.append((kind, b, pack(*front_code(rights), *front_code(lefts), np.packbits(np.array(twice)), np.array(contents, np.uint64))))
         return out
 
-    def hot(held: list[np.ndarray]) -> list[tuple[int, int, bytes]]:
+    def hot(kind: int, held: list[np.ndarray]) -> list[tuple[int, int, bytes]]:
         h = np.sort(np.concatenate(held))
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         many, h = np.diff(np.append(first, len(h))) > 1, h[first]
-        return [(1, b, pack(np.diff(h[s], prepend=np.uint64(0)), np.packbits(many[s]))) for b, s in split_by_bucket(h, n)]
+        return [(kind, b, pack(np.diff(h[s], prepend=np.uint64(0)), np.packbits(many[s]))) for b, s in split_by_bucket(h, n)]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, windows, n_windows = [], 0, [], 0
+        held: list[list] = [[] for _ in lengths]
+        windows: list[list[np.ndarray]] = [[] for _ in lengths]
+        size, n_windows = [0] * len(lengths), [0] * len(lengths)
         shift = np.uint64(65 - n.bit_length())
         for batch in batches:
             for part in steps(batch):
                 data, offs = text_bytes(part.column(0))
-                for seg in segments(data, offs, window, gram, segment):
-                    i = np.flatnonzero(anchors.find(seg.key))
-                    is_hot = anchors.find(seg.key[i], "hot")
-                    if is_hot.any():
-                        windows.append(seg.windows(i[is_hot])[1])
-                        n_windows += len(windows[-1])
-                    i = i[~is_hot]
+                for seg in segments(data, offs, lengths, gram, segment):
                     raw = seg.data.tobytes()
-                    for b, p, s1, e, c in zip((seg.key[i] >> shift).tolist(), seg.p[i].tolist(), seg.s1[i].tolist(), (seg.s2[i] + window).tolist(), seg.contents(i).tolist(), strict=True):
-                        held.append((b, raw[p:e], raw[s1:p][::-1], c))
-                        size += e - s1
-                if size > RUN_BYTES:
-                    yield blobs(runs(held))
-                    held, size = [], 0
-                if n_windows > FLUSH:
-                    yield blobs(hot(windows))
-                    windows, n_windows = [], 0
-        if held:
-            yield blobs(runs(held))
-        if n_windows:
-            yield blobs(hot(windows))
+                    for k, (window, own) in enumerate(seg.by.items()):
+                        i = np.flatnonzero(anchors.find(own.key))
+                        is_hot = anchors.find(own.key[i], "hot")
+                        if is_hot.any():
+                            windows[k].append(own.windows(i[is_hot])[1])
+                            n_windows[k] += len(windows[k][-1])
+                        i = i[~is_hot]
+                        for b, p, s1, e, c in zip((own.key[i] >> shift).tolist(), own.p[i].tolist(), own.s1[i].tolist(), (own.s2[i] + window).tolist(), own.contents(i).tolist(), strict=True):
+                            held[k].append((b, raw[p:e], raw[s1:p][::-1], c))
+                            size[k] += e - s1
+                for k in range(len(lengths)):
+                    if size[k] > RUN_BYTES // len(lengths):
+                        yield blobs(runs(2 * k, held[k]))
+                        held[k], size[k] = [], 0
+                    if n_windows[k] > FLUSH // len(lengths):
+                        yield blobs(hot(2 * k + 1, windows[k]))
+                        windows[k], n_windows[k] = [], 0
+        for k in range(len(lengths)):
+            if held[k]:
+                yield blobs(runs(2 * k, held[k]))
+            if n_windows[k]:
+                yield blobs(hot(2 * k + 1, windows[k]))
 
     def store(bucket: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
         os.makedirs(path, exist_ok=True)
-        found = np.array(list(merge(held.get(0, []), window, gram, pairs)), np.uint64).reshape(-1, 3)
-        found = found[np.argsort(found[:, 0], kind="stable")]
-        for k, (name, kind) in enumerate((("content", np.uint64), ("lo", np.uint32), ("hi", np.uint32))):
-            save_array(f"{path}/{name}-{bucket}.npy", found[:, k].astype(kind))
-        keys = []
-        for x in held.get(1, []):
-            step, many = unpack(x)
-            h = np.cumsum(step, dtype=np.uint64)
-            keys += [h, h[np.unpackbits(many, count=len(h)).astype(bool)]]
-        h = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
-        save_array(f"{path}/window-{bucket}.npy", np.unique(h[1:][h[1:] == h[:-1]]))
+        for i, window in enumerate(lengths):
+            found = np.array(list(merge(held.pop(2 * i, []), window, gram, pairs)), np.uint64).reshape(-1, 3)
+            found = found[np.argsort(found[:, 0], kind="stable")]
+            for k, (name, kind) in enumerate((("content", np.uint64), ("lo", np.uint32), ("hi", np.uint32))):
+                save_array(f"{path}/{window}-{name}-{bucket}.npy", found[:, k].astype(kind))
+            keys = []
+            for x in held.pop(2 * i + 1, []):
+                step, many = unpack(x)
+                h = np.cumsum(step, dtype=np.uint64)
+                keys += [h, h[np.unpackbits(many, count=len(h)).astype(bool)]]
+            h = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+            save_array(f"{path}/{window}-window-{bucket}.npy", np.unique(h[1:][h[1:] == h[:-1]]))
         yield pa.RecordBatch.from_pydict({"n": pa.array([len(found)], pa.int64())})
 
     materialize(reduce_blobs(docs.select("text").mapInArrow(emit, BLOBS), n, "n long", store), "suffixes")
     return path
 
 
-def _look_up(seg: Segment, i: np.ndarray, path: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _look_up(anchors: Anchors, i: np.ndarray, path: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     """First and last starts of repeated windows around anchors i."""
-    content, starts, ends = seg.contents(i), [], []
-    order = np.argsort(seg.key[i])
-    for b, s in split_by_bucket(seg.key[i][order], n):
-        own = open_array(f"{path}/content-{b}.npy")
-        if own is None or not len(own):
+    content, starts, ends = anchors.contents(i), [], []
+    order = np.argsort(anchors.key[i])
+    for b, s in split_by_bucket(anchors.key[i][order], n):
+        own = open_array(f"{path}/{anchors.window}-content-{b}.npy")
+        if not len(own):
             continue
         q = order[s]
         left, right = np.searchsorted(own, content[q]), np.searchsorted(own, content[q], "right")
         many = right - left
         at = np.repeat(left - np.cumsum(many) + many, many) + np.arange(many.sum())
-        p = np.repeat(seg.p[i][q], many)
-        starts.append(p - open_array(f"{path}/hi-{b}.npy")[at].astype(np.int64))
-        ends.append(p - open_array(f"{path}/lo-{b}.npy")[at].astype(np.int64))
+        p = np.repeat(anchors.p[i][q], many)
+        starts.append(p - open_array(f"{path}/{anchors.window}-hi-{b}.npy")[at].astype(np.int64))
+        ends.append(p - open_array(f"{path}/{anchors.window}-lo-{b}.npy")[at].astype(np.int64))
     none = [np.zeros(0, np.int64)]
     return np.concatenate(starts or none), np.concatenate(ends or none)
 
 
-def covered(data: np.ndarray, offs: np.ndarray, anchors: KeyFiles, path: str, n: int, window: int, gram: int, segment: int = SEGMENT) -> np.ndarray:
-    """For each byte whether it goes."""
-    edge = np.zeros(len(data) + 1, np.int32)
-    for seg in segments(data, offs, window, gram, segment):
-        i = np.flatnonzero(anchors.find(seg.key))
-        is_hot = anchors.find(seg.key[i], "hot")
-        a, z = _look_up(seg, i[~is_hot], path, n)
-        if is_hot.any():
-            s, h = seg.windows(i[is_hot])
-            order = np.argsort(h)
-            hit = np.zeros(len(h), bool)
-            for b, part in split_by_bucket(h[order], n):
-                own = open_array(f"{path}/window-{b}.npy")
-                if own is not None and len(own):
-                    q = order[part]
-                    hit[q] = own[np.minimum(np.searchsorted(own, h[q]), len(own) - 1)] == h[q]
-            a, z = np.concatenate([a, s[hit]]), np.concatenate([z, s[hit]])
-        np.add.at(edge, a + seg.lo, 1)
-        np.add.at(edge, z + seg.lo + window, -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
-def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int | None = None, hot: int = HOT, segment: int = SEGMENT, pairs: int = PAIRS, texts: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with texts the kept bytes (kept)."""
-    gram = min(GRAM, max(1, window // 2)) if gram is None else gram
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    n = buckets_for(docs)
+@dataclass(frozen=True)
+class Repeats:
+    """Where the outcome of a search lies."""
+
+    anchors: KeyFiles
+    path: str
+    n: int
+    lengths: tuple[int, ...]
+    gram: int
+    segment: int
+
+    def covered(self, data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
+        """For each length of windows and each byte whether a repeated one covers it."""
+        edges = [np.zeros(len(data) + 1, np.int32) for _ in self.lengths]
+        for seg in segments(data, offs, self.lengths, self.gram, self.segment):
+            for edge, (window, own) in zip(edges, seg.by.items(), strict=True):
+                i = np.flatnonzero(self.anchors.find(own.key))
+                is_hot = self.anchors.find(own.key[i], "hot")
+                a, z = _look_up(own, i[~is_hot], self.path, self.n)
+                if is_hot.any():
+                    s, h = own.windows(i[is_hot])
+                    order = np.argsort(h)
+                    hit = np.zeros(len(h), bool)
+                    for b, part in split_by_bucket(h[order], self.n):
+                        known = open_array(f"{self.path}/{window}-window-{b}.npy")
+                        if len(known):
+                            q = order[part]
+                            hit[q] = known[np.minimum(np.searchsorted(known, h[q]), len(known) - 1)] == h[q]
+                    a, z = np.concatenate([a, s[hit]]), np.concatenate([z, s[hit]])
+                np.add.at(edge, a + seg.lo, 1)
+                np.add.at(edge, z + seg.lo + window, -1)
+        return [np.cumsum(edge[:-1]) > 0 for edge in edges]
+
+
+def search(docs: DataFrame, n: int, lengths: tuple[int, ...], gram: int | None = None, hot: int = HOT, segment: int = SEGMENT, pairs: int = PAIRS) -> Repeats:
+    """Finds the windows of these lengths that occur twice or more in the texts of docs, in one scan each to count, sort and look up.
+
+    The anchors of a length are among those of each smaller one, so the smallest's say which may be repeated.
+    """
+    least = min(lengths)
+    gram = min(GRAM, max(1, least // 2)) if gram is None else gram
 
     def hashes(part: pa.RecordBatch) -> np.ndarray:
-        keys = [seg.key for seg in segments(*text_bytes(part.column(0)), window, gram, segment)]
+        keys = [seg.by[least].key for seg in segments(*text_bytes(part.column(0)), (least,), gram, segment)]
         return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
     anchors = repeated(docs, ["text"], hashes, n, "anchors", hot=hot)
-    path = repeats(docs, anchors, n, window, gram, segment, pairs)
+    return Repeats(anchors, repeats(docs, anchors, n, lengths, gram, segment, pairs), n, lengths, gram, segment)
+
+
+def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int | None = None, hot: int = HOT, segment: int = SEGMENT, pairs: int = PAIRS, texts: bool = False, short: int | None = None) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, with short n_repeated, and with texts the kept bytes (kept)."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    n = buckets_for(docs)
+    if short and short >= window:
+        raise ValueError("short must be below window")
+    found = search(docs, n, (window, short) if short else (window,), gram, hot, segment, pairs)
 
     def run(part: pa.RecordBatch) -> dict:
         data, offs = text_bytes(part.column(1))
-        gone = covered(data, offs, anchors, path, n, window, gram, segment)
+        gone, *rest = found.covered(data, offs)
         first = gone.copy()
         first[1:] &= ~gone[:-1]
         inner = offs[:-1][offs[:-1] < len(gone)]
@@ -386,10 +430,14 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int | None = None,
         for a, b, g in zip(offs[:-1].tolist(), offs[1:].tolist(), n_gone.tolist(), strict=True):
             kept.append(data[a:b][~gone[a:b]].tobytes() if g else raw[a:b])
         out = {"doc_id": part.column(0), "n_bytes": pa.array(np.diff(offs), pa.int64()), "n_removed": pa.array(n_gone, pa.int64()), "n_spans": pa.array(spans[offs[1:]] - spans[offs[:-1]], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())}
+        if rest:
+            total = np.concatenate([[0], np.cumsum(rest[0])])
+            out["n_repeated"] = pa.array(total[offs[1:]] - total[offs[:-1]], pa.int64())
         return out | ({"kept": pa.array(kept, pa.binary())} if texts else {})
 
-    return over(docs, ["doc_id", "text"], "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts, run)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", n_repeated long" * bool(short) + ", kept binary" * texts
+    return over(docs, ["doc_id", "text"], schema, run)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), short=SHORT)

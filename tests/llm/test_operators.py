@@ -89,7 +89,7 @@ def test_rules_model_is_a_distribution(spark):
     path = quality_rules.train(docs)
     for context in (b"\xff\xff\xff\xff", b"abab", b"zzzz", b"\xff\xffca"):
         grams = np.array([int.from_bytes(context + bytes([c]), "big") for c in range(256)], np.uint64)
-        total = (10 ** quality_rules.log10_probabilities(path, "x", grams)).sum()
+        total = (10 ** quality_rules.log10_probabilities(path, "sx", grams)).sum()
         assert 0.95 < total <= 1 + 1e-9
 
 

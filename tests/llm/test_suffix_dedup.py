@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import glob
 import hashlib
+import os
 import random
 from collections import Counter
 
@@ -79,3 +81,34 @@ def test_loser_tree_orders_and_knows_prefixes():
     assert [s for s, _, _ in merged] == sorted(s for run in runs for s in run)
     for (a, _, _), (b, h, _) in zip(merged, merged[1:], strict=False):
         assert h == sd.common(a, b, 0)
+
+
+def test_texts_of_every_length(spark):
+    """One text of each length up to a window and one more, alone in its task, also after longer ones."""
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice("abcd") for _ in range(i))) for i in range(402)]
+    assert got(sd.suffix_dedup(spark.createDataFrame(rows[60:90], "doc_id long, text string").repartition(30))) == brute(rows[60:90], 400)
+    assert got(sd.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))) == brute(rows, 400)
+    for n in (1, 64, 75, 398, 400, 401):
+        assert got(sd.suffix_dedup(spark.createDataFrame(rows[n : n + 1], "doc_id long, text string"))) == brute(rows[n : n + 1], 400)
+    with_short = rows[300:] + [(1000, rows[300][1])]
+    df = spark.createDataFrame(with_short, "doc_id long, text string")
+    assert got(sd.suffix_dedup(df, short=250)) == brute(with_short, 400)
+
+
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_shorter_repeats_are_counted(spark, hot):
+    rows = corpus(3)
+    out = {(r.doc_id, r.n_bytes, r.n_repeated) for r in sd.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), window=40, short=16, hot=hot, segment=300).collect()}
+    assert out == {(d, n, gone) for d, n, gone, _, _ in brute(rows, 16)}
+
+
+def test_a_missing_file_is_an_error(spark, monkeypatch):
+    paths = []
+    keep = sd.repeats
+    monkeypatch.setattr(sd, "repeats", lambda *a: paths.append(keep(*a)) or paths[-1])
+    out = sd.suffix_dedup(spark.createDataFrame(corpus(1), "doc_id long, text string"), window=40)
+    for f in glob.glob(f"{paths[0]}/*-content-*.npy"):
+        os.remove(f)
+    with pytest.raises(Exception, match="No such file"):
+        out.collect()
