@@ -1,17 +1,20 @@
-"""Interpolated modified Kneser-Ney bigrams of words, counted in Spark, stored as sorted hash arrays that workers memory-map.
+"""Interpolated modified Kneser-Ney trigrams of words, counted in Spark, stored as sorted hash arrays that workers memory-map.
 
-Mappers count words (64-bit hashes) and pairs (two 40-bit hashes) of a slice of documents and send them by hash range;
-a range's task writes its sorted arrays to the shared folder: ``word`` with counts, ``one`` for pairs seen once and ``many``
-with counts for the rest. Every pair type then adds to two words: one more left neighbour of its second, and count and
-discount class of its first; a second exchange sums these into ``side``. A scorer sorts the queries of a slice and looks
-them up range by range, so it walks each mapped array in order. Files of a range have one name and one content however
-often its task runs.
+Words are counted first, by ranges of a 64-bit hash; a word's number is its rank by count within its range, times the ranges, plus
+the range, so frequent words have small numbers. Trigrams u v w then go, sorted and packed, to the range of their
+middle word v: there the counts of uvw, those of the context uv and the numbers of different words before vw are all complete. A middle
+word of over HOT occurrences is dealt by (v, u) in place of v, so no range depends on one word; there only the numbers of words
+before vw are partial, and one more exchange, of hot pairs alone, adds them up. A last one sums what each word has as a context
+(v) and before it (w).
 
-Probability: p(w|v) = (c(vw) - D(c(vw))) / c(v.) + (D1 N1(v.) + D2 N2(v.) + D3 N3+(v.)) / c(v.) * p(w), with p(w) from left-neighbour counts,
-discounted alike and interpolated with 1 / (V + 1). Discounts come from the counts of counts; where those are too few
-to define one, 0.5, 1 and 1.5 hold. A text's context starts with a begin symbol; its last token is the end symbol.
+A table of a range holds 48 bits of hash a key: the first ones by an index of where their block starts, the rest in a sorted
+array, apart for keys seen once, which need no values. Every range writes all its files, so a missing one is an error. Files of
+a range have one name and one content however often its task runs.
 
-Two-word contexts were weighed: over the 0.5 GB check table their counts alone need over twice the disk allowed.
+Probability: p(w|uv) = (c(uvw) - D(c(uvw))) / c(uv.) + (D1 N1(uv.) + D2 N2(uv.) + D3 N3+(uv.)) / c(uv.) * p(w|v); p(w|v) and p(w)
+likewise with the numbers of different words before vw and w in place of counts (after the begin symbol: with counts), p(w) interpolated with
+1 / (V + 1). Discounts come from the counts of counts of each order; where those are too few to define one, 0.5, 1 and 1.5 hold. A
+context that training has not seen is left out. Two begin symbols precede a text; its last token is the end symbol.
 
 Edge cases: null and empty texts are one end token; an empty training set gives N = V = 0, base (0+1)/(0+1) and the uniform
 model; repeated rows count as often as they occur; a null doc_id has no number and hashes as the text ``null``.
@@ -19,7 +22,6 @@ model; repeated rows count as often as they occur; a null doc_id has no number a
 
 from __future__ import annotations
 
-import functools
 import os
 import uuid
 from collections.abc import Iterator
@@ -27,17 +29,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BLOBS, Rolling, blobs, buckets_for, local_path, lowered, materialize, mix, new_path, over, reduce_blobs, split_by_bucket, steps, summed, text_bytes, words
+from tessera.llm.common import BLOBS, Rolling, blobs, buckets_for, enter, local_path, lowered, materialize, mix, new_path, over, reduce_blobs, split_by_bucket, steps, summed, text_bytes, words
+from tessera.llm.keyfiles import open_array, pack, save_array, unpack
 
-_BEGIN, _END = np.uint64(0x1D5C1A2B3C4D5E6F), np.uint64(0x7A6B5C4D3E2F1A0B)
-_C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_STEP = 2 << 20
-#: Types of a word's sums on their way: tokens it begins pairs with, its pair types seen once, twice, more, its left neighbours.
-_SIDE = (np.uint64, np.uint32, np.uint32, np.uint32, np.uint32)
+_END = np.uint64(0x7A6B5C4D3E2F1A0B)
+_C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
+#: Numbers of the begin symbol and of words that training has not seen.
+_BEGIN, _NONE = (1 << 39) - 1, (1 << 39) - 2
+_STEP = 4 << 20
+#: Occurrences from which a middle word's trigrams are dealt by the word before it, too.
+HOT = 1 << 18
+#: Words or trigrams that a mapper adds up before it sends them.
+FLUSH = 3_000_000
 
 
 def tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -54,23 +60,6 @@ def tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return out, rows
 
 
-def short(h: np.ndarray) -> np.ndarray:
-    return h >> np.uint64(24)
-
-
-def pairs(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and second of each adjacent pair: as many as tokens, the first of a row preceded by the begin symbol."""
-    second = short(h)
-    first = np.empty_like(second)
-    first[1:] = second[:-1]
-    first[rows[:-1]] = short(_BEGIN)
-    return first, second
-
-
-def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(a * _C1 + b * _C2)
-
-
 def _save(path: str, **arrays: np.ndarray) -> None:
     for name, a in arrays.items():
         own = f"{path}-{name}.{uuid.uuid4().hex}"
@@ -79,10 +68,6 @@ def _save(path: str, **arrays: np.ndarray) -> None:
         os.replace(own, f"{path}-{name}.npy")
 
 
-def _classes(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return (c == 1).astype(np.uint32), (c == 2).astype(np.uint32), (c >= 3).astype(np.uint32)
-
-
 def discounts(n: list[int]) -> np.ndarray:
     """D(0), D1, D2, D3+ from the numbers of types seen 1, 2, 3 and 4 times."""
     n1, n2, n3, n4 = n
@@ -93,182 +78,399 @@ def discounts(n: list[int]) -> np.ndarray:
 
 
 @dataclass(frozen=True)
-class Model:
-    """Where the arrays are, and the numbers that every scorer needs."""
+class Words:
+    """The vocabulary: for each range sorted hashes (key), counts (c) and ranks by count (rank)."""
 
     path: str
-    buckets: int
+    n: int
+    hot: int
     train_tokens: int
     vocabulary: int
-    pair_d: tuple[float, ...]
-    side_d: tuple[float, ...]
-    side_n: tuple[int, int, int]  # word types with 1, 2, 3+ left neighbours
-    pair_types: int
 
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and counts of sorted hashes."""
+        number, count = np.full(len(h), _NONE, np.int64), np.zeros(len(h), np.int64)
+        for b, s in split_by_bucket(h, self.n):
+            keys = open_array(f"{self.path}/word-{b}-key.npy")
+            if not len(keys):
+                continue
+            at = np.minimum(np.searchsorted(keys, h[s]), len(keys) - 1)
+            hit = keys[at] == h[s]
+            number[s][hit] = open_array(f"{self.path}/word-{b}-rank.npy")[at[hit]].astype(np.int64) * self.n + b
+            count[s][hit] = open_array(f"{self.path}/word-{b}-c.npy")[at[hit]]
+        return number, count
 
-def train(docs: DataFrame) -> Model:
-    """Counts and stores the model of the texts of docs."""
-    spark = docs.sparkSession
-    where, n = new_path(spark, "word-lm"), buckets_for(docs)
-    path = local_path(where)
 
+def count_words(docs: DataFrame, n: int, path: str, hot: int, flush: int) -> Words:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=1)
+        enter()
+        held, size = [], 0
+
+        def send() -> pa.RecordBatch:
+            key, c = summed(*map(np.concatenate, zip(*held, strict=True)))
+            return blobs([(0, b, pack(np.diff(key[s], prepend=np.uint64(0)), _least(c[s]))) for b, s in split_by_bucket(key, n)])
+
         for batch in batches:
             for part in steps(batch, limit=_STEP):
-                h, rows = tokens(part)
-                key, c = summed(h, np.ones(len(h), np.uint32))
-                out = [(0, b, key[s].tobytes() + c[s].tobytes()) for b, s in split_by_bucket(key, n)]
-                a, b2 = pairs(h, rows)
-                key = pair_hash(a, b2)
-                order = np.argsort(key, kind="stable")
-                key = key[order]
-                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                c = np.diff(np.append(first, len(key))).astype(np.uint32)
-                key, a, b2 = key[first], a[order][first], b2[order][first]
-                five = lambda x: np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :5]
-                for b, s in split_by_bucket(key, n):
-                    by_first = s.start + np.argsort(a[s])  # sorted and byte by byte, first words take little room
-                    more = np.flatnonzero(c[by_first] > 1).astype(np.uint32)
-                    raw = np.uint32(s.stop - s.start).tobytes() + np.uint32(len(more)).tobytes() + more.tobytes() + c[by_first][more].tobytes() + five(a[by_first]).reshape(-1, 5).T.tobytes() + five(b2[by_first]).tobytes()
-                    out.append((1, b, packer.compress(raw)))
-                yield blobs(out)
-
-    def eight(raw: np.ndarray) -> np.ndarray:
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :5] = raw
-        return wide.view(np.uint64).ravel()
+                held.append(np.unique(tokens(part)[0], return_counts=True))
+                size += len(held[-1][0])
+                if size > flush:
+                    yield send()
+                    held, size = [], 0
+        if size:
+            yield send()
 
     def store(bucket: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
         os.makedirs(path, exist_ok=True)
-        keys, cs = [], []
+        key, c = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         for x in held.get(0, []):
-            k = len(x) // 12
-            keys.append(np.frombuffer(x, np.uint64, k))
-            cs.append(np.frombuffer(x, np.uint32, k, 8 * k).astype(np.uint64))
-        key, c = summed(np.concatenate(keys or [np.zeros(0, np.uint64)]), np.concatenate(cs or [np.zeros(0, np.uint64)]))
-        _save(f"{path}/word-{bucket}", key=key, c=c)
-        stats = [int(c.sum()), len(key)]
-        a, b, c = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
-        unpacker = zstandard.ZstdDecompressor()
-        for x in map(unpacker.decompress, held.get(1, [])):
-            k, m = np.frombuffer(x, np.uint32, 2).tolist()
-            more, times = np.frombuffer(x, np.uint32, m, 8), np.frombuffer(x, np.uint32, m, 8 + 4 * m)
-            own = np.ones(k, np.uint32)
-            own[more] = times
-            c.append(own)
-            raw = np.frombuffer(x, np.uint8, 10 * k, 8 + 8 * m)
-            a.append(eight(raw[: 5 * k].reshape(5, k).T))
-            b.append(eight(raw[5 * k :].reshape(k, 5)))
-        a, b, c = np.concatenate(a), np.concatenate(b), np.concatenate(c)
-        key = pair_hash(a, b)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        key, a, b, c = key[first], a[order][first], b[order][first], np.add.reduceat(c[order], first) if len(first) else c
-        _save(f"{path}/pair-{bucket}", one=key[c == 1], many=key[c > 1], c=c[c > 1])
-        stats += [len(key), *(int((c == i).sum()) for i in (1, 2, 3, 4))]
-        w, *sums = summed(np.concatenate([a, b]), *(np.concatenate([x, np.zeros(len(b), np.uint32)]) for x in (c, *_classes(c))), np.concatenate([np.zeros(len(a), np.uint32), np.ones(len(b), np.uint32)]))
-        spread = mix(w)
-        order = np.argsort(spread)
-        spread, w = spread[order], w[order]
-        sums = [x[order].astype(t) for x, t in zip(sums, _SIDE, strict=True)]
-        pack = zstandard.ZstdCompressor(level=1).compress
-        out = [(1, k, pack(w[s].tobytes() + b"".join(x[s].tobytes() for x in sums))) for k, s in split_by_bucket(spread, n)]
-        yield blobs([*out, (0, 0, np.array(stats, np.int64).tobytes())])
+            step, own = unpack(x)
+            key, c = np.concatenate([key, np.cumsum(step, dtype=np.uint64)]), np.concatenate([c, own.astype(np.uint64)])
+        key, c = summed(key, c)
+        rank = np.empty(len(key), np.int64)
+        rank[np.argsort(c, kind="stable")[::-1]] = np.arange(len(key))
+        _save(f"{path}/word-{bucket}", key=key, c=_least(c), rank=_least(rank))
+        yield pa.RecordBatch.from_pydict({"tokens": [int(c.sum())], "types": [len(key)]})
+
+    stats, _ = materialize(reduce_blobs(docs.select("text").mapInArrow(count, BLOBS), n, "tokens long, types long", store), "word-stats")
+    total = stats.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+    return Words(path, n, hot, *total)
+
+
+# ---------------------------------------------------------------- trigrams
+
+def trigrams(words: Words, part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """u, v and w of each token, whether v is hot, the token's count, and the offsets of the rows."""
+    h, rows = tokens(part)
+    found, back = np.unique(h, return_inverse=True)
+    number, count = words.find(found)
+    w, c = number[back], count[back]
+    v, u = np.empty_like(w), np.empty_like(w)
+    v[1:], u[2:] = w[:-1], w[:-2]
+    hot = np.empty(len(w), bool)
+    hot[1:] = c[:-1] > words.hot
+    first = rows[:-1]
+    v[first] = u[first] = _BEGIN
+    hot[first] = True
+    second = first[np.diff(rows) > 1] + 1
+    u[second] = _BEGIN
+    return u, v, w, hot, c, rows
+
+
+def _u(x: np.ndarray) -> np.ndarray:
+    return x.view(np.uint64) if x.dtype == np.int64 else x.astype(np.uint64)
+
+
+def hash2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(_u(a) * _C1 + mix(_u(b) * _C2 + _C3))
+
+
+def hash3(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return mix(hash2(a, b) * _C3 + _u(c) * _C2)
+
+
+def place(v: np.ndarray, x: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
+    """The range of a middle word, dealt by x too where it is hot."""
+    out = mix(_u(v) + _C3)
+    out[hot] = hash2(v[hot], x[hot])
+    return (out >> np.uint64(65 - n.bit_length())).astype(np.int32 if n > 1 << 15 else np.int16)
+
+
+def by_range(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each range and the places of its rows, in their order."""
+    order = np.argsort(bucket, kind="stable")
+    cut = np.flatnonzero(np.diff(bucket[order])) + 1
+    for own in np.split(order, cut):
+        if len(own):
+            yield int(bucket[own[0]]), own
+
+
+def _least(x: np.ndarray) -> np.ndarray:
+    """x in the smallest unsigned type that holds it."""
+    return x.astype(np.min_scalar_type(int(x.max()))) if len(x) else x.astype(np.uint8)
+
+
+def planes(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2**39 as five planes of bytes: the high ones are mostly zeros."""
+    return np.ascontiguousarray(x.astype(np.int64)).view(np.uint8).reshape(-1, 8)[:, :5].T.ravel()
+
+
+def unplanes(x: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x) // 5, 8), np.uint8)
+    out[:, :5] = x.reshape(5, -1).T
+    return out.view(np.int64).ravel()
+
+
+def ordered(v: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The order of v, u, w: two sorts, since 39 bits each make two words."""
+    return np.lexsort(((u & 0xFFFF) << 40 | w, v << 24 | u >> 16))
+
+
+def added(v: np.ndarray, u: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct trigrams in order, and their counts."""
+    order = ordered(v, u, w)
+    v, u, w = v[order], u[order], w[order]
+    first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (u[1:] != u[:-1]) | (v[1:] != v[:-1])])[: len(v)])
+    return v[first], u[first], w[first], np.add.reduceat(c[order], first) if len(first) else c[order]
+
+
+def packed_trigrams(v: np.ndarray, u: np.ndarray, w: np.ndarray, c: np.ndarray) -> bytes:
+    dv = np.diff(v, prepend=0)
+    du = np.where(dv == 0, np.diff(u, prepend=0), u)
+    many = np.flatnonzero(c > 1)
+    return pack(planes(dv), planes(du), planes(w), np.diff(many, prepend=0).astype(np.uint32), _least(c[many]))
+
+
+def unpacked_trigrams(x: bytes) -> tuple[np.ndarray, ...]:
+    dv, du, w, many, times = unpack(x)
+    dv, du, w = map(unplanes, (dv, du, w))
+    v = np.cumsum(dv)
+    run = np.cumsum(du)
+    first = np.flatnonzero(dv != 0)  # a run of one v starts with u itself
+    if len(first):
+        start = np.zeros(len(v), np.int64)
+        start[first] = run[first] - du[first]
+        run -= np.maximum.accumulate(start)
+    c = np.ones(len(v), np.int64)
+    c[np.cumsum(many, dtype=np.int64)] = times
+    return v, run, w, c
+
+
+def count_trigrams(words: Words, docs: DataFrame, flush: int) -> DataFrame:
+    """Writes the tables tri, ctx and pair; returns blobs: statistics (0), what words have from their pairs (1), parts of hot pairs (2)."""
+    n, path = words.n, words.path
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter()
+        held, size = [], 0
+
+        def send() -> pa.RecordBatch:
+            out = []
+            v, u, w, hot = map(np.concatenate, zip(*held, strict=True))
+            for kind, own in ((0, ~hot), (1, hot)):
+                x, y, z, c = added(v[own], u[own], w[own], np.ones(int(own.sum()), np.int64))
+                out += [(kind, b, packed_trigrams(x[i], y[i], z[i], c[i])) for b, i in by_range(place(x, y, np.full(len(x), bool(kind)), n))]
+            return blobs(out)
+
+        for batch in batches:
+            for part in steps(batch, limit=_STEP):
+                u, v, w, hot, _, _ = trigrams(words, part)
+                held.append((v, u, w, hot))
+                size += len(w)
+                if size > flush:
+                    yield send()
+                    held, size = [], 0
+        if size:
+            yield send()
+
+    def store(bucket: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(path, exist_ok=True)
+        none = (np.zeros(0, np.int64),) * 4
+        kinds = [added(*map(np.concatenate, zip(none, *map(unpacked_trigrams, held.pop(k, [])), strict=True))) for k in (0, 1)]
+        v, u, w, c = map(np.concatenate, zip(*kinds, strict=True))  # a middle word is in one of them only
+        save_table(path, "tri", bucket, hash3(u, v, w), c, c=c)
+        first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])[: len(v)])
+        add = lambda x: np.add.reduceat(x.astype(np.int64), first) if len(first) else x[:0]
+        save_table(path, "ctx", bucket, hash2(u[first], v[first]), total := add(c), total=total, n1=add(c == 1), n2=add(c == 2), n3=add(c > 2))
+        yield blobs([(0, 0, numbers_of(len(v), c, 0, c[:0]))])
+        for hot, (v, _, w, c) in enumerate(kinds):
+            order = np.lexsort((w, v))
+            v, w, c = v[order], w[order], c[order]
+            first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (v[1:] != v[:-1])])[: len(v)])
+            left = np.diff(np.append(first, len(v)))
+            if len(first):
+                left = np.where(v[first] == _BEGIN, np.add.reduceat(c, first), left)
+            v, w = v[first], w[first]
+            if not hot:
+                yield from pairs_done(words, bucket, "pair", v, w, left)
+            elif len(v):
+                yield blobs([(2, b, pack(planes(v[i]), planes(w[i]), _least(left[i]))) for b, i in by_range(place(v, w, np.ones(len(v), bool), n))])
+
+    return materialize(reduce_blobs(docs.select("text").mapInArrow(count, BLOBS), n, BLOBS, store), "trigram-sums")[0]
+
+
+def numbers_of(n_tri: int, c: np.ndarray, n_pair: int, left: np.ndarray) -> bytes:
+    """Types and how many occur 1, 2, 3, 4 times, of trigrams and of pairs."""
+    return ",".join(map(str, [n_tri, *(int((c == i).sum()) for i in (1, 2, 3, 4)), n_pair, *(int((left == i).sum()) for i in (1, 2, 3, 4))])).encode()
+
+
+def pairs_done(words: Words, bucket: int, name: str, v: np.ndarray, w: np.ndarray, left: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Stores complete pairs in the order of v, and sends what they say of their words."""
+    n = words.n
+    save_table(words.path, name, bucket, hash2(v, w), left, left=left)
+    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])[: len(v)])
+    add = lambda x: np.add.reduceat(x.astype(np.int64), first) if len(first) else x[:0].astype(np.int64)
+    before, times = np.unique(w, return_counts=True)
+    word = np.concatenate([v[first], before])
+    none = np.zeros(len(before), np.int64)
+    sums = [np.concatenate([add(x), none]) for x in (left, left == 1, left == 2, left > 2)] + [np.concatenate([np.zeros(len(first), np.int64), times])]
+    out = [(0, 0, numbers_of(0, left[:0], len(v), left))]
+    out += [(1, b, pack(planes(word[i]), *(_least(x[i]) for x in sums))) for b, i in by_range((word % n).astype(np.int32 if n > 1 << 15 else np.int16))]
+    yield blobs(out)
+
+
+def save_table(path: str, name: str, bucket: int, key: np.ndarray, size: np.ndarray, **values: np.ndarray) -> None:
+    """Keys of size 1 and the others, these with values; each sorted, their leading bits as an index of blocks of about 16."""
+    for kind, which in (("one", size == 1), ("many", size > 1)):
+        own = key[which]
+        order = np.argsort(own)
+        own = own[order]
+        bits = max(1, len(own).bit_length() - 4)
+        at = np.searchsorted(own >> np.uint64(64 - bits), np.arange((1 << bits) + 1).astype(np.uint64))
+        rest = (own << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
+        put = {k: _least(v[which][order]) for k, v in values.items()} if kind == "many" else {}
+        for k, x in {"at": _least(at), "key": rest, **put}.items():
+            save_array(f"{path}/{name}-{kind}-{bucket}-{k}.npy", x)
+
+
+def find(path: str, name: str, bucket: int, key: np.ndarray) -> np.ndarray:
+    """Where keys stand in a table, -1 where they don't."""
+    at, rest = open_array(f"{path}/{name}-{bucket}-at.npy"), open_array(f"{path}/{name}-{bucket}-key.npy")
+    if not len(rest) or not len(key):
+        return np.full(len(key), -1, np.int64)
+    bits = (len(at) - 1).bit_length() - 1
+    block = (key >> np.uint64(64 - bits)).astype(np.int64)
+    want = (key << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
+    lo, hi = at[block].astype(np.int64), at[block + 1].astype(np.int64)
+    end, last = hi, len(rest) - 1
+    for _ in range(int((hi - lo).max()).bit_length()):
+        mid = (lo + hi) >> 1
+        less = (rest[np.minimum(mid, last)] < want) & (lo < hi)
+        lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+    return np.where((lo < end) & (rest[np.minimum(lo, last)] == want), lo, -1)
+
+
+# ---------------------------------------------------------------- the model
+
+@dataclass(frozen=True)
+class Model:
+    """Where the arrays are, and the numbers that every scorer needs."""
+
+    words: Words
+    discounts: tuple[tuple[float, ...], ...]  # of trigrams, pairs, words
+    begin: tuple[int, int, int, int]  # total and classes of the begin symbol as a context
+    classes: tuple[int, int, int]  # words with 1, 2, 3+ different words before
+    pair_types: int
+
+    @property
+    def train_tokens(self) -> int:
+        return self.words.train_tokens
+
+
+def train(docs: DataFrame, hot_word: int = HOT, flush: int = FLUSH) -> Model:
+    """Counts and stores the model of the texts of docs."""
+    n = buckets_for(docs)
+    path = local_path(new_path(docs.sparkSession, "word-lm"))
+    words = count_words(docs, n, path, hot_word, flush)
+
+    def hot(bucket: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        parts = [(unplanes(v), unplanes(w), c.astype(np.int64)) for v, w, c in map(unpack, held.get(2, []))]
+        v, w, c = map(np.concatenate, zip((np.zeros(0, np.int64),) * 3, *parts, strict=True))
+        order = np.lexsort((w, v))
+        v, w = v[order], w[order]
+        first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (v[1:] != v[:-1])])[: len(v)])
+        yield from pairs_done(words, bucket, "hot", v[first], w[first], np.add.reduceat(c[order], first) if len(first) else c)
 
     def side(bucket: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
-        ws, cols = [], [[] for _ in range(5)]
-        for x in map(zstandard.ZstdDecompressor().decompress, held.get(1, [])):
-            k = len(x) // 32
-            ws.append(np.frombuffer(x, np.uint64, k))
-            for i, t in enumerate(_SIDE):
-                cols[i].append(np.frombuffer(x, t, k, k * (8 if i == 0 else 12 + 4 * i)).astype(np.uint64))
-        if ws:
-            key, *sums = summed(mix(np.concatenate(ws)), *map(np.concatenate, cols))
-            _save(f"{path}/side-{bucket}", key=key, **{x: v for x, v in zip(("total", "n1", "n2", "n3", "left"), sums, strict=True)})
-            left = sums[4]
-            yield pa.RecordBatch.from_pydict({k: [int(v)] for k, v in (("n0", 0), ("n1", (left == 1).sum()), ("n2", (left == 2).sum()), ("n3", (left == 3).sum()), ("n4", (left == 4).sum()), ("up", (left >= 3).sum()))})
-
-    counted, _ = materialize(reduce_blobs(docs.select("text").mapInArrow(count, BLOBS), n, BLOBS, store), "pair-sides")
-    sided, _ = materialize(reduce_blobs(counted.filter("kind = 1"), n, "n0 long, n1 long, n2 long, n3 long, n4 long, up long", side), "side-stats")
-    total = np.zeros(7, np.int64)
-    for (x,) in counted.filter("kind = 0").select("data").toLocalIterator():  # seven numbers for each hash range
-        total += np.frombuffer(bytes(x), np.int64)
-    s = sided.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("n1", "n2", "n3", "n4", "up"))).first()
-    return Model(path, n, int(total[0]), int(total[1]), tuple(discounts(total[3:].tolist())), tuple(discounts(list(s[:4]))), (s[0], s[1], s[4]), int(total[2]))
-
-
-class Arrays:
-    """Memory-mapped arrays by table and range."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.open: dict[str, np.ndarray] = {}
-
-    def array(self, name: str) -> np.ndarray:
-        got = self.open.get(name)
-        if got is None:
-            file = f"{self.model.path}/{name}.npy"
-            got = self.open[name] = np.load(file, mmap_mode="r") if os.path.exists(file) and os.path.getsize(file) > 128 else np.zeros(0, np.uint64)
-            if len(self.open) > 4096:
-                self.open.pop(next(iter(self.open)))
-        return got
-
-    def find(self, table: str, key: str, queries: np.ndarray, values: list[str]) -> list[np.ndarray]:
-        """Values of sorted queries, 0 where missing; without values, 1 where found."""
-        out = [np.zeros(len(queries), np.int64) for _ in values or [""]]
-        for b, s in split_by_bucket(queries, self.model.buckets):
-            keys = self.array(f"{table}-{b}-{key}")
-            if not len(keys):
-                continue
-            at = np.minimum(np.searchsorted(keys, queries[s]), len(keys) - 1)
-            hit = keys[at] == queries[s]
-            if values:
-                for o, v in zip(out, values, strict=True):
-                    o[s][hit] = self.array(f"{table}-{b}-{v}")[at[hit]]
-            else:
-                out[0][s] = hit
-        return out
-
-
-@functools.lru_cache(maxsize=1)
-def arrays(model: Model) -> Arrays:
-    return Arrays(model)
-
-
-def log10_probabilities(model: Model, h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of each token's probability, and its count in training."""
-    m = arrays(model)
-    word, back = np.unique(h, return_inverse=True)
-    (count,) = m.find("word", "key", word, ["c"])
-    side, to_side = np.unique(mix(short(word)), return_inverse=True)
-    (left,) = m.find("side", "key", side, ["left"])
-    d = np.array(model.side_d)
-    types = max(model.pair_types, 1)
-    rest = (d[1] * model.side_n[0] + d[2] * model.side_n[1] + d[3] * model.side_n[2]) / types if model.pair_types else 1.0
-    low = ((left - d[np.minimum(left, 3)]).clip(0) / types + rest / (model.vocabulary + 1))[to_side][back]
-    a, b = pairs(h, rows)
-    firsts, of = np.unique(mix(a), return_inverse=True)
-    total, n1, n2, n3 = (x[of] for x in m.find("side", "key", firsts, ["total", "n1", "n2", "n3"]))
-    pair, of = np.unique(pair_hash(a, b), return_inverse=True)
-    (one,) = m.find("pair", "one", pair, [])
-    (many,) = m.find("pair", "many", pair, ["c"])
-    c = (one + many)[of]
-    d = np.array(model.pair_d)
-    seen = total > 0
-    t = np.where(seen, total, 1)
-    p = np.where(seen, (c - d[np.minimum(c, 3)]).clip(0) / t + (d[1] * n1 + d[2] * n2 + d[3] * n3) / t * low, low)
-    return np.log10(p), count[back]
+        size = len(open_array(f"{path}/word-{bucket}-key.npy"))
+        sums, begin = np.zeros((5, size), np.int64), np.zeros(5, np.int64)
+        for word, *cols in map(unpack, held.get(1, [])):
+            word = unplanes(word)
+            own = word != _BEGIN
+            at = word[own] // n
+            for k, x in enumerate(cols):
+                np.add.at(sums[k], at, x[own].astype(np.int64))
+                begin[k] += int(x[~own].sum())
+        _save(f"{path}/side-{bucket}", **{k: _least(x) for k, x in zip(("total", "n1", "n2", "n3", "left"), sums, strict=True)})
+        left = sums[4]
+        yield pa.RecordBatch.from_pydict({"x": [[*begin[:4].tolist(), *(int((left == i).sum()) for i in (1, 2, 3, 4)), int((left > 2).sum())]]})
+
+    sums = count_trigrams(words, docs, flush)
+    hots, _ = materialize(reduce_blobs(sums.filter("kind = 2"), n, BLOBS, hot), "hot-pairs")
+    both = sums.filter("kind < 2").unionByName(hots)
+    sided, _ = materialize(reduce_blobs(both.filter("kind = 1"), n, "x array<long>", side), "side-stats")
+    numbers = lambda df, k: [int(x or 0) for x in df.agg(*(F.sum(F.element_at("x", i + 1)) for i in range(k))).first()]
+    three = numbers(both.filter("kind = 0").select(F.split(F.decode("data", "UTF-8"), ",").cast("array<long>").alias("x")), 10)
+    s = numbers(sided, 9)
+    return Model(words, (tuple(discounts(three[1:5])), tuple(discounts(three[6:])), tuple(discounts(s[4:8]))), tuple(s[:4]), (s[4], s[5], s[8]), three[5])
+
+
+def _class(d: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return (c - d[np.minimum(c, 3)]).clip(0)
+
+
+def log10_probabilities(model: Model, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log10 of each token's probability, its count in training, and the offsets of the rows."""
+    words = model.words
+    path, n = words.path, words.n
+    u, v, w, hot, count, rows = trigrams(words, part)
+    d3, d2, d1 = map(np.array, model.discounts)
+    # words
+    word, back = np.unique(np.concatenate([v, w]), return_inverse=True)
+    side = np.zeros((5, len(word)), np.int64)
+    side[:4, word == _BEGIN] = np.array(model.begin)[:, None]
+    known = np.flatnonzero(word < _NONE)
+    for b, i in by_range((word[known] % n).astype(np.int32 if n > 1 << 15 else np.int16)):
+        i = known[i]
+        for k, name in enumerate(("total", "n1", "n2", "n3", "left")):
+            side[k, i] = open_array(f"{path}/side-{b}-{name}.npy")[word[i] // n]
+    types = model.pair_types
+    one = 1 / (words.vocabulary + 1)
+    low = _class(d1, side[4]) / types + (d1[1:] @ np.array(model.classes)) / types * one if types else np.full(len(word), one)
+    p = low[back[len(v) :]]
+    total, n1, n2, n3 = side[:4, back[: len(v)]]
+    # pairs
+    left = np.zeros(len(w), np.int64)
+    seen = np.flatnonzero((total > 0) & (w < _NONE))
+    key = hash2(v[seen], w[seen])
+    bucket = place(v[seen], w[seen], hot[seen], n)
+    for b, i in by_range(bucket):
+        is_hot = hot[seen[i]]
+        for name, own in (("pair", i[~is_hot]), ("hot", i[is_hot])):
+            if len(own):
+                left[seen[own]] = value(path, name, b, key[own])
+    t = np.maximum(total, 1)
+    p = np.where(total > 0, _class(d2, left) / t + (d2[1] * n1 + d2[2] * n2 + d2[3] * n3) / t * p, p)
+    # trigrams
+    seen = np.flatnonzero((total > 0) & (u != _NONE))
+    key, key3 = hash2(u[seen], v[seen]), hash3(u[seen], v[seen], w[seen])
+    sums = np.zeros((4, len(seen)), np.int64)
+    c = np.zeros(len(seen), np.int64)
+    for b, i in by_range(place(v[seen], u[seen], hot[seen], n)):
+        q = key[i]
+        i = i[np.argsort(q)]
+        q = key[i]
+        once = find(path, "ctx-one", b, q) >= 0
+        sums[:2, i[once]] = 1
+        rest = i[~once]
+        at = find(path, "ctx-many", b, key[rest])
+        rest, at = rest[at >= 0], at[at >= 0]
+        for k, name in enumerate(("total", "n1", "n2", "n3")):
+            sums[k, rest] = open_array(f"{path}/ctx-many-{b}-{name}.npy")[at]
+        i = i[sums[0, i] > 0]
+        c[i] = value(path, "tri", b, key3[i], "c")
+    total, n1, n2, n3 = sums
+    t = np.maximum(total, 1)
+    p[seen] = np.where(total > 0, _class(d3, c) / t + (d3[1] * n1 + d3[2] * n2 + d3[3] * n3) / t * p[seen], p[seen])
+    return np.log10(p), count, rows
+
+
+def value(path: str, name: str, bucket: int, key: np.ndarray, of: str = "left") -> np.ndarray:
+    """Values of keys, 0 where there is none."""
+    out = (find(path, f"{name}-one", bucket, key) >= 0).astype(np.int64)
+    rest = np.flatnonzero(out == 0)
+    at = find(path, f"{name}-many", bucket, key[rest])
+    hit = at >= 0
+    out[rest[hit]] = open_array(f"{path}/{name}-many-{bucket}-{of}.npy")[at[hit]]
+    return out
 
 
 def score(docs: DataFrame, model: Model, held_out: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document."""
-    n, v = model.train_tokens, model.vocabulary
+    n, v = model.train_tokens, model.words.vocabulary
 
     def run(part: pa.RecordBatch) -> dict:
-        h, rows = tokens(part)
-        lp, c = log10_probabilities(model, h, rows)
+        lp, c, rows = log10_probabilities(model, part)
         at = rows[:-1]
         base = np.log10((c + 1) / (n + v + 1))
         return {

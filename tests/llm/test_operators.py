@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -112,6 +113,58 @@ def test_bpe_and_files(spark, tokenizer):
     assert bpe.encode_digests(odd(spark).limit(0), path).count() == 0
 
 
+def kneser_ney(texts):
+    """Brute-force model: texts as lists of tokens to a function from (u, v, w) to a probability."""
+    tri = Counter()
+    for x in texts:
+        tri.update(zip(["<s>", "<s>", *x], ["<s>", *x], x, strict=False))
+    counts = {3: tri, 2: Counter((v, w) for u, v, w in tri if v != "<s>"), 1: None}
+    for (u, v, w), c in tri.items():
+        if v == "<s>":
+            counts[2][v, w] += c
+    counts[1] = Counter((w,) for _, w in counts[2])
+    vocabulary = len({w for _, _, w in tri})
+    d = {m: word_lm.discounts([sum(c == i for c in counts[m].values()) for i in (1, 2, 3, 4)]) for m in counts}
+    after = {}
+    for m, own in counts.items():
+        for k, c in own.items():
+            total, taken = after.get((m, k[:-1]), (0, 0))
+            after[m, k[:-1]] = total + c, taken + d[m][min(c, 3)]
+
+    def p(*gram):
+        m = len(gram)
+        if not m:
+            return 1 / (vocabulary + 1)
+        low = p(*gram[1:])
+        seen = after.get((m, gram[:-1]))
+        if not seen:
+            return low
+        c = counts[m][gram]
+        return (max(0, c - d[m][min(c, 3)]) + seen[1] * low) / seen[0]
+
+    return p
+
+
+@pytest.mark.parametrize("hot", [1 << 18, 30])
+def test_word_lm_is_kneser_ney(spark, hot):
+    rows = documents(spark)[:120]
+    odd_rows = [(-1, None), (-2, ""), (-3, "The the"), (-4, "unheard of words"), (None, "of of of")]
+    tokens = lambda t: [w.translate({i: i + 32 for i in range(65, 91)}) for w in WORD.findall(t or "")] + [None]
+    df = spark.createDataFrame(rows + odd_rows, "doc_id long, text string")
+    model = word_lm.train(df.filter("doc_id % 3 <> 0").repartition(3), hot, 20_000)
+    p = kneser_ney([tokens(t) for d, t in rows + odd_rows if d is not None and math.fmod(d, 3) != 0])
+    got = {r.doc_id: r.score for r in word_lm.score(df, model, "false").collect()}
+    for d, t in rows + odd_rows:
+        x = tokens(t)
+        want = sum(math.log10(p(*g)) for g in zip(["<s>", "<s>", *x], ["<s>", *x], x, strict=False))
+        assert math.isclose(got[d], want, rel_tol=1e-9), (d, got[d], want)
+    broken = word_lm.train(df)  # not read before: workers keep the arrays they have opened
+    for b in range(broken.words.n):
+        os.remove(f"{broken.words.path}/tri-one-{b}-key.npy")
+    with pytest.raises(Exception, match="No such file"):
+        word_lm.score(df, broken, "false").collect()
+
+
 def test_word_lm(spark):
     def tokens(t):
         return [w.translate({i: i + 32 for i in range(65, 91)}) for w in WORD.findall(t or "")] + [None]
