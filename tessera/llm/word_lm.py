@@ -39,11 +39,11 @@ _END = np.uint64(0x7A6B5C4D3E2F1A0B)
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 #: Numbers of the begin symbol and of words that training has not seen.
 _BEGIN, _NONE = (1 << 39) - 1, (1 << 39) - 2
-_STEP = 4 << 20
+_STEP = 2 << 20
 #: Occurrences from which a middle word's trigrams are dealt by the word before it, too.
 HOT = 1 << 18
 #: Words or trigrams that a mapper adds up before it sends them.
-FLUSH = 3_000_000
+FLUSH = 1_500_000
 
 
 def tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
