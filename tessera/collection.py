@@ -1,7 +1,8 @@
 """Preshuffled collections: many sources as K shuffled, sharded datasets; created once, appended to later.
 
-Layout: ``<path>/data-<id>/dataset_id=<k>/*.parquet``, ``<path>/var-<id>`` and ``<path>/_manifest.json``, which names the two and is
-written last by a rename. A reader sees the old state or the new one; a failed create or append leaves the old one.
+Layout: ``<path>/data-<id>/dataset_id=<k>/*.parquet``, ``<path>/var-<id>`` and ``<path>/_manifest-<n>.json``, which names the two and is
+written last by a rename; the newest counts. A reader sees the old state or the new one; a failed or interrupted create or append
+leaves the old one.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from tessera.operators.align import align, intersect_var, make_unique, remap, su
 from tessera.operators.checks import check_groupby, normalize_groupby, warn_mismatch
 from tessera.operators.intervals import offsets
 from tessera.plans.blocks import BlockPlan, place
-from tessera.sources.scan import Load, concat_rows, default_load, exists, fs, read_json, scan_sources, write_json
+from tessera.sources.scan import Load, concat_rows, default_load, fs, read_state, scan_sources, write_state
 from tessera.sources.sink import write_sharded
 from tessera.types import Annotated
 
@@ -48,8 +49,7 @@ class DatasetCollection:
 
     @property
     def manifest(self) -> dict | None:
-        at = f"{self.path}/_manifest.json"
-        return read_json(self.spark, at) if exists(self.spark, at) else None
+        return read_state(self.spark, self.path, "_manifest")
 
     @property
     def is_empty(self) -> bool:
@@ -98,15 +98,18 @@ class DatasetCollection:
 
     # ---- writing
 
-    def add_adatas(self, paths: Sequence[str | Annotated], *, load_adata: Load | None = None, groupby: str | Sequence[str] | None = None, var_subset: Sequence[str] | None = None, n_obs_per_chunk: int = 64, shard_size: int | str = "1GB", compression: str = "zstd", dataset_size: int | str = "20GB", shuffle_chunk_size: int = 1000, shuffle: bool = True, rng=None) -> DatasetCollection:
+    def add_adatas(self, paths: Sequence[str | Annotated], *, load_adata: Load | None = None, groupby: str | Sequence[str] | None = None, var_subset: Sequence[str] | None = None, n_obs_per_chunk: int = 64, shard_size: int | str = "1GB", compression: str = "zstd", dataset_size: int | str = "20GB", shuffle_chunk_size: int = 1000, shuffle: bool = True, rng=None, batch: tuple[str, int] | None = None) -> DatasetCollection:
         """Creates the collection from sources (paths, or matrices at hand), or appends to each of its datasets.
 
-        On append var_subset and dataset_size do nothing: features and the number of datasets stay as they are.
+        On append var_subset and dataset_size do nothing: features and the number of datasets stay as they are. batch: a stream's
+        name and the number of its batch; the manifest keeps the last one, and one that is in already is not added again.
         """
         if self.mode == "r":
             raise ValueError("the collection was opened to read")
         check_at_least_one(n_obs_per_chunk=n_obs_per_chunk, shuffle_chunk_size=shuffle_chunk_size)
         keys, seed = normalize_groupby(groupby), seed_of(rng)
+        if batch and ((self.manifest or {}).get("streams", {}).get(batch[0], -1) >= batch[1]):
+            return self
         load = load_adata or default_load
         names = [p if isinstance(p, str) else f"source_{i}" for i, p in enumerate(paths)]
         if not names:
@@ -114,7 +117,7 @@ class DatasetCollection:
         scratch = f"{self.path}/_scratch-{uuid.uuid4().hex}"
         try:
             parts = scan_sources([p if isinstance(p, Annotated) else load(self.spark, p) for p in paths], names, scratch)
-            write = {"n_obs_per_chunk": n_obs_per_chunk, "shard_size": shard_size, "compression": compression}
+            write = {"n_obs_per_chunk": n_obs_per_chunk, "shard_size": shard_size, "compression": compression, "batch": batch}
             if self.is_empty:
                 self._create(parts, keys, var_subset, dataset_size, shuffle_chunk_size, shuffle, seed, write)
             else:
@@ -176,7 +179,7 @@ class DatasetCollection:
         self._commit(place(both, seed=seed, shuffle=shuffle, sort=sort_keys(both, keys), ids=["_src", "row_id"] if shuffle else ["row_id"], n_rows=n + n_old) if shuffle or keys else _after(both), var, n + n_old, write)
 
     def _commit(self, rows: DataFrame, var: DataFrame | None, n_rows: int, write: dict) -> None:
-        before, run = self.manifest, uuid.uuid4().hex[:12]
+        before, run, batch = self.manifest, uuid.uuid4().hex[:12], write.pop("batch")
         data, var_at = f"data-{run}", f"var-{run}" if var is not None else None
         known = {c: k for c in rows.columns if (k := categories(rows, c))}
         rows = rows.drop("_row_idx", "_file_idx", "block_pos", "row_id", "_src")
@@ -188,7 +191,8 @@ class DatasetCollection:
         except Exception:
             self._delete(data, var_at)
             raise
-        write_json(self.spark, f"{self.path}/_manifest.json", {"encoding": "tessera-collection", "version": 1, "data": data, "var": var_at, "categories": known, "shard_rows": shard, "rows": {str(r[0]): r[1] for r in sorted(sizes)}})
+        streams = {**(before or {}).get("streams", {}), **({batch[0]: batch[1]} if batch else {})}
+        write_state(self.spark, self.path, "_manifest", {"encoding": "tessera-collection", "version": 1, "data": data, "var": var_at, "categories": known, "shard_rows": shard, "rows": {str(r[0]): r[1] for r in sorted(sizes)}, "streams": streams})
         if before:
             self._delete(before["data"], before["var"])
 

@@ -19,7 +19,7 @@ from tessera.abc import Sampler
 from tessera.operators.align import is_sparse, same_var
 from tessera.operators.intervals import virtual_rows
 from tessera.samplers import RandomSampler, SequentialSampler
-from tessera.sources.scan import Load, numbered
+from tessera.sources.scan import Load, numbered, scratch_dir
 from tessera.types import CSR, Annotated, LoaderOutput
 
 _PLAN = ("chunk_id", "chunk_pos", "request_id", "batch_id", "pos_in_batch", "_ordinal")
@@ -28,8 +28,8 @@ _PLAN = ("chunk_id", "chunk_pos", "request_id", "batch_id", "pos_in_batch", "_or
 class Loader:
     """Batches {X, obs, var, index} of one or more datasets.
 
-    A sampler, or the arguments that make one. concat_strategy and preload_to_gpu are taken for compatibility and do
-    nothing. scratch: a folder all executors share, for datasets whose rows aren't numbered (spark.checkpoint.dir if unset).
+    A sampler, or the arguments that make one. concat_strategy is taken for compatibility and does nothing. preload_to_gpu
+    promotes sparse values (promote_dtype) and hands over cupy arrays; without cupy it warns and they stay on the host. scratch: a folder all executors share, for datasets whose rows aren't numbered (spark.checkpoint.dir if unset).
     """
 
     def __init__(self, spark: SparkSession | None = None, *, batch_sampler: Sampler | None = None, chunk_size: int | None = None, preload_nchunks: int | None = None, shuffle: bool | None = None, batch_size: int | None = None, drop_last: bool | None = None, return_index: bool = False, rng=None, concat_strategy: str | None = None, preload_to_gpu: bool = False, to_torch: bool = False, scratch: str | None = None):
@@ -46,6 +46,15 @@ class Loader:
             warnings.warn("concat_strategy does nothing", DeprecationWarning, stacklevel=2)
         self.spark = spark or SparkSession.getActiveSession()
         self.return_index, self.to_torch, self._scratch = return_index, to_torch, scratch
+        self._device = preload_to_gpu
+        self._cupy = None
+        if preload_to_gpu:
+            try:
+                import cupy
+
+                self._cupy = cupy
+            except ImportError:
+                warnings.warn("preload_to_gpu: cupy is not installed, batches stay on the host", stacklevel=2)
         self._parts: list[tuple[Annotated, int]] = []
         self._collection = False
         self._var: DataFrame | None = None
@@ -89,7 +98,7 @@ class Loader:
         total = self.n_obs + sum(sizes)
         self._sampler.validate(total)
         for d, n in zip(data, sizes, strict=True):
-            scratch = f"{self._scratch or self.spark.conf.get('spark.checkpoint.dir', '/tmp')}/loader-{id(self)}-{len(self._parts)}"
+            scratch = f"{self._scratch or scratch_dir(self.spark)}/loader-{id(self)}-{len(self._parts)}"
             self._parts.append((numbered(d, scratch), n))
         self._var = self._parts[0][0].var
         return self
@@ -231,6 +240,11 @@ class Loader:
                 flat = flat.flatten()
                 shape.append(len(flat) // max(n, 1))
             x = np.asarray(flat).reshape(shape)
+        if self._device:
+            if isinstance(x, CSR):
+                x = CSR(x.values.astype(promote_dtype(x.values.dtype)), x.indices, x.indptr, x.shape)
+            if self._cupy is not None:
+                x = CSR(*map(self._cupy.asarray, (x.values, x.indices, x.indptr)), x.shape) if isinstance(x, CSR) else self._cupy.asarray(x)
         if self.to_torch:
             import torch
 

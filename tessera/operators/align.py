@@ -12,6 +12,8 @@ from tessera.types import Annotated
 
 #: Up to so many entries, a source's map from local to united feature numbers goes along as one broadcast array.
 MAP_ENTRIES = 4_000_000
+#: Rows of one block in which equal names are numbered.
+NAME_BLOCK = 100_000
 
 
 def union_var(parts: Sequence[DataFrame]) -> DataFrame:
@@ -50,7 +52,7 @@ def remap(rows: DataFrame, old: DataFrame, new: DataFrame, columns: Sequence[str
     """rows with their matrices in new's feature numbers. Absent features: 0 (not stored) if sparse, NaN if dense.
 
     The map is one row with an array, broadcast, and every row is rewritten where it is, inside generated code: no shuffle. Beyond
-    MAP_ENTRIES features a sparse matrix takes an equi-join of its elements instead.
+    MAP_ENTRIES features a sparse matrix takes an equi-join of its elements instead; a dense one's map is never longer than a row of it.
     """
     n_old = old.count() if n_old is None else n_old
     if n_old > MAP_ENTRIES and all(is_sparse(rows, c) for c in columns):
@@ -103,12 +105,22 @@ def align(parts: Sequence[Annotated], var: DataFrame | None = None) -> tuple[lis
 
 
 def make_unique(rows: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
-    """The first row of a name keeps it; the others get ``-1``, ``-2``, ... in order.
+    """The first row of a name keeps it; the others get ``-1``, ``-2``, ... in order. order: columns that tell rows apart, the last a number.
 
-    Only repeated names are ranked; a name that most rows share still meets in one task, as its numbering is sequential.
+    Only repeated names and order columns are ranked, in blocks of NAME_BLOCK of the last one, whose counts are summed before: a name
+    that most rows share is spread over blocks. Rows get their number by a join; the matrices are not sorted.
     """
-    n = F.row_number().over(W.partitionBy(name).orderBy(*order)) - 1
-    return rows.withColumn("_n", n).withColumn(name, F.when(F.col("_n") == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("-"), F.col("_n").cast("string")))).drop("_n")
+    *lead, last = order
+    own = rows.select(name, *order, F.floor(F.col(last) / NAME_BLOCK).alias("_block"))
+    repeated = own.groupBy(name).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(name)
+    own = own.join(repeated, name)
+    count = own.groupBy(name, *lead, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(name).orderBy(*lead, "_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    base = count.select(name, *lead, "_block", before.alias("_base"))
+    inner = F.row_number().over(W.partitionBy(name, *lead, "_block").orderBy(last)) - 1
+    rank = own.withColumn("_in", inner).join(base, [name, *lead, "_block"]).select(*order, (F.col("_base") + F.col("_in")).alias("_n")).filter("_n > 0")
+    out = rows.join(rank, list(order), "left")
+    return out.withColumn(name, F.when(F.col("_n").isNull(), F.col(name)).otherwise(F.concat(F.col(name), F.lit("-"), F.col("_n").cast("string")))).select(*rows.columns)
 
 
 def same_var(a: DataFrame, b: DataFrame) -> bool:

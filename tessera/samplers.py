@@ -140,7 +140,8 @@ class ChunkSampler(_Chunks):
 class DistributedSampler(Sampler):
     """The inner sampler on one rank's equal share of the rows; the rest below one share is read by no rank.
 
-    dist_info: a callable that returns (rank, world size), or "spark" within a task of a barrier stage.
+    dist_info: a callable that returns (rank, world size), "torch" (an initialised process group), "jax", or "spark" within a task
+    of a barrier stage.
     """
 
     def __init__(self, sampler: _Chunks, *, dist_info: str | Callable[[], tuple[int, int]], enforce_equal_batches: bool = True):
@@ -156,6 +157,16 @@ class DistributedSampler(Sampler):
             if context is None:
                 raise RuntimeError("dist_info='spark' needs a barrier task")
             self.rank, self.world = context.partitionId(), len(context.getTaskInfos())
+        elif dist_info == "torch":
+            from torch import distributed
+
+            if not distributed.is_available() or not distributed.is_initialized():
+                raise RuntimeError("dist_info='torch' needs an initialised process group")
+            self.rank, self.world = distributed.get_rank(), distributed.get_world_size()
+        elif dist_info == "jax":
+            import jax
+
+            self.rank, self.world = jax.process_index(), jax.process_count()
         else:
             raise ValueError(f"unknown dist_info {dist_info!r}")
         if not 0 <= self.rank < self.world:

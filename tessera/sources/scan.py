@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 from pathlib import PurePosixPath
 
@@ -13,6 +16,9 @@ from pyspark.sql.window import Window as W
 from tessera.functions.categories import categories, union_categories, with_categories
 from tessera.types import Annotated
 
+#: Files whose offsets may be broadcast.
+BROADCAST_FILES = 1_000_000
+
 Load = Callable[[SparkSession, str], Annotated]
 
 
@@ -26,8 +32,31 @@ def exists(spark: SparkSession, path: str) -> bool:
     return f.exists(p)
 
 
-def read_json(spark: SparkSession, path: str):
-    f, p = fs(spark, path)
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder all executors share (``spark.checkpoint.dir``); where that is unset, a temporary one in local mode, else an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {spark.sparkContext.master} share")
+        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def _states(spark: SparkSession, folder: str, stem: str) -> list[tuple[int, str]]:
+    f, p = fs(spark, folder)
+    if not f.exists(p):
+        return []
+    names = [(re.fullmatch(rf"{stem}-(\d+)\.json", x.getPath().getName()), x.getPath().toString()) for x in f.listStatus(p)]
+    return sorted((int(m[1]), at) for m, at in names if m)
+
+
+def read_state(spark: SparkSession, folder: str, stem: str):
+    """The newest state of a folder, None if it has none."""
+    states = _states(spark, folder, stem)
+    if not states:
+        return None
+    f, p = fs(spark, states[-1][1])
     stream = f.open(p)
     try:
         return json.loads(bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
@@ -35,30 +64,36 @@ def read_json(spark: SparkSession, path: str):
         stream.close()
 
 
-def write_json(spark: SparkSession, path: str, value) -> None:
-    """Written aside and renamed, so a reader finds the old file or the new one, whole."""
-    f, p = fs(spark, path)
-    _, aside = fs(spark, path + ".new")
-    stream = f.create(aside, True)
+def write_state(spark: SparkSession, folder: str, stem: str, value) -> None:
+    """Written aside and renamed to a number that is not taken; the states before go only then. So at every moment a reader finds
+    the old state or the new one, whole, also after a crash between any two of these steps."""
+    states = _states(spark, folder, stem)
+    number = states[-1][0] + 1 if states else 1
+    f, p = fs(spark, f"{folder}/{stem}-{number:08d}.json")
+    _, aside = fs(spark, f"{folder}/{stem}-{number:08d}.{uuid.uuid4().hex}.new")
+    stream = f.create(aside, False)
     try:
         stream.write(bytearray(json.dumps(value).encode()))
     finally:
         stream.close()
-    if f.exists(p):
-        f.delete(p, False)
-    if not f.rename(aside, p):
-        raise OSError(f"could not write {path}")
+    if f.exists(p) or not f.rename(aside, p):
+        f.delete(aside, False)
+        raise OSError(f"another writer has changed {folder}")
+    for _, old in states:
+        f.delete(fs(spark, old)[1], False)
 
 
 def with_row_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
     """df, a Parquet scan, with dense row numbers in the order of file names and rows.
 
-    A file's offset is the sum of the row counts before it (one row a file); the rest is the reader's own row index: no shuffle.
+    A file's offset is the sum of the row counts before it (one row a file, broadcast up to BROADCAST_FILES of them); the rest is
+    the reader's own row index: no shuffle.
     """
+    few = len(df.inputFiles()) <= BROADCAST_FILES
     at = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     count = at.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
     base = count.select("_file", F.coalesce(F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    return at.join(F.broadcast(base), "_file").withColumn(name, F.col("_base") + F.col("_row")).drop("_file", "_row", "_base")
+    return at.join(F.broadcast(base) if few else base, "_file").withColumn(name, F.col("_base") + F.col("_row")).drop("_file", "_row", "_base")
 
 
 def default_load(spark: SparkSession, path: str) -> Annotated:

@@ -43,6 +43,12 @@ class CSR:
         np.add.at(out, (np.repeat(np.arange(self.shape[0]), np.diff(self.indptr)), self.indices), self.values)
         return out
 
+    def to_scipy(self):
+        """A scipy.sparse.csr_matrix of the same arrays; needs scipy."""
+        from scipy.sparse import csr_matrix
+
+        return csr_matrix((self.values, self.indices, self.indptr), shape=self.shape)
+
     def take(self, rows: np.ndarray) -> CSR:
         n = np.diff(self.indptr)[rows]
         ptr = np.concatenate([[0], np.cumsum(n)])

@@ -170,3 +170,50 @@ def test_sizes(spark, tmp_path):
     assert write_sharded(rows, f"{tmp_path}/w", n_obs_per_chunk=5, shard_size=12) == 10
     per_file = spark.read.parquet(f"{tmp_path}/w").groupBy(F.input_file_name()).count().collect()
     assert sorted(r["count"] for r in per_file) == [5, 10, 10]
+
+
+def test_a_crash_between_two_steps_leaves_a_state(spark, made, monkeypatch):
+    """Stopped after the data are written, after the aside file is, and after the rename: the old state, the old one, the new one."""
+    from tessera import collection
+    from tessera.sources import scan
+
+    before = made.manifest
+
+    def stop(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(collection, "write_state", stop)
+    with pytest.raises(KeyboardInterrupt):
+        made.add_adatas([source(spark, 7, n=30)], shuffle_chunk_size=5, rng=3)
+    assert made.manifest == before and made.rows().count() == 120
+    monkeypatch.undo()
+
+    f, p = scan.fs(spark, f"{made.path}/_manifest-00000002.half.new")
+    f.create(p, True).close()
+    assert made.manifest == before and not made.is_empty
+
+    monkeypatch.setattr(made, "_delete", stop)
+    with pytest.raises(KeyboardInterrupt):
+        made.add_adatas([source(spark, 7, n=30)], shuffle_chunk_size=5, rng=3)
+    assert made.rows().count() == 150
+    monkeypatch.undo()
+    assert made.add_adatas([source(spark, 8, n=30)], shuffle_chunk_size=5, rng=3).rows().count() == 180
+
+
+def test_a_replayed_batch_is_added_once(spark, made):
+    for number, n in ((0, 150), (0, 150), (1, 180), (1, 180), (0, 180)):
+        made.add_adatas([source(spark, 9, n=30)], shuffle_chunk_size=5, batch=("stream", number))
+        assert made.rows().count() == n
+    assert made.add_adatas([source(spark, 9, n=30)], shuffle_chunk_size=5, batch=("other", 0)).rows().count() == 210
+
+
+def test_names_become_unique(spark, monkeypatch):
+    from tessera.operators import align
+
+    monkeypatch.setattr(align, "NAME_BLOCK", 7)
+    rows = spark.range(60).select((F.col("id") % 2).alias("src"), F.col("id"), F.when(F.col("id") % 9 == 8, None).when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("n"), (F.col("id") % 30).cast("string"))).alias("name"))
+    seen, want = {}, []
+    for r in sorted(rows.collect(), key=lambda r: (r.src, r.id)):
+        k = seen[r.name] = seen.get(r.name, -1) + 1
+        want.append((r.src, r.id, f"{r.name}-{k}" if k and r.name is not None else r.name))
+    assert sorted(tuple(r) for r in align.make_unique(rows, "name", ["src", "id"]).collect()) == want
