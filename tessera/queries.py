@@ -1,26 +1,33 @@
 """Queries over the test tables, and the SQL each is held against.
 
 Dense matrix: ``embeddings``. Sparse matrix: ``lineitem`` summed by (order, part), with ``orders`` as rows and ``part`` as
-features. Sources with different features: orders by their customer's nation. Values are made whole numbers by a power of two
+features. Sources with different features: orders by their customer's nation modulo 5. Values are made whole numbers by a power of two
 (exact), so sums don't depend on their order.
 """
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tessera.collection import DatasetCollection
 from tessera.functions.categories import as_category, categories, encode, sort_keys, union_categories
 from tessera.functions.keys import hash_key
-from tessera.functions.sizes import round_down, rows_of
-from tessera.operators.align import make_unique
-from tessera.operators.checks import key_counts
+from tessera.functions.sizes import dense_layout, rows_of
+from tessera.loader import Loader
+from tessera.operators.align import align, intersect_var, make_unique, remap, subset_var, union_var
+from tessera.operators.checks import check_groupby, key_counts
 from tessera.operators.intervals import offsets, resolve
 from tessera.operators.sparse import indptr, rows_from_items, with_empty_rows
 from tessera.plans.blocks import BlockPlan, place
 from tessera.plans.chunks import ChunkPlan, worker_of
 from tessera.samplers import DistributedSampler, RandomSampler, SequentialSampler
+from tessera.sources.scan import concat_rows, scan_sources, scratch_dir
+from tessera.sources.sink import write_sharded
 from tessera.types import Annotated
 
 QUERIES: dict = {}
@@ -215,59 +222,80 @@ def sparse_row_gather(spark, d):
 
 # ---------------------------------------------------------------- alignment
 
-_BOUGHT = "b AS (SELECT DISTINCT c_nationkey AS f, l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"
+_BOUGHT = "b AS (SELECT DISTINCT c_nationkey % 5 AS f, l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"
 
 
 def bought(spark, d) -> DataFrame:
-    """f, p, q: quantity of each part in each source (a nation's orders)."""
+    """f, p, q: quantity of each part in each source (the orders of a fifth of the nations)."""
     c, o, li = table(spark, d, "customer"), table(spark, d, "orders"), table(spark, d, "lineitem")
-    near = o.join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").alias("f"))
+    near = o.join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", (F.col("c_nationkey") % 5).alias("f"))
     return li.select("l_orderkey", F.col("l_partkey").alias("p"), F.col("l_quantity").alias("q")).join(near, F.col("l_orderkey") == F.col("o_orderkey")).select("f", "o_orderkey", "p", "q")
 
 
-def _first_seen(pairs: DataFrame) -> DataFrame:
-    """var_id of each part: sources in order, within a source by part; one row a feature."""
-    first = pairs.groupBy("p").agg(F.min("f").alias("first_source"))
-    return first.select("p", "first_source", (F.row_number().over(W.partitionBy(F.lit(0)).orderBy("first_source", "p")) - 1).cast("long").alias("var_id"))
+def _features(parts: DataFrame) -> DataFrame:
+    """var_id, var_name, of the parts p in their order."""
+    return parts.select((F.row_number().over(W.partitionBy(F.lit(0)).orderBy("p")) - 1).cast("int").alias("var_id"), F.col("p").cast("string").alias("var_name"))
+
+
+def _source(items: DataFrame, var: DataFrame, key: str) -> Annotated:
+    """Rows of items (key, p, q) in the numbers of var; items of other parts are left out."""
+    own = items.join(var.select("var_id", F.col("var_name").cast("long").alias("p")), "p").select(F.col(key).alias("row_id"), "var_id", "q")
+    return Annotated(rows_from_items(own, "row_id", "var_id", "q"), var, ["row_id"])
+
+
+def _bought_sources(spark, d) -> list[Annotated]:
+    """A source for each f, with only the parts that it bought."""
+    items = bought(spark, d)
+    out = []
+    for f in range(5):
+        own = items.filter(F.col("f") == f)
+        out.append(_source(own, _features(own.select("p").distinct()), "o_orderkey"))
+    return out
+
+
+def _weighted(x) -> F.Column:
+    return F.aggregate(F.zip_with(x["indices"], x["values"], lambda i, v: i * v), F.lit(0.0), lambda a, v: a + v).cast("long")
 
 
 @query(f"""WITH {_BOUGHT}, v AS (SELECT p, min(f) AS s FROM b GROUP BY p), g AS (SELECT p, s, row_number() OVER (ORDER BY s, p) - 1 AS id FROM v)
   SELECT CAST(id AS BIGINT) AS var_id, p_name AS var_name, CAST(s AS BIGINT) AS first_source, (SELECT count(*) FROM b WHERE b.p = g.p) AS n_sources FROM g JOIN part ON p = p_partkey""")
 def var_outer_join(spark, d):
-    pairs = bought(spark, d).select("f", "p").distinct()
-    seen = _first_seen(pairs).join(pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n_sources")), "p")
+    whole = union_var([p.var for p in _bought_sources(spark, d)]).withColumn("p", F.col("var_name").cast("long")).drop("var_name")
+    seen = bought(spark, d).select("f", "p").distinct().groupBy("p").agg(F.min("f").cast("long").alias("first_source"), F.count(F.lit(1)).alias("n_sources"))
     names = table(spark, d, "part").select(F.col("p_partkey").alias("p"), F.col("p_name").alias("var_name"))
-    return seen.join(names, "p").select("var_id", "var_name", F.col("first_source").cast("long").alias("first_source"), "n_sources")
+    return whole.join(seen, "p").join(names, "p").select(F.col("var_id").cast("long").alias("var_id"), "var_name", "first_source", "n_sources")
 
 
 @query(f"""WITH {_BOUGHT}, v AS (SELECT p, min(f) AS s FROM b GROUP BY p), g AS (SELECT p, row_number() OVER (ORDER BY s, p) - 1 AS id FROM v),
   {_ITEMS} SELECT o AS obs_id, count(*) AS nnz, CAST(min(id) AS BIGINT) AS first_index, CAST(max(id) AS BIGINT) AS last_index, CAST(sum(id * q) AS BIGINT) AS weighted FROM i JOIN g USING (p) GROUP BY 1""")
 def aligned_rows(spark, d):
-    items = bought(spark, d)
-    ids = _first_seen(items.select("f", "p").distinct()).select("p", "var_id")
-    rows = rows_from_items(items.join(ids, "p").select(F.col("o_orderkey").alias("obs_id"), "var_id", "q"), "obs_id", "var_id", "q")
+    aligned, _ = align(_bought_sources(spark, d))
+    rows = concat_rows([p.rows for p in aligned])
     x = F.col("x")
-    weighted = F.aggregate(F.zip_with(x["indices"], x["values"], lambda i, v: i * v), F.lit(0.0), lambda a, v: a + v).cast("long")
-    return rows.select("obs_id", F.size(x["indices"]).cast("long").alias("nnz"), F.array_min(x["indices"]).cast("long").alias("first_index"), F.array_max(x["indices"]).cast("long").alias("last_index"), weighted.alias("weighted"))
+    return rows.select(F.col("row_id").alias("obs_id"), F.size(x["indices"]).cast("long").alias("nnz"), F.array_min(x["indices"]).cast("long").alias("first_index"), F.array_max(x["indices"]).cast("long").alias("last_index"), _weighted(x).alias("weighted"))
 
 
 @query(f"""WITH {_ITEMS}, s AS (SELECT p_partkey AS p, row_number() OVER (ORDER BY p_partkey) - 1 AS id FROM part WHERE p_size <= 10)
   SELECT o AS obs_id, count(*) AS nnz, CAST(sum(id) AS BIGINT) AS index_sum, CAST(sum(q) AS BIGINT) AS value_sum FROM i JOIN s USING (p) GROUP BY 1""")
 def var_subset(spark, d):
-    kept = table(spark, d, "part").filter("p_size <= 10").select("p_partkey")
-    ids = kept.select("p_partkey", (F.row_number().over(W.partitionBy(F.lit(0)).orderBy("p_partkey")) - 1).alias("var_id"))
-    items = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity").join(ids, F.col("l_partkey") == F.col("p_partkey"))
+    part = table(spark, d, "part")
+    names = [str(r[0]) for r in part.filter("p_size <= 10").select("p_partkey").collect()]  # a list of names is what the caller gives
+    items = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p"), F.col("l_quantity").alias("q"))
+    whole = _source(items, _features(part.select(F.col("p_partkey").alias("p"))), "l_orderkey")
     x = F.col("x")
-    rows = rows_from_items(items, "l_orderkey", "var_id", "l_quantity")
-    return rows.select(F.col("l_orderkey").alias("obs_id"), F.size(x["indices"]).cast("long").alias("nnz"), F.aggregate(x["indices"], F.lit(0).cast("long"), lambda a, v: a + v).alias("index_sum"), F.aggregate(x["values"], F.lit(0.0), lambda a, v: a + v).cast("long").alias("value_sum"))
+    rows = remap(whole.rows, whole.var, subset_var(whole.var, names)).filter(F.size(x["indices"]) > 0)
+    return rows.select(F.col("row_id").alias("obs_id"), F.size(x["indices"]).cast("long").alias("nnz"), F.aggregate(x["indices"], F.lit(0).cast("long"), lambda a, v: a + v).alias("index_sum"), F.aggregate(x["values"], F.lit(0.0), lambda a, v: a + v).cast("long").alias("value_sum"))
 
 
-@query(f"""WITH {_BOUGHT}, old AS (SELECT DISTINCT p FROM b WHERE f < 12)
-  SELECT CAST(f AS BIGINT) AS source, count(*) AS n_kept, CAST(sum(p) AS BIGINT) AS part_sum FROM b JOIN old USING (p) WHERE f >= 12 GROUP BY 1""")
+@query(f"""WITH {_BOUGHT}, old AS (SELECT DISTINCT p FROM b WHERE f < 2)
+  SELECT CAST(f AS BIGINT) AS source, count(*) AS n_kept, CAST(sum(p) AS BIGINT) AS part_sum FROM b JOIN old USING (p) WHERE f >= 2 GROUP BY 1""")
 def append_var_intersection(spark, d):
-    pairs = bought(spark, d).select("f", "p").distinct()
-    kept = pairs.filter("f >= 12").join(pairs.filter("f < 12").select("p").distinct(), "p", "left_semi")
-    return kept.groupBy(F.col("f").cast("long").alias("source")).agg(F.count(F.lit(1)).alias("n_kept"), F.sum("p").cast("long").alias("part_sum"))
+    sources = _bought_sources(spark, d)
+    old, out = union_var([p.var for p in sources[:2]]), None
+    for f, p in enumerate(sources[2:], 2):
+        kept = intersect_var(p.var, old).agg(F.lit(f).cast("long").alias("source"), F.count(F.lit(1)).alias("n_kept"), F.sum(F.col("var_name").cast("long")).alias("part_sum"))
+        out = kept if out is None else out.union(kept)
+    return out
 
 
 # ---------------------------------------------------------------- annotations of many sources
@@ -275,11 +303,10 @@ def append_var_intersection(spark, d):
 @query("""SELECT 'customer' AS src_path, c_custkey AS obs_id, CAST(c_nationkey AS BIGINT) AS nation, c_mktsegment AS segment, CAST(NULL AS VARCHAR) AS supplier_name FROM customer
   UNION ALL BY NAME SELECT 'supplier' AS src_path, s_suppkey AS obs_id, CAST(s_nationkey AS BIGINT) AS nation, s_name AS supplier_name FROM supplier""")
 def concat_missing_cols(spark, d):
-    from tessera.sources.scan import concat_rows
-
-    a = table(spark, d, "customer").select(F.lit("customer").alias("src_path"), F.col("c_custkey").alias("obs_id"), F.col("c_nationkey").cast("long").alias("nation"), F.col("c_mktsegment").alias("segment"))
-    b = table(spark, d, "supplier").select(F.lit("supplier").alias("src_path"), F.col("s_suppkey").alias("obs_id"), F.col("s_nationkey").cast("long").alias("nation"), F.col("s_name").alias("supplier_name"))
-    return concat_rows([a, b])
+    a = table(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), F.col("c_nationkey").cast("long").alias("nation"), F.col("c_mktsegment").alias("segment"))
+    b = table(spark, d, "supplier").select(F.col("s_suppkey").alias("row_id"), F.col("s_nationkey").cast("long").alias("nation"), F.col("s_name").alias("supplier_name"))
+    parts = scan_sources([Annotated(a, None, ["row_id"]), Annotated(b, None, ["row_id"])], ["customer", "supplier"])
+    return concat_rows([p.rows for p in parts]).withColumnRenamed("_row_idx", "obs_id").drop("_file_idx")
 
 
 @query("""SELECT event_id, CASE WHEN k = 0 THEN n ELSE n || '-' || k END AS obs_name FROM
@@ -307,8 +334,6 @@ def category_union(spark, d):
 
 @query(f"WITH {_CATS} SELECT event_id, event_type, CAST(list_position(l, event_type) - 1 AS INT) AS code FROM events, u WHERE event_id % 2 = 1 OR event_type <> (SELECT max(event_type) FROM events)")
 def categorical_codes(spark, d):
-    from tessera.sources.scan import concat_rows
-
     both = concat_rows(_category_parts(spark, d))
     return both.select("event_id", "event_type", encode("event_type", categories(both, "event_type")).alias("code"))
 
@@ -327,11 +352,21 @@ def key_mismatch(spark, d):
     return spark.createDataFrame(out, "kind string, key string, n_sources long")
 
 
-@query("""SELECT o_orderpriority AS column_value, count(*) AS n_rows, CAST(count(DISTINCT o_orderkey % 4) AS BIGINT) AS n_sources, count(DISTINCT o_orderkey % 4) = 4 AS consistent FROM orders GROUP BY 1""")
+_SAME = "SELECT '{0}' AS column_name, count(*) AS n_sources, count(DISTINCT l) = 1 AS consistent FROM (SELECT {1} AS s, list_sort(list(DISTINCT {0})) AS l FROM {2} GROUP BY 1)"
+
+
+@query(" UNION ALL ".join(_SAME.format(*x) for x in (("o_orderpriority", "o_orderkey % 4", "orders"), ("o_orderstatus", "o_orderkey % 4", "orders"), ("event_type", "event_id % 2", "(SELECT * FROM events WHERE event_id % 2 = 1 OR event_type <> (SELECT max(event_type) FROM events))"))))
 def groupby_validation(spark, d):
-    o = table(spark, d, "orders").select("o_orderpriority", (F.col("o_orderkey") % 4).alias("s"))
-    per = o.groupBy(F.col("o_orderpriority").alias("column_value"), "s").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("column_value").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_sources"), (F.count(F.lit(1)) == 4).alias("consistent"))
+    o = table(spark, d, "orders")
+    cases = [(c, [as_category(o.filter(F.col("o_orderkey") % 4 == s).select(c), c) for s in range(4)]) for c in ("o_orderpriority", "o_orderstatus")]
+    out = []
+    for c, parts in [*cases, ("event_type", _category_parts(spark, d))]:
+        try:
+            check_groupby(parts, [c])
+            out.append((c, len(parts), True))
+        except ValueError:
+            out.append((c, len(parts), False))
+    return spark.createDataFrame(out, "column_name string, n_sources long, consistent boolean")
 
 
 # ---------------------------------------------------------------- preshuffle
@@ -391,12 +426,91 @@ def shard_plan(spark, d):
     rows = dense(spark, d).select("obs_id")
     n, out = rows.count(), None
     for chunk in (3, 5, 64):
-        shard = max(chunk, round_down(min(rows_of("64KB", 268), n), chunk))
+        _, shard = dense_layout(n, chunk, rows_of("64KB", 268))
         own = rows.select(F.floor(F.col("obs_id") / shard).cast("long").alias("shard"), F.lit(chunk).cast("long").alias("chunk"))
         out = own if out is None else out.union(own)
     return out.groupBy("shard", "chunk").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+# ---------------------------------------------------------------- collections and loaders, end to end
+
+def _scratch(spark, name: str) -> str:
+    return f"{scratch_dir(spark)}/queries/{name}-{uuid.uuid4().hex}"
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM embeddings), s AS (SELECT greatest(7, least(150, n) - least(150, n) % 7) AS s FROM n)
+  SELECT CAST(vec_id // s AS BIGINT) AS shard, min(vec_id) AS first, max(vec_id) AS last, count(*) AS n_rows FROM embeddings, s GROUP BY 1""")
+def sharded_files(spark, d):
+    """What each file holds that write_sharded has written."""
+    path = _scratch(spark, "sharded")
+    shard = write_sharded(dense(spark, d).withColumnRenamed("obs_id", "pos"), path, n_obs_per_chunk=7, shard_size=150)
+    files = spark.read.parquet(path).groupBy(F.input_file_name()).agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count(F.lit(1)).alias("n_rows"))
+    return files.select(F.floor(F.col("first") / shard).cast("long").alias("shard"), "first", "last", "n_rows")
+
+
+_MADE = f"""{_ITEMS}, g AS (SELECT p_partkey AS p, row_number() OVER (ORDER BY p_partkey % 4 = 0, p_partkey) - 1 AS id FROM part),
+  o AS (SELECT o_orderkey AS okey, o_custkey, o_orderkey % 3 AS src, o_orderkey // 3 AS row_id FROM orders),
+  m AS (SELECT okey, count(p) AS nnz, CAST(coalesce(sum(id * q), 0) AS BIGINT) AS weighted FROM o LEFT JOIN (SELECT * FROM i JOIN g USING (p)) t ON t.o = okey AND p % 4 <> src GROUP BY 1),
+  v AS (SELECT *, row_id + CASE WHEN src > 0 THEN (SELECT count(*) FROM o WHERE src < 1) ELSE 0 END + CASE WHEN src > 1 THEN (SELECT count(*) FROM o WHERE src = 1) ELSE 0 END AS virt FROM o)"""
+
+
+def _blocks_sql(name: str, n: str, block: int, seed: int) -> str:
+    return f"{name} AS (SELECT i AS id, row_number() OVER (ORDER BY md5('{seed}:block:' || i), i) - 1 AS pos FROM range(CAST(ceil(({n}) / {block}.0) AS BIGINT)) r(i))"
+
+
+def _order_sources(spark, d) -> list[Annotated]:
+    """Three sources: the orders by key modulo 3, each without a quarter of the parts."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    items = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p"), F.col("l_quantity").alias("q"))
+    out = []
+    for s in range(3):
+        var = _features(table(spark, d, "part").select(F.col("p_partkey").alias("p")).filter(F.col("p") % 4 != s))
+        own = o.filter(F.col("o_orderkey") % 3 == s)
+        held = _source(items.filter(F.col("l_orderkey") % 3 == s), var, "l_orderkey").rows
+        rows = with_empty_rows(own.withColumnRenamed("o_orderkey", "row_id"), held, "row_id").withColumn("okey", F.col("row_id"))
+        out.append(Annotated(rows.select(F.floor(F.col("row_id") / 3).alias("row_id"), "okey", F.lit(s).cast("long").alias("src"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("obs_name"), "x"), var, ["row_id"]))
+    return out
+
+
+def _held(made: DatasetCollection, *more: str) -> DataFrame:
+    return made.rows().select("okey", "src", F.col("dataset_id").cast("int").alias("dataset_id"), "pos", F.size("x.indices").cast("long").alias("nnz"), _weighted(F.col("x")).alias("weighted"), *more)
+
+
+@query(f"""WITH {_MADE}, {_blocks_sql("b", "SELECT count(*) FROM o", 300, 19)},
+  r AS (SELECT v.*, CAST(b.pos // 3 AS INT) AS ds FROM v JOIN b ON virt // 300 = id),
+  u AS (SELECT okey, row_number() OVER (PARTITION BY o_custkey ORDER BY virt) - 1 AS k FROM v)
+  SELECT okey, src, ds AS dataset_id, CAST(row_number() OVER (PARTITION BY ds ORDER BY md5('19:place:' || ds || ':' || virt), virt) - 1 AS BIGINT) AS pos, nnz, weighted,
+    'c' || o_custkey || CASE WHEN k > 0 THEN '-' || k ELSE '' END AS obs_name FROM r JOIN m USING (okey) JOIN u USING (okey)""")
+def collection_create(spark, d):
+    made = DatasetCollection(_scratch(spark, "created") + ".parquet", spark)
+    return _held(made.add_adatas(_order_sources(spark, d), shuffle_chunk_size=300, dataset_size=1000, rng=19), "obs_name")
+
+
+@query(f"""WITH {_MADE}, {_blocks_sql("b", "SELECT count(*) FROM o WHERE src < 2", 150, 19)}, {_blocks_sql("a", "SELECT count(*) FROM o WHERE src = 2", 10, 23)},
+  r AS (SELECT v.*, CAST(b.pos // 2 AS INT) AS ds FROM v JOIN b ON virt // 150 = id WHERE src < 2),
+  old AS (SELECT okey, src, ds, 0 AS s, row_number() OVER (PARTITION BY ds ORDER BY md5('19:place:' || ds || ':' || virt), virt) - 1 AS row_id FROM r),
+  k AS (SELECT (SELECT count(*) FROM a) // (SELECT max(ds) + 1 FROM r) AS size, (SELECT count(*) FROM a) % (SELECT max(ds) + 1 FROM r) AS more),
+  new AS (SELECT okey, src, CAST(CASE WHEN pos < more * (size + 1) THEN pos // (size + 1) ELSE (pos - more * (size + 1)) // size + more END AS INT) AS ds, 1 AS s, row_id FROM v JOIN a ON row_id // 10 = id, k WHERE src = 2),
+  e AS (SELECT * FROM old UNION ALL SELECT * FROM new)
+  SELECT okey, src, ds AS dataset_id, CAST(row_number() OVER (PARTITION BY ds ORDER BY md5('23:place:' || ds || ':' || s || ':' || row_id), s, row_id) - 1 AS BIGINT) AS pos, nnz, weighted FROM e JOIN m USING (okey)""")
+def collection_append(spark, d):
+    sources = _order_sources(spark, d)
+    made = DatasetCollection(_scratch(spark, "appended") + ".parquet", spark).add_adatas(sources[:2], shuffle_chunk_size=150, dataset_size=300, rng=19)
+    return _held(made.add_adatas(sources[2:], shuffle_chunk_size=10, rng=23))
+
+
+@query(f"""WITH {_chunk_sql("SELECT count(*) FROM embeddings", 50, 4, "21")}, {_EMB},
+  r AS (SELECT vec_id, s, c.pos, c.req FROM e JOIN c ON vec_id >= c.a AND vec_id < c.b),
+  q AS (SELECT *, row_number() OVER (PARTITION BY req ORDER BY md5('21:row:' || pos || ':' || vec_id), pos, vec_id) - 1 AS rk FROM r)
+  SELECT CAST(row_number() OVER (ORDER BY req, rk // 20) - 1 AS BIGINT) AS batch, count(*) AS n_rows, CAST(sum(vec_id) AS BIGINT) AS id_sum, CAST(sum(s) AS BIGINT) AS value_sum FROM q GROUP BY req, rk // 20""")
+def loader_epoch(spark, d):
+    """A pass of the loader; its batches are summed up as they come."""
+    loader = Loader(spark, batch_sampler=RandomSampler(50, 4, 20, rng=21), return_index=True)
+    loader.add_adata(Annotated(dense(spark, d).withColumnRenamed("obs_id", "row_id"), None, ["row_id"]))
+    sums = [(k, len(b["index"]), int(b["index"].sum()), int(np.floor(b["X"].astype(float) * 1024).sum())) for k, b in enumerate(loader)]
+    return spark.createDataFrame(sums, "batch long, n_rows long, id_sum long, value_sum long")
+
+
 def epoch(spark: SparkSession, d: str, plan: ChunkPlan) -> DataFrame:
     """A pass over the orders as a loader makes it: every row with its items and its place."""
     return plan.rows(sparse(spark, d))
