@@ -3,13 +3,14 @@
 Texts with one sequence of words are one class, by 128 bits of hash; only classes go on. Each of BANDS functions hashes a text's
 shingles, labelled with their occurrence, and keeps the PICK least in the order of the text: their hash is the text's
 bucket in that band. Texts that share their order too meet, so the sketch is sensitive to edit similarity; a pair of
-similarity 0.8 meets in no band with probability 0.0002.
+similarity 0.8 meets in no band with probability 0.0002 if its texts are long, 0.0015 at 8 of 10 shingles. Texts of FEW shingles at most
+also meet by their sets less one shingle, which loses no pair of them.
 
 A bucket's members are compared with its leader, the least by a hash of bucket and class, so leaders differ between buckets. Members that the leader
 is not similar to stay behind. They are compared with the members that joined it, but for those of a Jaccard similarity below
 0.6 to the leader, which by the triangle inequality are similar to none that joined, and with each other. Where more than LEFT_OVER
 stay behind, they get a next leader in another distributed round as long as leaders take half; after that only those not yet in one component
-are compared. Comparisons are dealt by pairs of blocks of about LEFT_OVER members, and within a task go by an inverted index of shingles that skips
+are compared. Comparisons are dealt by pairs of blocks of about BLOCK members, and within a task go by an inverted index of shingles that skips
 what is connected already, so all members of a bucket that are similar end in one component. No bucket's pairs are ever listed and none is capped. Two
 texts are linked if their sets of shingles have a Jaccard similarity of at least 0.8 and a banded alignment of their words finds
 an edit similarity of at least 0.8. Sequences of words lie in memory-mapped files by class. Groups are the
@@ -35,8 +36,12 @@ from tessera.llm.keyfiles import open_array, pack, save_array, unpack
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, PICK = 16, 4
-#: Members of a bucket left over by its leaders that one task may finish.
+#: Members of a bucket left over by its leaders that are finished at once, in blocks.
 LEFT_OVER = 2000
+#: Members of a block: two blocks meet in one task.
+BLOCK = 500
+#: Texts of so many different shingles at most also meet by their sets: two of them at 0.8 differ by one shingle.
+FEW = 9
 #: Least shingles of a text that are looked at for each function, about; texts where too few are found are looked at whole.
 _NEAR = 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -112,6 +117,20 @@ def bands(word: np.ndarray, before: np.ndarray, n_bands: int = BANDS, pick: int
     return out
 
 
+def short_sets(word: np.ndarray, before: np.ndarray) -> dict[int, np.ndarray]:
+    """More buckets for rows of FEW different shingles at most: their set, and it without each of its shingles. A pair at 0.8 among such
+    rows has one set that holds the other and one shingle more at most, so it meets for certain."""
+    sh, offs = shingles(word, before)
+    out = {}
+    n = np.diff(offs)
+    for i in np.flatnonzero((n > 0) & (n <= 4 * FEW)).tolist():
+        own = mix(np.unique(sh[offs[i] : offs[i + 1]]))
+        if len(own) <= FEW:
+            total = own.sum(dtype=np.uint64)
+            out[i] = mix(np.concatenate([[total], total - own]) ^ _ODD)
+    return out
+
+
 # ---------------------------------------------------------------- verification
 
 def within(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
@@ -374,7 +393,7 @@ def among(left: DataFrame, each: int) -> DataFrame:
 def links(classes: DataFrame, docs: DataFrame, n: int, salt: int, left_over: int = LEFT_OVER) -> DataFrame:
     """Verified links (lead, cid) between classes (cid, bands): they connect all classes that share a bucket and are similar."""
     rows, _ = materialize(classes.select("cid", F.explode("bands").alias("bucket")).filter("bucket <> 0").select("bucket", "cid"), "bands")
-    links_, path = None, None
+    links_, path, block = None, None, min(left_over, BLOCK)
     while True:
         # the leader is the least by a hash, with the class itself as its last part: a number, so it is aggregated in place
         mixed = rows.withColumn("_x", F.xxhash64("cid", "bucket"))
@@ -398,7 +417,7 @@ def links(classes: DataFrame, docs: DataFrame, n: int, salt: int, left_over: int
         size, _ = materialize(size.filter("n_left > 1 or (n_joined > 0 and n_near > 0)"), "rest-sizes")
         judged, _ = materialize(keyed_join(judged, size, "bucket", judged.count(), "n"), "rest")
         left = judged.filter("not linked").withColumn("root", F.col("cid"))
-        last, _ = materialize(finish(across(judged, left_over).unionByName(among(left.filter(F.col("n_left") <= left_over), left_over)), path, n), "finished")
+        last, _ = materialize(finish(across(judged, block).unionByName(among(left.filter(F.col("n_left") <= left_over), block)), path, n), "finished")
         links_ = links_.union(last)
         large = F.col("n_left") > left_over
         had, stay = size.filter(large).agg(F.sum("n"), F.sum("n_left")).first()
@@ -414,7 +433,7 @@ def links(classes: DataFrame, docs: DataFrame, n: int, salt: int, left_over: int
         apart = rows.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count(F.lit(1)).alias("_n")).filter("_a <> _b").select("bucket", "_n")
         apart, _ = materialize(apart, "apart")
         rows, _ = materialize(keyed_join(rows, apart, "bucket", rows.count(), "_n"), "next-round")
-        last, _ = materialize(finish(among(rows, left_over), path, n), "finished")
+        last, _ = materialize(finish(among(rows, block), path, n), "finished")
         return links_.union(last).distinct()
 
 
@@ -452,7 +471,10 @@ def near_dedup(docs: DataFrame, left_over: int = LEFT_OVER) -> DataFrame:
     while True:
         def run(part: pa.RecordBatch, salt=salt) -> dict:
             word, before, a, b = sequences(part, salt)
-            return {"doc_id": part.column(0), "cid": pa.array(a.view(np.int64)), "other": pa.array(b.view(np.int64)), "bands": pa.array(list(bands(word, before).view(np.int64)), pa.list_(pa.int64()))}
+            found = list(bands(word, before).view(np.int64))
+            for i, more in short_sets(word, before).items():
+                found[i] = np.concatenate([found[i], more.view(np.int64)])
+            return {"doc_id": part.column(0), "cid": pa.array(a.view(np.int64)), "other": pa.array(b.view(np.int64)), "bands": pa.array(found, pa.list_(pa.int64()))}
 
         every, _ = materialize(over(docs, ["doc_id", "text"], "doc_id long, cid long, other long, bands array<long>", run, _STEP), "sketches")
         classes = every.groupBy("cid", "other").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))

@@ -88,6 +88,31 @@ def test_recall_at_the_threshold():
     assert met >= 197 and far <= 30
 
 
+def test_short_texts_all_meet(spark):
+    """Pairs at 0.8 of 4 to 9 shingles: a word more at either end."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(150):
+        w = [f"s{rng.randint(0, 10**6)}" for _ in range(rng.randint(9, 13))]
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[1:] if k % 2 else w[:-1]))]
+    x = nd.sequences(pa.RecordBatch.from_pydict({"text": [t for _, t in rows]}))
+    sets = nd.short_sets(x[0], x[1])
+    for i in range(0, len(rows), 2):
+        if len(rows[i][1].split()) - 4 <= nd.FEW:
+            assert set(sets[i].tolist()) & set(sets[i + 1].tolist())
+    assert got(nd.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_a_bucket_of_unlike_texts_ends(spark):
+    """5000 texts of one bucket, none like another: two rounds of leaders at most, then blocks."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(["same"] * 3 + [f"u{rng.randint(0, 10**9)}" for _ in range(12)])) for i in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    cid = nd.sequences(pa.RecordBatch.from_pydict({"text": [t for _, t in rows]}))[2].view(np.int64).tolist()
+    classes = spark.createDataFrame([(c, [5]) for c in cid], "cid long, bands array<long>")
+    assert nd.links(classes, docs, 16, 0).count() == 0
+
+
 def test_template_and_its_copies(spark):
     """Copies at 0.81 to a template and about 0.66 to each other: whichever leads, the template connects them all."""
     rng = random.Random(11)

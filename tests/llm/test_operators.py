@@ -94,6 +94,66 @@ def test_rules_model_is_a_distribution(spark):
         assert 0.95 < total <= 1 + 1e-9
 
 
+def test_rules_bands_equal_brute_force(spark):
+    """Log probabilities, bands and verdicts against a model of dictionaries."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    out = {r.doc_id: r for r in quality_rules.rules(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()}
+    for lang in {x for _, _, x in rows}:
+        own = [(d, [0xFF] * 4 + [b + 32 if 65 <= b <= 90 else b for b in (t or "").encode()] + [0xFE]) for d, t, x in rows if x == lang]
+        counts = {5: Counter(tuple(b[i : i + 5]) for _, b in own for i in range(len(b) - 4))}
+        for m in (4, 3, 2, 1):
+            counts[m] = Counter(g[1:] for g in counts[m + 1])
+        d = {m: word_lm.discounts([sum(c == i for c in counts[m].values()) for i in (1, 2, 3, 4)]) for m in counts}
+        after = {}
+        for m, of in counts.items():
+            for g, c in of.items():
+                total, taken = after.get(g[:-1], (0, 0))
+                after[g[:-1]] = total + c, taken + d[m][min(c, 3)]
+        known = {}
+
+        def p(g):
+            if not g:
+                return 1 / 257
+            if g not in known:
+                seen = after.get(g[:-1])
+                c = counts[len(g)][g]
+                known[g] = (max(0, c - d[len(g)][min(c, 3)]) + seen[1] * p(g[1:])) / seen[0] if seen else p(g[1:])
+            return known[g]
+
+        mean = {i: sum(math.log10(p(tuple(b[k : k + 5]))) for k in range(len(b) - 4)) / (len(b) - 4) for i, b in own}
+        good = sorted(math.floor(out[i].log_prob * 1000) for i, _ in own if not out[i].base_failed)
+        q1, q3 = (good[math.ceil(q * len(good)) - 1] / 1000 for q in (0.25, 0.75))
+        for i, b in own:
+            assert math.isclose(mean[i], out[i].log_prob, rel_tol=1e-9)
+            far = max(q3 - q1, 0.002) * 3.0 * math.sqrt(1 + 1500.0 / (len(b) - 4))
+            assert out[i].kept == (not out[i].base_failed and q1 - far <= mean[i] <= q3 + far)
+
+
+def test_rules_null_language_is_its_own(spark):
+    """Also beside a language whose name is what nulls might be called."""
+    text = " ".join(f"word{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text, None), (2, text, "\0"), (3, text, ""), (4, text, "s")], "doc_id long, text string, lang string")
+    assert {(r.doc_id, r.lang, r.kept) for r in quality_rules.rules(docs).collect()} == {(1, None, True), (2, "\0", True), (3, "", True), (4, "s", True)}
+
+
+def test_exact_dedup_ties_in_one_id(spark):
+    rows = [(1, "a b"), (1, "ab"), (1, "a  b"), (2, "a\tb "), (None, "ab    "), (3, "c")]
+    out = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in out) == sorted([*[("1", "None", 5, False)] * 3, ("2", "None", 5, False), ("None", "None", 5, True), ("3", "3", 1, True)])
+    out = exact_dedup.exact_dedup(spark.createDataFrame(rows[:4], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.keep_id, r.kept) for r in out) == [(1, 1, False), (1, 1, False), (1, 1, True), (2, 1, False)]
+
+
+def test_exact_dedup_of_long_heavy_groups(spark, monkeypatch):
+    """Groups that are too long to be broadcast are salted."""
+    from tessera.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    rows = [(i, "x y z" if i % 3 else f"t{i}") for i in range(60)]
+    out = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in out) == [(i, 1 if i % 3 else i, 40 if i % 3 else 1) for i in range(60)]
+
+
 def test_bpe_and_files(spark, tokenizer):
     path, tok = tokenizer
     for docs, rows in ((spark.read.parquet(f"{SMALL}/documents.parquet"), documents(spark)), (odd(spark), [r[:2] for r in ODD])):
