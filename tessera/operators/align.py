@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessera.types import Annotated
 
+#: Up to so many entries, the map from local to united feature numbers is a constant of the expression.
+LITERAL_ENTRIES = 200_000
 #: Up to so many entries, a source's map from local to united feature numbers goes along as one broadcast array.
 MAP_ENTRIES = 4_000_000
 #: Rows of one block in which equal names are numbered.
@@ -48,12 +51,19 @@ def _mapping(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.select("var_name", F.col("var_id").alias("_old")).join(new.select("var_name", F.col("var_id").alias("_new")), "var_name", "left").select("_old", "_new")
 
 
-def remap(rows: DataFrame, old: DataFrame, new: DataFrame, columns: Sequence[str] = ("x",), n_old: int | None = None) -> DataFrame:
+def remap(rows: DataFrame, old: DataFrame, new: DataFrame, columns: Sequence[str] = ("x",), n_old: int | None = None, to: pa.Table | None = None) -> DataFrame:
     """rows with their matrices in new's feature numbers. Absent features: 0 (not stored) if sparse, NaN if dense.
 
-    The map is one row with an array, broadcast, and every row is rewritten where it is, inside generated code: no shuffle. Beyond
-    MAP_ENTRIES features a sparse matrix takes an equi-join of its elements instead; a dense one's map is never longer than a row of it.
+    Every row is rewritten where it is: no shuffle. The map is a constant up to LITERAL_ENTRIES features; beyond, one row with an array,
+    broadcast, which the join copies beside each row. Beyond MAP_ENTRIES features a sparse matrix takes an equi-join of its elements instead; a dense one's map is never longer than a row of it.
     """
+    own, target = collected(old), collected(new) if to is None else to
+    if own is not None and target is not None:  # the map is part of the expression: no row carries it
+        there, here = ({n: i for i, n in zip(*t.to_pydict().values(), strict=True)} for t in (target, own))
+        forth, back = _literal(own, there), _literal(target, here)
+        for c in columns:
+            rows = rows.withColumn(c, _sparse(F.col(c), forth) if is_sparse(rows, c) else _dense(F.col(c), back))
+        return rows
     n_old = old.count() if n_old is None else n_old
     if n_old > MAP_ENTRIES and all(is_sparse(rows, c) for c in columns):
         for c in columns:
@@ -71,14 +81,30 @@ def remap(rows: DataFrame, old: DataFrame, new: DataFrame, columns: Sequence[str
     return out.drop(*both.columns)
 
 
-def _sparse(x: Column) -> Column:
-    pairs = F.transform(F.arrays_zip(x["indices"], x["values"]), lambda e: F.struct(F.get(F.col("_to_new"), e["indices"]).alias("i"), e["values"].alias("v")))
-    kept = F.array_sort(F.filter(pairs, lambda e: e["i"].isNotNull()))
+def collected(var: DataFrame) -> pa.Table | None:
+    """var_id, var_name on the driver, None if there are over LITERAL_ENTRIES of them."""
+    out = var.select("var_id", "var_name").limit(LITERAL_ENTRIES + 1).toArrow()
+    return out if out.num_rows <= LITERAL_ENTRIES else None
+
+
+def _literal(var: pa.Table, numbers: dict[str, int]) -> Column:
+    """For each feature of var in order its number, -1 where it has none: a constant array, as one text that the optimizer folds."""
+    ids, names = var.to_pydict().values()
+    out = [-1] * (max(ids, default=-1) + 1)
+    for i, name in zip(ids, names, strict=True):
+        out[i] = numbers.get(name, -1)
+    return F.split(F.lit(",".join(map(str, out))), ",").cast("array<int>") if out else F.array().cast("array<int>")
+
+
+def _sparse(x: Column, to_new: Column | None = None) -> Column:
+    to_new = F.col("_to_new") if to_new is None else to_new
+    pairs = F.transform(F.arrays_zip(x["indices"], x["values"]), lambda e: F.struct(F.get(to_new, e["indices"]).alias("i"), e["values"].alias("v")))
+    kept = F.array_sort(F.filter(pairs, lambda e: e["i"] >= 0))
     return F.when(x.isNotNull(), F.struct(F.transform(kept, lambda e: e["i"]).alias("indices"), F.transform(kept, lambda e: e["v"]).alias("values")))
 
 
-def _dense(x: Column) -> Column:
-    return F.when(x.isNotNull(), F.transform(F.col("_to_old"), lambda i: F.coalesce(F.get(x, i), F.lit(float("nan")))))
+def _dense(x: Column, to_old: Column | None = None) -> Column:
+    return F.when(x.isNotNull(), F.transform(F.col("_to_old") if to_old is None else to_old, lambda i: F.coalesce(F.when(i >= 0, F.get(x, i)), F.lit(float("nan")))))
 
 
 def _remap_by_join(rows: DataFrame, maps: DataFrame, column: str) -> DataFrame:
@@ -97,10 +123,10 @@ def align(parts: Sequence[Annotated], var: DataFrame | None = None) -> tuple[lis
     if any(p.var is None for p in parts):
         raise ValueError("features must be named in all parts or in none")
     whole = union_var([p.var for p in parts]) if var is None else var
-    out = []
+    out, to = [], collected(whole)
     for p in parts:
         matrices = [c for c in p.rows.columns if c == "x" or c.startswith("layer_")]
-        out.append(Annotated(remap(p.rows, p.var, whole, matrices), whole, p.order))
+        out.append(Annotated(remap(p.rows, p.var, whole, matrices, to=to), whole, p.order))
     return out, whole
 
 

@@ -244,12 +244,15 @@ def _source(items: DataFrame, var: DataFrame, key: str) -> Annotated:
 
 
 def _bought_sources(spark, d) -> list[Annotated]:
-    """A source for each f, with only the parts that it bought."""
-    items = bought(spark, d)
-    out = []
+    """A stored source for each f, with only the parts that it bought."""
+    path, out = _scratch(spark, "bought"), []
+    bought(spark, d).write.partitionBy("f").parquet(f"{path}/items")
+    items = spark.read.parquet(f"{path}/items")
+    held = items.select("f", "p").distinct().withColumns({"var_id": (F.row_number().over(W.partitionBy("f").orderBy("p")) - 1).cast("int"), "var_name": F.col("p").cast("string")})
+    held.write.partitionBy("f").parquet(f"{path}/var")
     for f in range(5):
-        own = items.filter(F.col("f") == f)
-        out.append(_source(own, _features(own.select("p").distinct()), "o_orderkey"))
+        var = spark.read.parquet(f"{path}/var").filter(F.col("f") == f).select("var_id", "var_name")
+        out.append(_source(items.filter(F.col("f") == f), var, "o_orderkey"))
     return out
 
 
