@@ -9,8 +9,6 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.scan import scratch_dir
+
 #: A table up to so many bytes may be broadcast; its size is read from its files first. In memory it takes about 13 times that.
 BROADCAST_BYTES = 8 << 20
 #: Parts that a heavy key's rows are dealt to where its group is too long to be broadcast.
@@ -33,18 +33,6 @@ _scratch: dict[str, SparkSession] = {}
 
 # ---------------------------------------------------------------- tables in the shared folder
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); where the setting is unset, a temporary one in local mode, else an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        master = spark.sparkContext.master
-        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
-            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
@@ -67,7 +55,7 @@ def _forget_all() -> None:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the interpreter ends."""
-    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     _scratch[path] = spark
     return path
 
