@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import holding, over
 
 #: Entries of a worker's cache. Longer words are not kept.
-CACHE_WORDS, CACHE_BYTES = 400_000, 48
+CACHE_WORDS, CACHE_BYTES = 250_000, 48
 #: Bytes of text encoded at once.
-_STEP = 4 << 20
+_STEP = 2 << 20
 _NONE = np.int64(1) << 40
 
 

@@ -39,7 +39,7 @@ BANDS, PICK = 16, 4
 #: Members of a bucket left over by its leaders that are finished at once, in blocks.
 LEFT_OVER = 2000
 #: Members of a block: two blocks meet in one task.
-BLOCK = 500
+BLOCK = 250
 #: Texts of so many different shingles at most also meet by their sets: two of them at 0.8 differ by one shingle.
 FEW = 9
 #: Least shingles of a text that are looked at for each function, about; texts where too few are found are looked at whole.
