@@ -101,7 +101,7 @@ def repeated(docs: DataFrame, columns: list[str], hashes: Callable[[pa.RecordBat
                 if len(got):
                     held.append(got)
                     size += len(got)
-                if size > FLUSH:
+                if size > max(FLUSH, 64 * n):  # pieces of many keys also where there are many ranges
                     yield send(held)
                     held, size = [], 0
         if size:
