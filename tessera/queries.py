@@ -10,23 +10,25 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tessera.collection import DatasetCollection
-from tessera.functions.categories import as_category, categories, encode, sort_keys, union_categories
+from tessera.abc import Sampler
+from tessera.collection import DatasetCollection, mean_bytes
+from tessera.functions.categories import as_category, categories, encode, sort_keys, union_categories, with_categories
 from tessera.functions.keys import hash_key
-from tessera.functions.sizes import dense_layout, rows_of
-from tessera.loader import Loader
-from tessera.operators.align import align, intersect_var, make_unique, remap, subset_var, union_var
+from tessera.functions.sizes import dense_layout, parse_size, rows_of, sparse_layout
+from tessera.loader import Loader, promote_dtype
+from tessera.operators.align import align, intersect_var, make_unique, remap, same_var, subset_var, union_var
 from tessera.operators.checks import check_groupby, key_counts
-from tessera.operators.intervals import offsets, resolve
+from tessera.operators.intervals import offsets, resolve, virtual_rows
 from tessera.operators.sparse import indptr, rows_from_items, with_empty_rows
 from tessera.plans.blocks import BlockPlan, place
 from tessera.plans.chunks import ChunkPlan, worker_of
 from tessera.samplers import DistributedSampler, RandomSampler, SequentialSampler
-from tessera.sources.scan import concat_rows, scan_sources, scratch_dir
+from tessera.sources.scan import concat_rows, default_load, scan_sources, scratch_dir, write_source
 from tessera.sources.sink import write_sharded
 from tessera.types import Annotated
 
@@ -514,6 +516,244 @@ def loader_epoch(spark, d):
     return spark.createDataFrame(sums, "batch long, n_rows long, id_sum long, value_sum long")
 
 
+# ---------------------------------------------------------------- samplers, loaders and collections: the rest of their surface
+
+_SETTINGS = ((64, 4, 32, False, 0), (64, 4, 32, True, 0), (10, 3, 6, False, 5), (10, 3, 6, True, 5), (7, 1, 7, False, 123))
+
+
+@query("WITH n AS (SELECT count(*) AS n FROM orders), c(id, batch, dropped, start) AS (VALUES " + ", ".join(f"({i}, {b}, {drop}, {s})" for i, (_, _, b, drop, s) in enumerate(_SETTINGS)) + """)
+  SELECT CAST(id AS BIGINT) AS setting, CAST(CASE WHEN dropped THEN (n - start) // batch ELSE (n - start + batch - 1) // batch END AS BIGINT) AS n_iters,
+    CAST(CASE WHEN dropped THEN (n - start) // batch ELSE (n - start + batch - 1) // batch END AS BIGINT) AS n_batches,
+    CAST(CASE WHEN dropped THEN (n - start) // batch * batch ELSE n - start END AS BIGINT) AS n_rows FROM n, c""")
+def sampler_lengths(spark, d):
+    """The length that a loader states beside the batches and rows that its plan makes."""
+    rows, out = orders(spark, d), None
+    for i, (chunk, preload, batch, drop, start) in enumerate(_SETTINGS):
+        loader = Loader(spark, batch_sampler=RandomSampler(chunk, preload, batch, drop_last=drop, mask=slice(start, None), rng=i))
+        loader.add_adata(Annotated(rows.withColumnRenamed("obs_id", "row_id").withColumn("x", F.array(F.col("row_id"))), None, ["row_id"]))
+        sizes = loader.batches().groupBy("request_id", "batch_id").count()
+        own = sizes.agg(F.lit(i).cast("long").alias("setting"), F.lit(len(loader)).cast("long").alias("n_iters"), F.count(F.lit(1)).alias("n_batches"), F.sum("count").alias("n_rows"))
+        out = own if out is None else out.union(own)
+    return out
+
+
+@query("""SELECT * FROM (VALUES ('good', false), ('chunk of 0', true), ('batch over a request', true), ('request not whole batches', true), ('no samples', true), ('step of 2', true),
+  ('mask beyond the rows', true), ('mask from the end', true), ('more samples than rows', true), ('replacement of more samples than rows', false), ('workers in order', true), ('workers with short batches', true), ('workers', false)) t(name, rejected)""")
+def sampler_rules(spark, d):
+    n = n_orders(spark, d)
+    cases = {
+        "good": lambda: RandomSampler(10, 2, 5),
+        "chunk of 0": lambda: RandomSampler(0, 2, 5),
+        "batch over a request": lambda: RandomSampler(10, 2, 40),
+        "request not whole batches": lambda: RandomSampler(10, 2, 7),
+        "no samples": lambda: RandomSampler(10, 2, 5, num_samples=0),
+        "step of 2": lambda: SequentialSampler(10, 2, 5, mask=slice(0, 20, 2)),
+        "mask beyond the rows": lambda: SequentialSampler(10, 2, 5, mask=slice(0, n + 1)),
+        "mask from the end": lambda: SequentialSampler(10, 2, 5, mask=slice(n, None)),
+        "more samples than rows": lambda: RandomSampler(10, 2, 5, num_samples=n + 1),
+        "replacement of more samples than rows": lambda: RandomSampler(10, 2, 5, num_samples=n + 1, replacement=True),
+        "workers in order": lambda: _sharded(SequentialSampler(10, 2, 5, drop_last=True)),
+        "workers with short batches": lambda: RandomSampler(10, 2, 5, worker=(0, 2)),
+        "workers": lambda: RandomSampler(10, 2, 5, drop_last=True, worker=(0, 2)),
+    }
+
+    def rejected(make) -> bool:
+        try:
+            make().validate(n)
+        except ValueError:
+            return True
+        return False
+
+    return spark.createDataFrame([(k, rejected(make)) for k, make in cases.items()], "name string, rejected boolean")
+
+
+def _sharded(sampler):
+    sampler.worker = (0, 2)
+    return sampler
+
+
+@query(f"""WITH {_chunk_sql("SELECT count(*) FROM orders", 100, 2, "13")},
+  w AS (SELECT *, ntile(4) OVER (ORDER BY pos) - 1 AS worker FROM c), l AS (SELECT *, row_number() OVER (PARTITION BY worker ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY worker) AS k FROM w),
+  r AS (SELECT o_orderkey AS obs_id, pos, worker, i // 2 AS rq, (k - 1) // 2 AS last FROM orders JOIN l ON o_orderkey >= a AND o_orderkey < b),
+  m AS (SELECT *, row_number() OVER (PARTITION BY worker, rq ORDER BY pos, obs_id) AS mem, count(*) OVER (PARTITION BY worker, rq) AS have FROM r),
+  q AS (SELECT *, row_number() OVER (PARTITION BY worker, rq ORDER BY md5('13:row:' || pos || ':' || obs_id), pos, obs_id) - 1 AS rk FROM m WHERE rq < last OR mem <= have // 50 * 50)
+  SELECT CAST(worker AS BIGINT) AS worker, CAST(rq AS BIGINT) AS request, CAST(rk // 50 AS BIGINT) AS batch, count(*) AS n_rows, CAST(sum(obs_id) AS BIGINT) AS id_sum FROM q GROUP BY 1, 2, 3""")
+def worker_batches(spark, d):
+    """Four workers, a task each, go through their requests with the sampler's own iterator."""
+    n = n_orders(spark, d)
+
+    def work(frames):
+        for frame in frames:
+            for w in frame["id"]:
+                for r, request in enumerate(RandomSampler(100, 2, 50, drop_last=True, rng=13, worker=(int(w), 4)).sample(n)):
+                    rows = np.concatenate([np.arange(c.start, c.stop) for c in request["chunks"]])
+                    yield pd.DataFrame([(w, r, b, len(s), rows[s].sum()) for b, s in enumerate(request["splits"])], columns=["worker", "request", "batch", "n_rows", "id_sum"])
+
+    return spark.range(0, 4, 1, 4).mapInPandas(work, "worker long, request long, batch long, n_rows long, id_sum long")
+
+
+class EveryOther(Sampler):
+    """A user's sampler without a plan: chunks of 40, first those at even places, then the others; batches of 25 by default."""
+
+    batch_size, shuffle = 25, False
+
+    def n_iters(self, n_obs: int) -> int:
+        return sum(-(-sum(c.stop - c.start for c in r["chunks"]) // 25) for r in self._sample(n_obs))
+
+    def validate(self, n_obs: int) -> None:
+        pass
+
+    def _sample(self, n_obs: int):
+        for first in (0, 40):
+            yield {"chunks": [slice(a, min(a + 40, n_obs)) for a in range(first, n_obs, 80)]}
+
+
+def _dense_thirds(spark, d) -> tuple[list[DataFrame], list[DataFrame]]:
+    """The embeddings by id modulo 3, and their labels, numbered within each."""
+    e = table(spark, d, "embeddings").withColumn("row_id", F.floor(F.col("vec_id") / 3))
+    own = [e.filter(F.col("vec_id") % 3 == k) for k in range(3)]
+    return [o.select("row_id", F.col("embedding").alias("x")) for o in own], [o.select("row_id", "vec_id", "label") for o in own]
+
+
+_THIRDS = f"""{_EMB}, v AS (SELECT *, vec_id % 3 AS ds, row_number() OVER (ORDER BY vec_id % 3, vec_id) - 1 AS virt FROM e)"""
+
+
+@query(f"""WITH {_THIRDS}, h AS (SELECT *, virt // 40 % 2 AS rq FROM v), q AS (SELECT *, row_number() OVER (PARTITION BY rq ORDER BY ds, virt) - 1 AS rk FROM h)
+  SELECT CAST(rq * 1000 + rk // 25 AS BIGINT) AS batch, count(*) AS n_rows, CAST(sum(vec_id) AS BIGINT) AS id_sum, CAST(sum(label) AS BIGINT) AS label_sum, CAST(sum(s) AS BIGINT) AS value_sum, CAST(min(virt) AS BIGINT) AS first FROM q GROUP BY 1""")
+def own_sampler_batches(spark, d):
+    """Requests of a user's sampler over three attached datasets, with annotations and row numbers."""
+    loader = Loader(spark, batch_sampler=EveryOther(), return_index=True).add_datasets(*_dense_thirds(spark, d))
+    per = -(-sum(c.stop - c.start for c in next(EveryOther()._sample(loader.n_obs))["chunks"]) // 25)
+    out = []
+    for k, b in enumerate(loader):
+        batch = k if k < per else 1000 + k - per
+        out.append((batch, len(b["index"]), int(b["obs"]["vec_id"].sum()), int(b["obs"]["label"].sum()), int(np.floor(b["X"].astype(float) * 1024).sum()), int(b["index"].min())))
+    return spark.createDataFrame(out, "batch long, n_rows long, id_sum long, label_sum long, value_sum long, first long")
+
+
+@query(f"""WITH {_THIRDS}, {_chunk_sql("SELECT count(*) FROM embeddings", 30, 4, "27")},
+  r AS (SELECT v.*, c.pos, c.req FROM v JOIN c ON virt >= c.a AND virt < c.b),
+  m AS (SELECT *, row_number() OVER (PARTITION BY req ORDER BY ds, pos, virt) AS mem, count(*) OVER (PARTITION BY req) AS have, max(req) OVER () AS last FROM r),
+  q AS (SELECT *, row_number() OVER (PARTITION BY req ORDER BY md5('27:row:' || pos || ':' || virt), pos, virt) - 1 AS rk FROM m WHERE req < last OR mem <= have // 40 * 40)
+  SELECT req AS request_id, CAST(rk // 40 AS BIGINT) AS batch_id, CAST(ds AS INT) AS dataset_id, count(*) AS n_rows, CAST(sum(label) AS BIGINT) AS label_sum, CAST(sum(s) AS BIGINT) AS value_sum FROM q GROUP BY 1, 2, 3""")
+def many_dataset_batches(spark, d):
+    """Batches over three datasets: in memory a request's rows stand by dataset, then chunk, so that order says which tail is dropped."""
+    loader = Loader(spark, batch_sampler=RandomSampler(30, 4, 40, drop_last=True, rng=27)).add_datasets(*_dense_thirds(spark, d))
+    return loader.batches().groupBy("request_id", "batch_id", "dataset_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("label").alias("label_sum"), F.sum(_whole(F.col("x"))).alias("value_sum"))
+
+
+@query(f"""WITH {_MADE} SELECT CAST(virt // 100 AS BIGINT) AS batch, count(*) AS n_rows, CAST(sum(okey) AS BIGINT) AS key_sum, CAST(sum(nnz) AS BIGINT) AS nnz, CAST(sum(weighted) AS BIGINT) AS weighted,
+  (SELECT count(*) FROM part) AS n_var FROM v JOIN m USING (okey) GROUP BY 1""")
+def collection_epoch(spark, d):
+    """A sparse collection kept in order, and a pass over all its datasets: CSR batches with their annotations."""
+    made = DatasetCollection(_scratch(spark, "in-order") + ".parquet", spark).add_adatas(_order_sources(spark, d), shuffle=False, shuffle_chunk_size=300, dataset_size=1000)
+    loader = Loader(spark, chunk_size=50, preload_nchunks=8, batch_size=100).use_collection(made)
+    out = []
+    for k, b in enumerate(loader):
+        x = b["X"]
+        out.append((k, x.shape[0], int(b["obs"]["okey"].sum()), len(x.values), int((x.indices * x.values).sum()), x.shape[1]))
+    return spark.createDataFrame(out, "batch long, n_rows long, key_sum long, nnz long, weighted long, n_var long")
+
+
+@query("""WITH n AS (SELECT count(*) AS n, (count(*) // 12) // 10 * 10 AS per FROM embeddings)
+  SELECT CAST(vec_id // per AS BIGINT) AS place, CAST(vec_id // per AS BIGINT) AS dataset_id, count(*) AS n_rows, min(vec_id) AS first, max(vec_id) AS last, true AS empty_before, false AS empty_after FROM embeddings, n GROUP BY 1, 2""")
+def collection_datasets(spark, d):
+    """Over ten datasets, in the order of their numbers, each read by its own partition."""
+    rows = dense(spark, d).withColumnRenamed("obs_id", "row_id").withColumn("vec_id", F.col("row_id"))
+    made = DatasetCollection(_scratch(spark, "datasets") + ".parquet", spark)
+    before = made.is_empty
+    made.add_adatas([Annotated(rows, None, ["row_id"])], shuffle=False, shuffle_chunk_size=10, dataset_size=rows.count() // 12)
+    opened, out = DatasetCollection(made.path, spark, mode="r"), None
+    for place_, (k, a) in enumerate(zip(opened.dataset_ids, opened, strict=True)):
+        own = a.rows.agg(F.lit(place_).cast("long").alias("place"), F.lit(k).cast("long").alias("dataset_id"), F.count(F.lit(1)).alias("n_rows"), F.min("vec_id").alias("first"), F.max("vec_id").alias("last"))
+        out = own if out is None else out.union(own)
+    return out.withColumns({"empty_before": F.lit(before), "empty_after": F.lit(opened.is_empty)})
+
+
+@query("""WITH o AS (SELECT vec_id, vec_id % 2 AS src, vec_id // 2 AS row_id, CAST((SELECT sum(CAST(floor(CAST(u AS DOUBLE) * 1024) AS BIGINT)) FROM (SELECT unnest(embedding[1:8]) AS u)) AS BIGINT) AS s FROM embeddings)
+  SELECT 'part' || src AS source, vec_id, CAST(row_number() OVER (ORDER BY src, row_id) - 1 AS BIGINT) AS obs_id, s AS value_sum, 'vec_id' AS annotations FROM o""")
+def load_hook(spark, d):
+    """Stored sources, opened by a hook that leaves columns out and takes a part of the matrix."""
+    path = _scratch(spark, "stored")
+    for k in range(2):
+        own = dense(spark, d).filter(F.col("obs_id") % 2 == k)
+        write_source(Annotated(own.select(F.floor(F.col("obs_id") / 2).alias("row_id"), F.col("obs_id").alias("vec_id"), "label", "x"), None, ["row_id"]), f"{path}/part{k}")
+
+    def first_eight(session: SparkSession, at: str) -> Annotated:
+        a = default_load(session, at)
+        return Annotated(a.rows.select(*a.order, "vec_id", F.slice("x", 1, 8).alias("x")), a.var, a.order)
+
+    made = DatasetCollection(_scratch(spark, "hooked") + ".parquet", spark)
+    made.add_adatas([f"{path}/part{k}" for k in range(2)], load_adata=first_eight, shuffle=False, shuffle_chunk_size=20, dataset_size=60)
+    known = ",".join(c for c in made.dataset(0).obs_columns if c != "src_path")
+    return made.rows().select(F.element_at(F.split("src_path", "/"), -1).alias("source"), "vec_id", "obs_id", _whole(F.col("x")).alias("value_sum"), F.lit(known).alias("annotations"))
+
+
+@query(f"""WITH v AS (SELECT o_orderkey AS okey, o_orderpriority AS priority, o_orderstatus AS status, row_number() OVER (ORDER BY o_orderkey % 3, o_orderkey) - 1 AS virt FROM orders), {_blocks_sql("b", "SELECT count(*) FROM orders", 300, 31)},
+  r AS (SELECT v.*, CAST(b.pos // 3 AS INT) AS ds FROM v JOIN b ON virt // 300 = id)
+  SELECT okey, ds AS dataset_id, priority, status, CAST(row_number() OVER (PARTITION BY ds ORDER BY priority NULLS LAST, status NULLS LAST, md5('31:place:' || ds || ':' || virt), virt) - 1 AS BIGINT) AS pos FROM r""")
+def collection_grouped(spark, d):
+    """A collection whose datasets are sorted by a categorical column and then a plain one."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("okey"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), F.array(F.col("o_totalprice")).alias("x"))
+    known = categories(as_category(o, "priority"), "priority")
+    parts = [o.filter(F.col("okey") % 3 == s).withColumn("row_id", F.floor(F.col("okey") / 3)) for s in range(3)]
+    sources = [Annotated(with_categories(p, "priority", known), None, ["row_id"]) for p in parts]
+    made = DatasetCollection(_scratch(spark, "grouped") + ".parquet", spark).add_adatas(sources, groupby=["priority", "status"], shuffle_chunk_size=300, dataset_size=1000, rng=31)
+    return made.rows().select("okey", F.col("dataset_id").cast("int").alias("dataset_id"), "priority", "status", "pos")
+
+
+@query(f"""WITH {_MADE}, s AS (SELECT src, avg(12 * nnz + 8 + 16) AS mean FROM v JOIN m USING (okey) GROUP BY src), a AS (SELECT avg(mean) AS mean FROM s), u(size, bytes) AS (VALUES ('64KB', 65536), ('1.5 MiB', 1572864), ('10', 10))
+  SELECT size, round(mean, 6) AS bytes_per_row, CAST(greatest(1, floor(bytes / mean)) AS BIGINT) AS n_rows FROM u, a""")
+def dataset_rows(spark, d):
+    """Rows that fill a dataset of a size: by the mean over sources of their bytes a row, each source counted once."""
+    mean = mean_bytes(_order_sources(spark, d))
+    return spark.createDataFrame([(s, round(mean, 6), rows_of(s, mean)) for s in ("64KB", "1.5 MiB", "10")], "size string, bytes_per_row double, n_rows long")
+
+
+@query(f"""WITH {_chunk_sql("SELECT count(*) FROM orders", 512, 4, "7")}, {_ITEMS}, e AS (SELECT o_orderkey AS obs_id, count(p) AS nnz FROM orders LEFT JOIN i ON o = o_orderkey GROUP BY 1)
+  SELECT c.req AS request_id, count(*) AS n_rows, CAST(sum(nnz) AS BIGINT) AS nnz, round(avg(nnz), 6) AS nnz_per_row FROM e JOIN c ON obs_id >= c.a AND obs_id < c.b GROUP BY 1""")
+def request_nnz(spark, d):
+    """What must be held for each request of a sparse pass."""
+    held = RandomSampler(512, 4, 256, rng=7).plan(n_orders(spark, d)).rows(sparse(spark, d), cut=False)
+    size = F.size("x.indices").cast("long")
+    return held.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(size).alias("nnz"), F.round(F.avg(size), 6).alias("nnz_per_row"))
+
+
+@query(f"""WITH {_ITEMS}, t AS (SELECT (SELECT count(*) FROM orders) AS n, count(*) AS nnz FROM i JOIN orders ON o = o_orderkey), u(rows, shard) AS (VALUES (3, 20), (64, 1000), (1000, 1000000), (1, 1)),
+  c AS (SELECT *, greatest(1, least(CAST(floor(rows * (nnz / n)) AS BIGINT), nnz)) AS chunk, greatest(1, least(CAST(floor(shard * (nnz / n)) AS BIGINT), nnz)) AS s FROM t, u)
+  SELECT CAST(rows AS BIGINT) AS n_obs_per_chunk, CAST(chunk AS BIGINT) AS chunk, CAST(greatest(chunk, s - s % chunk) AS BIGINT) AS shard FROM c""")
+def sparse_shards(spark, d):
+    total = sparse(spark, d).agg(F.count(F.lit(1)), F.sum(F.size("x.indices"))).first()
+    return spark.createDataFrame([(c, *sparse_layout(total[0], total[1], c, s)) for c, s in ((3, 20), (64, 1000), (1000, 1_000_000), (1, 1))], "n_obs_per_chunk long, chunk long, shard long")
+
+
+@query("SELECT * FROM (VALUES ('512', 512), ('1KB', 1024), ('1.5 MiB', 1572864), ('20GB', 21474836480), ('1GB', 1073741824), ('2 TB', 2199023255552)) t(size, n_bytes)")
+def size_strings(spark, d):
+    return spark.createDataFrame([(s, parse_size(s)) for s in ("512", "1KB", "1.5 MiB", "20GB", "1GB", "2 TB")], "size string, n_bytes long")
+
+
+@query("SELECT * FROM (VALUES ('bool', 'bool'), ('int8', 'float32'), ('uint8', 'float32'), ('int16', 'float32'), ('float16', 'float32'), ('int32', 'float64'), ('int64', 'float64'), ('float32', 'float32'), ('float64', 'float64')) t(dtype, promoted)")
+def promoted_dtypes(spark, d):
+    kinds = ("bool", "int8", "uint8", "int16", "float16", "int32", "int64", "float32", "float64")
+    return spark.createDataFrame([(k, promote_dtype(np.dtype(k)).name) for k in kinds], "dtype string, promoted string")
+
+
+@query("SELECT event_id, event_type AS dataset_id, CAST(row_number() OVER (ORDER BY event_type, event_id) - 1 AS BIGINT) AS obs_id FROM events")
+def virtual_range(spark, d):
+    """Rows of several datasets in one range of numbers."""
+    own = table(spark, d, "events").select("event_id", F.col("event_type").alias("dataset_id"))
+    placed = own.withColumn("pos", F.row_number().over(W.partitionBy("dataset_id").orderBy("event_id")) - 1)
+    return virtual_rows(placed).select("event_id", "dataset_id", "obs_id")
+
+
+@query(f"""WITH {_BOUGHT}, l AS (SELECT f, list_sort(list(p)) AS names FROM b GROUP BY f UNION ALL SELECT 5, names FROM (SELECT list_sort(list(p)) AS names FROM b WHERE f = 0))
+  SELECT CAST(x.f AS BIGINT) AS a, CAST(y.f AS BIGINT) AS b, x.names = y.names AS same FROM l x JOIN l y ON x.f < y.f WHERE x.f = 0""")
+def var_equality(spark, d):
+    """Whether features are equal, names at numbers: the first source against the others and against itself."""
+    var = [p.var for p in _bought_sources(spark, d)]
+    return spark.createDataFrame([(0, k, same_var(var[0], v)) for k, v in enumerate([*var[1:], var[0]], 1)], "a long, b long, same boolean")
+
+
 def epoch(spark: SparkSession, d: str, plan: ChunkPlan) -> DataFrame:
     """A pass over the orders as a loader makes it: every row with its items and its place."""
     return plan.rows(sparse(spark, d))
