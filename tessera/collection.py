@@ -84,14 +84,27 @@ class DatasetCollection:
 
     def dataset(self, k: int) -> Annotated:
         """One dataset: its partition alone is read."""
-        m = self.manifest
-        d = self.spark.read.parquet(f"{self.path}/{m['data']}").filter(F.col("dataset_id") == k).drop("dataset_id")
+        return self._dataset(self.manifest, self.var, k)
+
+    def _dataset(self, m: dict, var: DataFrame | None, k: int) -> Annotated:
+        base = f"{self.path}/{m['data']}"  # the partition's folder alone is listed
+        d = self.spark.read.option("basePath", base).parquet(f"{base}/dataset_id={k}").filter(F.col("dataset_id") == k).drop("dataset_id")
         for c, known in m["categories"].items():
             d = with_categories(d, c, known)
-        return Annotated(d.withColumnRenamed("pos", "row_id"), self.var, ["row_id"])
+        return Annotated(d.withColumnRenamed("pos", "row_id"), var, ["row_id"])
+
+    def whole(self) -> tuple[Annotated, int, int]:
+        """All datasets as one matrix in the order of the virtual row range, its rows, and the numbers that ``_dataset`` stays below.
+
+        One scan, however many datasets there are; sizes come from the manifest.
+        """
+        m = self.manifest
+        rows = self.rows().drop("pos").withColumnRenamed("obs_id", "row_id").withColumnRenamed("dataset_id", "_dataset")
+        return Annotated(rows, self.var, ["row_id"]), sum(m["rows"].values()), max(map(int, m["rows"])) + 1
 
     def __iter__(self) -> Iterator[Annotated]:
-        return (self.dataset(k) for k in self.dataset_ids)
+        m, var = self.manifest, self.var
+        return (self._dataset(m, var, k) for k in self.dataset_ids)
 
     def __len__(self) -> int:
         return len(self.dataset_ids)

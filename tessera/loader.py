@@ -55,7 +55,7 @@ class Loader:
                 self._cupy = cupy
             except ImportError:
                 warnings.warn("preload_to_gpu: cupy is not installed, batches stay on the host", stacklevel=2)
-        self._parts: list[tuple[Annotated, int]] = []
+        self._parts: list[tuple[Annotated, int, int]] = []
         self._collection = False
         self._var: DataFrame | None = None
 
@@ -68,8 +68,8 @@ class Loader:
         if collection.is_empty:
             raise ValueError("the collection is empty")
         if load_adata is None:
-            data = [collection.dataset(k) for k in collection.dataset_ids]
-            self.add_adatas(data)
+            data, n, span = collection.whole()
+            self._attach([data], [n], [span])
         else:
             self.add_adatas([load_adata(self.spark, collection.dataset_path(k)) for k in collection.dataset_ids])
         self._collection = True
@@ -80,8 +80,11 @@ class Loader:
 
     def add_adatas(self, data: Sequence[Annotated]) -> Loader:
         """All are checked before any is added."""
-        known = [p for p, _ in self._parts]
-        sizes = []
+        return self._attach(data)
+
+    def _attach(self, data: Sequence[Annotated], sizes: Sequence[int] | None = None, spans: Sequence[int] | None = None) -> Loader:
+        """sizes: rows of each, counted if not known. spans: how many datasets each holds, told apart by ``_dataset``."""
+        known = [p for p, *_ in self._parts]
         for d in data:
             if not isinstance(d, Annotated) or "x" not in d.rows.columns:
                 raise TypeError("a dataset is an Annotated with a matrix column x; in-memory arrays must be stored first")
@@ -94,12 +97,11 @@ class Loader:
                 raise ValueError("all datasets must be dense or all sparse")
             if d.var is not None and d.var is not first.var and not same_var(d.var, first.var):
                 raise ValueError("All datasets must have identical var")
-            sizes.append(d.rows.count())
-        total = self.n_obs + sum(sizes)
-        self._sampler.validate(total)
-        for d, n in zip(data, sizes, strict=True):
+        sizes = [d.rows.count() for d in data] if sizes is None else sizes
+        self._sampler.validate(self.n_obs + sum(sizes))
+        for d, n, span in zip(data, sizes, spans or [1] * len(data), strict=True):
             scratch = f"{self._scratch or scratch_dir(self.spark)}/loader-{id(self)}-{len(self._parts)}"
-            self._parts.append((numbered(d, scratch), n))
+            self._parts.append((numbered(d, scratch), n, span))
         self._var = self._parts[0][0].var
         return self
 
@@ -120,7 +122,7 @@ class Loader:
 
     @property
     def n_obs(self) -> int:
-        return sum(n for _, n in self._parts)
+        return sum(n for _, n, _ in self._parts)
 
     @property
     def n_var(self) -> int:
@@ -149,11 +151,12 @@ class Loader:
         """All datasets as one table with obs_id and dataset_id."""
         if not self._parts:
             raise ValueError("no dataset was added")
-        out = None
-        base = 0
-        for i, (p, n) in enumerate(self._parts):
-            d = p.rows.withColumn("obs_id", (F.col("row_id") + base).cast("long")).withColumn("dataset_id", F.lit(i)).drop("row_id")
-            out, base = d if out is None else out.unionByName(d, allowMissingColumns=True), base + n
+        out, base, before = None, 0, 0
+        for p, n, span in self._parts:
+            of = F.col("_dataset") + before if "_dataset" in p.rows.columns else F.lit(before)
+            d = p.rows.withColumns({"obs_id": (F.col("row_id") + base).cast("long"), "dataset_id": of.cast("int")}).drop("row_id", "_dataset")
+            out = d if out is None else out.unionByName(d, allowMissingColumns=True)
+            base, before = base + n, before + span
         return out
 
     def batches(self) -> DataFrame:

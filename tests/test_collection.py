@@ -138,6 +138,18 @@ def test_loader_over_a_collection(spark, made):
         Loader(spark).use_collection(DatasetCollection(made.path + "x.parquet", spark))
 
 
+def test_a_collection_is_one_scan(spark, made):
+    rows = Loader(spark, chunk_size=10, preload_nchunks=2, batch_size=20).use_collection(made).rows()
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert len(made) > 1 and plan.count("FileScan parquet") == 1 and "Union" not in plan
+    by = {r["dataset_id"]: (r["n"], r["lo"], r["hi"]) for r in rows.groupBy("dataset_id").agg(F.count("*").alias("n"), F.min("obs_id").alias("lo"), F.max("obs_id").alias("hi")).collect()}
+    at = 0
+    for k in made.dataset_ids:
+        n = made.dataset(k).rows.count()
+        assert by[k] == (n, at, at + n - 1)
+        at += n
+
+
 def test_one_dataset_reads_one_partition(spark, made):
     plan = made.dataset(1).rows._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(dataset_id" in plan
