@@ -702,6 +702,21 @@ def collection_grouped(spark, d):
     return made.rows().select("okey", F.col("dataset_id").cast("int").alias("dataset_id"), "priority", "status", "pos")
 
 
+@query("""WITH u(codec, suffix) AS (VALUES ('gzip', 'gz.parquet'), ('lz4', 'lz4hadoop.parquet'), ('zstd', 'zstd.parquet'))
+  SELECT codec, suffix, CAST(vec_id // 60 AS BIGINT) AS dataset_id, count(*) AS n_rows, CAST(sum(vec_id) AS BIGINT) AS id_sum FROM embeddings, u GROUP BY 1, 2, 3""")
+def collection_codecs(spark, d):
+    """Collections compressed as asked: the codec that each file's name tells, and its rows read back."""
+    rows, out = dense(spark, d).withColumn("row_id", F.col("obs_id")), None
+    for codec in ("gzip", "lz4", "zstd"):
+        made = DatasetCollection(_scratch(spark, codec) + ".parquet", spark)
+        made.add_adatas([Annotated(rows, None, ["row_id"])], shuffle=False, shuffle_chunk_size=20, dataset_size=60, compression=codec)
+        name = F.regexp_extract(F.input_file_name(), r"\.([a-z0-9]+\.parquet)$", 1)
+        held = spark.read.parquet(f"{made.path}/{made.manifest['data']}").select(F.lit(codec).alias("codec"), name.alias("suffix"), F.col("dataset_id").cast("long").alias("dataset_id"), "obs_id")
+        own = held.groupBy("codec", "suffix", "dataset_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("obs_id").alias("id_sum"))
+        out = own if out is None else out.union(own)
+    return out
+
+
 @query(f"""WITH {_MADE}, s AS (SELECT src, avg(12 * nnz + 8 + 16) AS mean FROM v JOIN m USING (okey) GROUP BY src), a AS (SELECT avg(mean) AS mean FROM s), u(size, bytes) AS (VALUES ('64KB', 65536), ('1.5 MiB', 1572864), ('10', 10))
   SELECT size, round(mean, 6) AS bytes_per_row, CAST(greatest(1, floor(bytes / mean)) AS BIGINT) AS n_rows FROM u, a""")
 def dataset_rows(spark, d):
