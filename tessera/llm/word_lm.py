@@ -11,6 +11,10 @@ A table of a range holds 48 bits of hash a key: the first ones by an index of wh
 array, apart for keys seen once, which need no values. Every range writes all its files, so a missing one is an error. Files of
 a range have one name and one content however often its task runs.
 
+A scorer takes STEP_TOKENS tokens at once and goes through the ranges once for these: it opens the files of one range, looks up
+all tokens that fall there, and lets go of them. So it holds the tables of one range, however many there are, and the work for each
+range (ranges grow with the corpus) is spread over many tokens.
+
 Probability: p(w|uv) = (c(uvw) - D(c(uvw))) / c(uv.) + (D1 N1(uv.) + D2 N2(uv.) + D3 N3+(uv.)) / c(uv.) * p(w|v); p(w|v) and p(w)
 likewise with the numbers of different words before vw and w in place of counts (after the begin symbol: with counts), p(w) interpolated with
 1 / (V + 1). Discounts come from the counts of counts of each order; where those are too few to define one, 0.5, 1 and 1.5 hold. A
@@ -22,6 +26,7 @@ model; repeated rows count as often as they occur; a null doc_id has no number a
 
 from __future__ import annotations
 
+import mmap
 import os
 import uuid
 from collections.abc import Iterator
@@ -32,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BLOBS, Rolling, blobs, buckets_for, enter, local_path, lowered, materialize, mix, new_path, over, reduce_blobs, split_by_bucket, steps, summed, text_bytes, words
-from tessera.llm.keyfiles import open_array, pack, save_array, unpack
+from tessera.llm.common import BLOBS, Rolling, blobs, buckets_for, enter, leave, local_path, lowered, materialize, mix, new_path, reduce_blobs, split_by_bucket, steps, summed, text_bytes, words
+from tessera.llm.keyfiles import pack, save_array, unpack
 
 _END = np.uint64(0x7A6B5C4D3E2F1A0B)
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -44,6 +49,8 @@ _STEP = 2 << 20
 HOT = 1 << 18
 #: Words or trigrams that a mapper adds up before it sends them.
 FLUSH = 1_500_000
+#: Tokens that a scorer takes through the ranges at once; a worker then holds about 80 bytes for each.
+STEP_TOKENS = 3_000_000
 
 
 def tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -60,6 +67,23 @@ def tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return out, rows
 
 
+def gathered(batches: Iterator[pa.RecordBatch], limit: int, *columns: str) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray], np.ndarray]]:
+    """Slices of over limit tokens together: their columns, the hashes of their tokens, and the offsets of all their rows."""
+    held, size = [], 0
+    for batch in batches:
+        for part in steps(batch, limit=_STEP):
+            h, rows = tokens(part)
+            held.append((part.select(columns), h, rows[1:] + size))
+            size += len(h)
+            if size > limit:
+                parts, hashes, rows = zip(*held, strict=True)
+                yield parts, hashes, np.concatenate([[0], *rows])
+                held, size = [], 0
+    if size:
+        parts, hashes, rows = zip(*held, strict=True)
+        yield parts, hashes, np.concatenate([[0], *rows])
+
+
 def _save(path: str, **arrays: np.ndarray) -> None:
     for name, a in arrays.items():
         own = f"{path}-{name}.{uuid.uuid4().hex}"
@@ -68,6 +92,26 @@ def _save(path: str, **arrays: np.ndarray) -> None:
         os.replace(own, f"{path}-{name}.npy")
 
 
+def save_arrays(file: str, *arrays: np.ndarray) -> None:
+    """Arrays with their types and lengths in one file, each at a multiple of eight bytes."""
+    head = np.array([len(arrays), *(x for a in arrays for x in (ord(a.dtype.kind), a.dtype.itemsize, len(a)))], np.int64)
+    save_array(file, np.frombuffer(b"".join([head.tobytes(), *(a.tobytes() + bytes(-a.nbytes % 8) for a in arrays)]), np.uint8))
+
+
+def open_arrays(file: str) -> list[np.ndarray]:
+    """The arrays of a file, mapped until the last of them is let go."""
+    with open(file, "rb") as f:
+        data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    at = 10 + int.from_bytes(data[8:10], "little")  # behind the header of the .npy format
+    n = int(np.frombuffer(data, np.int64, 1, at)[0])
+    head = np.frombuffer(data, np.int64, 3 * n, at + 8).reshape(n, 3).tolist()
+    at, out = at + 8 + 24 * n, []
+    for kind, size, count in head:
+        out.append(np.frombuffer(data, f"{chr(kind)}{size}", count, at))
+        at += size * count + -size * count % 8
+    return out
+
+
 def discounts(n: list[int]) -> np.ndarray:
     """D(0), D1, D2, D3+ from the numbers of types seen 1, 2, 3 and 4 times."""
     n1, n2, n3, n4 = n
@@ -91,13 +135,13 @@ class Words:
         """Numbers and counts of sorted hashes."""
         number, count = np.full(len(h), _NONE, np.int64), np.zeros(len(h), np.int64)
         for b, s in split_by_bucket(h, self.n):
-            keys = open_array(f"{self.path}/word-{b}-key.npy")
+            keys, c, rank = open_arrays(f"{self.path}/word-{b}.npy")
             if not len(keys):
                 continue
             at = np.minimum(np.searchsorted(keys, h[s]), len(keys) - 1)
             hit = keys[at] == h[s]
-            number[s][hit] = open_array(f"{self.path}/word-{b}-rank.npy")[at[hit]].astype(np.int64) * self.n + b
-            count[s][hit] = open_array(f"{self.path}/word-{b}-c.npy")[at[hit]]
+            number[s][hit] = rank[at[hit]].astype(np.int64) * self.n + b
+            count[s][hit] = c[at[hit]]
         return number, count
 
 
@@ -129,7 +173,7 @@ def count_words(docs: DataFrame, n: int, path: str, hot: int, flush: int) -> Wor
         key, c = summed(key, c)
         rank = np.empty(len(key), np.int64)
         rank[np.argsort(c, kind="stable")[::-1]] = np.arange(len(key))
-        _save(f"{path}/word-{bucket}", key=key, c=_least(c), rank=_least(rank))
+        save_arrays(f"{path}/word-{bucket}.npy", key, _least(c), _least(rank))
         yield pa.RecordBatch.from_pydict({"tokens": [int(c.sum())], "types": [len(key)]})
 
     stats, _ = materialize(reduce_blobs(docs.select("text").mapInArrow(count, BLOBS), n, "tokens long, types long", store), "word-stats")
@@ -139,22 +183,19 @@ def count_words(docs: DataFrame, n: int, path: str, hot: int, flush: int) -> Wor
 
 # ---------------------------------------------------------------- trigrams
 
-def trigrams(words: Words, part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """u, v and w of each token, whether v is hot, the token's count, and the offsets of the rows."""
-    h, rows = tokens(part)
-    found, back = np.unique(h, return_inverse=True)
+def contexts(words: Words, hashes: list[np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Numbers and counts of the distinct tokens, the begin symbol last (as a hot word), and which of these u, v and w of each token are."""
+    own = [np.unique(h, return_inverse=True) for h in hashes]
+    found, back = np.unique(np.concatenate([x for x, _ in own]), return_inverse=True)
+    back = back.astype(np.int32)
+    w = np.concatenate([i[x] for i, (_, x) in zip(np.split(back, np.cumsum([len(x) for x, _ in own])[:-1]), own, strict=True)])
     number, count = words.find(found)
-    w, c = number[back], count[back]
     v, u = np.empty_like(w), np.empty_like(w)
     v[1:], u[2:] = w[:-1], w[:-2]
-    hot = np.empty(len(w), bool)
-    hot[1:] = c[:-1] > words.hot
     first = rows[:-1]
-    v[first] = u[first] = _BEGIN
-    hot[first] = True
-    second = first[np.diff(rows) > 1] + 1
-    u[second] = _BEGIN
-    return u, v, w, hot, c, rows
+    v[first] = u[first] = len(found)
+    u[first[np.diff(rows) > 1] + 1] = len(found)
+    return np.append(number, _BEGIN), np.append(count, words.hot + 1), u, v, w
 
 
 def _u(x: np.ndarray) -> np.ndarray:
@@ -173,7 +214,12 @@ def place(v: np.ndarray, x: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
     """The range of a middle word, dealt by x too where it is hot."""
     out = mix(_u(v) + _C3)
     out[hot] = hash2(v[hot], x[hot])
-    return (out >> np.uint64(65 - n.bit_length())).astype(np.int32 if n > 1 << 15 else np.int16)
+    return leading(out, n)
+
+
+def leading(h: np.ndarray, n: int) -> np.ndarray:
+    """The range of a hash."""
+    return (h >> np.uint64(65 - n.bit_length())).astype(np.int32 if n > 1 << 15 else np.int16)
 
 
 def by_range(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -242,36 +288,25 @@ def count_trigrams(words: Words, docs: DataFrame, flush: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter()
-        held, size = [], 0
-
-        def send() -> pa.RecordBatch:
+        for _, hashes, rows in gathered(batches, flush):
+            number, times, u, v, w = contexts(words, hashes, rows)
+            hot = (times > words.hot)[v]
+            u, v, w = number[u], number[v], number[w]
             out = []
-            v, u, w, hot = map(np.concatenate, zip(*held, strict=True))
             for kind, own in ((0, ~hot), (1, hot)):
                 x, y, z, c = added(v[own], u[own], w[own], np.ones(int(own.sum()), np.int64))
                 out += [(kind, b, packed_trigrams(x[i], y[i], z[i], c[i])) for b, i in by_range(place(x, y, np.full(len(x), bool(kind)), n))]
-            return blobs(out)
-
-        for batch in batches:
-            for part in steps(batch, limit=_STEP):
-                u, v, w, hot, _, _ = trigrams(words, part)
-                held.append((v, u, w, hot))
-                size += len(w)
-                if size > flush:
-                    yield send()
-                    held, size = [], 0
-        if size:
-            yield send()
+            yield blobs(out)
 
     def store(bucket: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
         os.makedirs(path, exist_ok=True)
         none = (np.zeros(0, np.int64),) * 4
         kinds = [added(*map(np.concatenate, zip(none, *map(unpacked_trigrams, held.pop(k, [])), strict=True))) for k in (0, 1)]
         v, u, w, c = map(np.concatenate, zip(*kinds, strict=True))  # a middle word is in one of them only
-        save_table(path, "tri", bucket, hash3(u, v, w), c, c=c)
+        save_table(path, "tri", bucket, hash3(u, v, w), c, c)
         first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])[: len(v)])
         add = lambda x: np.add.reduceat(x.astype(np.int64), first) if len(first) else x[:0]
-        save_table(path, "ctx", bucket, hash2(u[first], v[first]), total := add(c), total=total, n1=add(c == 1), n2=add(c == 2), n3=add(c > 2))
+        save_table(path, "ctx", bucket, hash2(u[first], v[first]), total := add(c), total, add(c == 1), add(c == 2), add(c > 2))
         yield blobs([(0, 0, numbers_of(len(v), c, 0, c[:0]))])
         for hot, (v, _, w, c) in enumerate(kinds):
             order = np.lexsort((w, v))
@@ -297,7 +332,7 @@ def numbers_of(n_tri: int, c: np.ndarray, n_pair: int, left: np.ndarray) -> byte
 def pairs_done(words: Words, bucket: int, name: str, v: np.ndarray, w: np.ndarray, left: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Stores complete pairs in the order of v, and sends what they say of their words."""
     n = words.n
-    save_table(words.path, name, bucket, hash2(v, w), left, left=left)
+    save_table(words.path, name, bucket, hash2(v, w), left, left)
     first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])[: len(v)])
     add = lambda x: np.add.reduceat(x.astype(np.int64), first) if len(first) else x[:0].astype(np.int64)
     before, times = np.unique(w, return_counts=True)
@@ -309,7 +344,7 @@ def pairs_done(words: Words, bucket: int, name: str, v: np.ndarray, w: np.ndarra
     yield blobs(out)
 
 
-def save_table(path: str, name: str, bucket: int, key: np.ndarray, size: np.ndarray, **values: np.ndarray) -> None:
+def save_table(path: str, name: str, bucket: int, key: np.ndarray, size: np.ndarray, *values: np.ndarray) -> None:
     """Keys of size 1 and the others, these with values; each sorted, their leading bits as an index of blocks of about 16."""
     for kind, which in (("one", size == 1), ("many", size > 1)):
         own = key[which]
@@ -318,16 +353,15 @@ def save_table(path: str, name: str, bucket: int, key: np.ndarray, size: np.ndar
         bits = max(1, len(own).bit_length() - 4)
         at = np.searchsorted(own >> np.uint64(64 - bits), np.arange((1 << bits) + 1).astype(np.uint64))
         rest = (own << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
-        put = {k: _least(v[which][order]) for k, v in values.items()} if kind == "many" else {}
-        for k, x in {"at": _least(at), "key": rest, **put}.items():
-            save_array(f"{path}/{name}-{kind}-{bucket}-{k}.npy", x)
+        put = [_least(v[which][order]) for v in values] if kind == "many" else []
+        save_arrays(f"{path}/{name}-{kind}-{bucket}-key.npy", _least(at), rest, *put)
 
 
-def find(path: str, name: str, bucket: int, key: np.ndarray) -> np.ndarray:
-    """Where keys stand in a table, -1 where they don't."""
-    at, rest = open_array(f"{path}/{name}-{bucket}-at.npy"), open_array(f"{path}/{name}-{bucket}-key.npy")
+def find(path: str, name: str, bucket: int, key: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where keys stand in a table, -1 where they don't, and the table's values."""
+    at, rest, *values = open_arrays(f"{path}/{name}-{bucket}-key.npy")
     if not len(rest) or not len(key):
-        return np.full(len(key), -1, np.int64)
+        return np.full(len(key), -1, np.int64), values
     bits = (len(at) - 1).bit_length() - 1
     block = (key >> np.uint64(64 - bits)).astype(np.int64)
     want = (key << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
@@ -337,7 +371,7 @@ def find(path: str, name: str, bucket: int, key: np.ndarray) -> np.ndarray:
         mid = (lo + hi) >> 1
         less = (rest[np.minimum(mid, last)] < want) & (lo < hi)
         lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
-    return np.where((lo < end) & (rest[np.minimum(lo, last)] == want), lo, -1)
+    return np.where((lo < end) & (rest[np.minimum(lo, last)] == want), lo, -1), values
 
 
 # ---------------------------------------------------------------- the model
@@ -372,7 +406,7 @@ def train(docs: DataFrame, hot_word: int = HOT, flush: int = FLUSH) -> Model:
         yield from pairs_done(words, bucket, "hot", v[first], w[first], np.add.reduceat(c[order], first) if len(first) else c)
 
     def side(bucket: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
-        size = len(open_array(f"{path}/word-{bucket}-key.npy"))
+        size = len(open_arrays(f"{path}/word-{bucket}.npy")[0])
         sums, begin = np.zeros((5, size), np.int64), np.zeros(5, np.int64)
         for word, *cols in map(unpack, held.get(1, [])):
             word = unplanes(word)
@@ -381,7 +415,7 @@ def train(docs: DataFrame, hot_word: int = HOT, flush: int = FLUSH) -> Model:
             for k, x in enumerate(cols):
                 np.add.at(sums[k], at, x[own].astype(np.int64))
                 begin[k] += int(x[~own].sum())
-        _save(f"{path}/side-{bucket}", **{k: _least(x) for k, x in zip(("total", "n1", "n2", "n3", "left"), sums, strict=True)})
+        save_arrays(f"{path}/side-{bucket}.npy", *map(_least, sums))
         left = sums[4]
         yield pa.RecordBatch.from_pydict({"x": [[*begin[:4].tolist(), *(int((left == i).sum()) for i in (1, 2, 3, 4)), int((left > 2).sum())]]})
 
@@ -399,91 +433,97 @@ def _class(d: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (c - d[np.minimum(c, 3)]).clip(0)
 
 
-def log10_probabilities(model: Model, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """log10 of each token's probability, its count in training, and the offsets of the rows."""
+def log10_probabilities(model: Model, hashes: list[np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of each token's probability, and its count in training."""
     words = model.words
     path, n = words.path, words.n
-    u, v, w, hot, count, rows = trigrams(words, part)
+    number, count, u, v, w = contexts(words, hashes, rows)
+    hot = count > words.hot
     d3, d2, d1 = map(np.array, model.discounts)
     # words
-    word, back = np.unique(np.concatenate([v, w]), return_inverse=True)
-    side = np.zeros((5, len(word)), np.int64)
-    side[:4, word == _BEGIN] = np.array(model.begin)[:, None]
-    known = np.flatnonzero(word < _NONE)
-    for b, i in by_range((word[known] % n).astype(np.int32 if n > 1 << 15 else np.int16)):
+    side = np.zeros((5, len(number)), np.int64)
+    side[:4, -1] = model.begin
+    known = np.flatnonzero(number < _NONE)
+    for b, i in by_range((number[known] % n).astype(np.int32 if n > 1 << 15 else np.int16)):
         i = known[i]
-        for k, name in enumerate(("total", "n1", "n2", "n3", "left")):
-            side[k, i] = open_array(f"{path}/side-{b}-{name}.npy")[word[i] // n]
+        at = number[i] // n
+        for k, x in enumerate(open_arrays(f"{path}/side-{b}.npy")):
+            side[k, i] = x[at]
     types = model.pair_types
     one = 1 / (words.vocabulary + 1)
-    low = _class(d1, side[4]) / types + (d1[1:] @ np.array(model.classes)) / types * one if types else np.full(len(word), one)
-    p = low[back[len(v) :]]
-    total, n1, n2, n3 = side[:4, back[: len(v)]]
-    # pairs
+    low = _class(d1, side[4]) / types + (d1[1:] @ np.array(model.classes)) / types * one if types else np.full(len(number), one)
+    p = low[w]
+    total, n1, n2, n3 = side[:4]
+    share = (d2[1] * n1 + d2[2] * n2 + d2[3] * n3) / np.maximum(total, 1)
+    # pairs of hot words, dealt by the second one
     left = np.zeros(len(w), np.int64)
-    seen = np.flatnonzero((total > 0) & (w < _NONE))
-    key = hash2(v[seen], w[seen])
-    bucket = place(v[seen], w[seen], hot[seen], n)
+    seen = np.flatnonzero((hot & (total > 0))[v] & (number < _NONE)[w])
+    key = hash2(number[v[seen]], number[w[seen]])
+    for b, i in by_range(leading(key, n)):
+        left[seen[i]] = value(path, "hot", b, key[i])
+    # the other pairs, and trigrams: these stand in one range unless the middle word is hot
+    seen = np.flatnonzero((total > 0)[v])
+    bucket = leading(mix(_u(number) + _C3), n)[v[seen]]
+    dealt = np.flatnonzero(hot[v[seen]])
+    bucket[dealt] = leading(hash2(number[v[seen[dealt]]], number[u[seen[dealt]]]), n)
     for b, i in by_range(bucket):
-        is_hot = hot[seen[i]]
-        for name, own in (("pair", i[~is_hot]), ("hot", i[is_hot])):
-            if len(own):
-                left[seen[own]] = value(path, name, b, key[own])
-    t = np.maximum(total, 1)
-    p = np.where(total > 0, _class(d2, left) / t + (d2[1] * n1 + d2[2] * n2 + d2[3] * n3) / t * p, p)
-    # trigrams
-    seen = np.flatnonzero((total > 0) & (u != _NONE))
-    key, key3 = hash2(u[seen], v[seen]), hash3(u[seen], v[seen], w[seen])
-    sums = np.zeros((4, len(seen)), np.int64)
-    c = np.zeros(len(seen), np.int64)
-    for b, i in by_range(place(v[seen], u[seen], hot[seen], n)):
-        q = key[i]
-        i = i[np.argsort(q)]
-        q = key[i]
-        once = find(path, "ctx-one", b, q) >= 0
-        sums[:2, i[once]] = 1
-        rest = i[~once]
-        at = find(path, "ctx-many", b, key[rest])
+        i = seen[i]
+        x, y, z = number[u[i]], number[v[i]], number[w[i]]
+        c = left[i]
+        own = np.flatnonzero(~hot[v[i]] & (z < _NONE))
+        c[own] = value(path, "pair", b, hash2(y[own], z[own]))
+        p[i] = _class(d2, c) / total[v[i]] + share[v[i]] * p[i]
+        own = np.flatnonzero(x != _NONE)
+        key = hash2(x[own], y[own])
+        order = np.argsort(key)
+        own, key = own[order], key[order]
+        sums = np.zeros((4, len(own)), np.int64)
+        once = find(path, "ctx-one", b, key)[0] >= 0
+        sums[:2, once] = 1
+        rest = np.flatnonzero(~once)
+        at, values = find(path, "ctx-many", b, key[rest])
         rest, at = rest[at >= 0], at[at >= 0]
-        for k, name in enumerate(("total", "n1", "n2", "n3")):
-            sums[k, rest] = open_array(f"{path}/ctx-many-{b}-{name}.npy")[at]
-        i = i[sums[0, i] > 0]
-        c[i] = value(path, "tri", b, key3[i], "c")
-    total, n1, n2, n3 = sums
-    t = np.maximum(total, 1)
-    p[seen] = np.where(total > 0, _class(d3, c) / t + (d3[1] * n1 + d3[2] * n2 + d3[3] * n3) / t * p[seen], p[seen])
-    return np.log10(p), count, rows
+        for k, a in enumerate(values):
+            sums[k, rest] = a[at]
+        own, (t, n1, n2, n3) = own[sums[0] > 0], sums[:, sums[0] > 0]
+        c = value(path, "tri", b, hash3(x[own], y[own], z[own]))
+        i = i[own]
+        p[i] = _class(d3, c) / t + (d3[1] * n1 + d3[2] * n2 + d3[3] * n3) / t * p[i]
+    return np.log10(p), count[w]
 
 
-def value(path: str, name: str, bucket: int, key: np.ndarray, of: str = "left") -> np.ndarray:
+def value(path: str, name: str, bucket: int, key: np.ndarray) -> np.ndarray:
     """Values of keys, 0 where there is none."""
-    out = (find(path, f"{name}-one", bucket, key) >= 0).astype(np.int64)
+    out = (find(path, f"{name}-one", bucket, key)[0] >= 0).astype(np.int64)
     rest = np.flatnonzero(out == 0)
-    at = find(path, f"{name}-many", bucket, key[rest])
+    at, (values,) = find(path, f"{name}-many", bucket, key[rest])
     hit = at >= 0
-    out[rest[hit]] = open_array(f"{path}/{name}-many-{bucket}-{of}.npy")[at[hit]]
+    out[rest[hit]] = values[at[hit]]
     return out
 
 
-def score(docs: DataFrame, model: Model, held_out: str) -> DataFrame:
+def score(docs: DataFrame, model: Model, held_out: str, limit: int = STEP_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document."""
     n, v = model.train_tokens, model.words.vocabulary
 
-    def run(part: pa.RecordBatch) -> dict:
-        lp, c, rows = log10_probabilities(model, part)
-        at = rows[:-1]
-        base = np.log10((c + 1) / (n + v + 1))
-        return {
-            "doc_id": part.column(0),
-            "held_out": part.column(2),
-            "n_tokens": pa.array(np.diff(rows)),
-            "n_known": pa.array(np.add.reduceat((c > 0).astype(np.int64), at)),
-            "train_tokens": pa.array(np.full(len(at), n, np.int64)),
-            "base_score": pa.array(np.add.reduceat(base, at)),
-            "score": pa.array(np.add.reduceat(lp, at)),
-        }
-
-    return over(docs.select("doc_id", "text", F.expr(held_out).alias("held_out")), ["doc_id", "text", "held_out"], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", run, _STEP)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter()
+        for parts, hashes, rows in gathered(batches, limit, "doc_id", "held_out"):
+            lp, c = log10_probabilities(model, hashes, rows)
+            at = rows[:-1]
+            base = np.log10((c + 1) / (n + v + 1))
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": pa.concat_arrays([x.column(0) for x in parts]),
+                "held_out": pa.concat_arrays([x.column(1) for x in parts]),
+                "n_tokens": pa.array(np.diff(rows)),
+                "n_known": pa.array(np.add.reduceat((c > 0).astype(np.int64), at)),
+                "train_tokens": pa.array(np.full(len(at), n, np.int64)),
+                "base_score": pa.array(np.add.reduceat(base, at)),
+                "score": pa.array(np.add.reduceat(lp, at)),
+            })
+        leave()
+
+    return docs.select("doc_id", "text", F.expr(held_out).alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

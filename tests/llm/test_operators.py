@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import builtins
 import hashlib
 import math
 import os
@@ -9,6 +10,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import assert_same
 from tokenizers import Tokenizer
@@ -242,3 +244,29 @@ def test_word_lm(spark):
     assert sum(out[d].score for d in held) > sum(out[d].base_score for d in held)
     empty = word_lm.score(odd(spark), word_lm.train(odd(spark).limit(0)), "false").collect()
     assert len(empty) == len(ODD) and all(r.n_known == 0 and r.base_score == 0 for r in empty)
+
+
+def test_word_lm_opens_ranges_once(spark, monkeypatch):
+    """A worker with many ranges opens each range's files once for many slices of text, not again for each slice."""
+
+    class Captured:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, schema):  # noqa: N802
+            return f
+
+    rows = documents(spark)[:60] + [(-1, None), (-2, "")]
+    monkeypatch.setattr(word_lm, "buckets_for", lambda docs: 128)
+    model = word_lm.train(spark.createDataFrame(rows[:40], "doc_id long, text string").coalesce(2), 30)
+    size = sum(len((t or "").encode()) for _, t in rows)
+    monkeypatch.setattr(word_lm, "_STEP", size // 8)
+    ids, texts = zip(*rows, strict=True)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "text": texts, "held_out": [False] * len(ids)})
+    opened, own = Counter(), builtins.open
+    monkeypatch.setattr(builtins, "open", lambda file, *a, **k: (opened.update([str(file)]), own(file, *a, **k))[1])
+    whole = [r for x in word_lm.score(Captured(), model, "false")(iter([batch.slice(0, 9), batch.slice(9)])) for r in x.to_pylist()]
+    read = [x for f, x in opened.items() if f.startswith(model.words.path)]
+    assert 128 < sum(read) <= 2 * len(os.listdir(model.words.path)), sum(read)
+    apart = [r for x in word_lm.score(Captured(), model, "false", 1)(iter([batch])) for r in x.to_pylist()]
+    assert [r["doc_id"] for r in whole] == list(ids) and whole == apart
