@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from tessera.types import Annotated
 
 #: Up to so many entries, the map from local to united feature numbers is a constant of the expression.
 LITERAL_ENTRIES = 200_000
-#: Up to so many entries, a source's map from local to united feature numbers goes along as one broadcast array.
-MAP_ENTRIES = 4_000_000
+#: Up to so many entries, a source's map from local to united feature numbers is broadcast as one array of 4 bytes each.
+MAP_ENTRIES = 32_000_000
 #: Rows of one block in which equal names are numbered.
 NAME_BLOCK = 100_000
 
@@ -54,31 +57,74 @@ def _mapping(old: DataFrame, new: DataFrame) -> DataFrame:
 def remap(rows: DataFrame, old: DataFrame, new: DataFrame, columns: Sequence[str] = ("x",), n_old: int | None = None, to: pa.Table | None = None) -> DataFrame:
     """rows with their matrices in new's feature numbers. Absent features: 0 (not stored) if sparse, NaN if dense.
 
-    Every row is rewritten where it is: no shuffle. The map is a constant up to LITERAL_ENTRIES features; beyond, one row with an array,
-    broadcast, which the join copies beside each row. Beyond MAP_ENTRIES features a sparse matrix takes an equi-join of its elements instead; a dense one's map is never longer than a row of it.
+    Every row is rewritten where it is: no shuffle, and no row carries the map. It is a constant up to LITERAL_ENTRIES features; beyond,
+    sparse matrices take it from an array broadcast to the workers, and beyond MAP_ENTRIES from an equi-join of their elements. A dense
+    one's map, no longer than a row of it, is then a row that the join copies beside each.
     """
-    own, target = collected(old), collected(new) if to is None else to
+    own = collected(old)
+    target = None if own is None else collected(new) if to is None else to
     if own is not None and target is not None:  # the map is part of the expression: no row carries it
         there, here = ({n: i for i, n in zip(*t.to_pydict().values(), strict=True)} for t in (target, own))
         forth, back = _literal(own, there), _literal(target, here)
         for c in columns:
             rows = rows.withColumn(c, _sparse(F.col(c), forth) if is_sparse(rows, c) else _dense(F.col(c), back))
         return rows
-    n_old = old.count() if n_old is None else n_old
-    if n_old > MAP_ENTRIES and all(is_sparse(rows, c) for c in columns):
-        for c in columns:
+    thin = [c for c in columns if is_sparse(rows, c)]
+    if thin and (old.count() if n_old is None else n_old) > MAP_ENTRIES:
+        for c in thin:
             rows = _remap_by_join(rows, _mapping(old, new), c)
+    elif thin:
+        sent = rows.sparkSession.sparkContext.broadcast(_numbers(old, new))
+        for c in thin:
+            rows = rows.withColumn(c, _renumbering(sent, rows.schema[c].dataType)(F.col(c)))
+    if len(thin) == len(columns):
         return rows
-    maps = _mapping(old, new)
-    to_new = maps.groupBy().agg(F.transform(F.sort_array(F.collect_list(F.struct("_old", "_new"))), lambda s: s["_new"]).alias("_to_new"))
-    both = to_new
-    if not all(is_sparse(rows, c) for c in columns):
-        back = new.select("var_name", F.col("var_id").alias("_new")).join(old.select("var_name", F.col("var_id").alias("_old")), "var_name", "left")
-        both = to_new.crossJoin(back.groupBy().agg(F.transform(F.sort_array(F.collect_list(F.struct("_new", "_old"))), lambda s: s["_old"]).alias("_to_old")))  # one row each
-    out = rows.join(F.broadcast(both), F.lit(True))
+    back = new.select("var_name", F.col("var_id").alias("_new")).join(old.select("var_name", F.col("var_id").alias("_old")), "var_name", "left")
+    to_old = back.groupBy().agg(F.transform(F.sort_array(F.collect_list(F.struct("_new", "_old"))), lambda s: s["_old"]).alias("_to_old"))  # one row
+    out = rows.join(F.broadcast(to_old), F.lit(True))
     for c in columns:
-        out = out.withColumn(c, _sparse(F.col(c)) if is_sparse(rows, c) else _dense(F.col(c)))
-    return out.drop(*both.columns)
+        if c not in thin:
+            out = out.withColumn(c, _dense(F.col(c)))
+    return out.drop("_to_old")
+
+
+def _numbers(old: DataFrame, new: DataFrame) -> np.ndarray:
+    """The new number of each old one, -1 where the feature is not in new: 8 bytes a feature on their way to the driver, no names."""
+    pairs = _mapping(old, new).filter("_new is not null").toArrow()
+    before, after = (np.asarray(pairs[c]) for c in ("_old", "_new"))
+    out = np.full(int(before.max(initial=-1)) + 1, -1, np.int32)
+    out[before] = after
+    return out
+
+
+def _renumbering(sent, kind: T.StructType):
+    """A function of a sparse column: its rows in the numbers that the broadcast array gives, ascending, others left out."""
+
+    def renumbered(x: pa.Array) -> pa.Array:
+        to_new = sent.value
+        idx, val = x.flatten()
+        n, n_val = (np.asarray(pc.list_value_length(c).fill_null(0)).astype(np.int64) for c in (idx, val))
+        row = np.repeat(np.arange(len(x)), n)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        local = idx.flatten()
+        i = np.asarray(local.fill_null(-1)).astype(np.int64)
+        known = (i >= 0) & (i < len(to_new))
+        i = np.where(known, to_new[np.where(known, i, 0)], -1) if len(to_new) else np.full(len(i), -1)
+        row, place, i = (a[i >= 0] for a in (row, place, i))
+        v = val.flatten().take(pa.array((np.cumsum(n_val) - n_val)[row] + place, mask=place >= n_val[row]))
+        key = row << 32 | i
+        if (np.diff(key) <= 0).any():
+            order = np.argsort(key, kind="stable")
+            if (np.diff(key[order]) == 0).any():  # a number that a row has twice: by value, as SQL sorts pairs
+                order = np.asarray(pc.sort_indices(pa.table({"k": key, "there": v.is_valid(), "v": v}), [(c, "ascending") for c in ("k", "there", "v")]))
+            i, v = i[order], v.take(pa.array(order))
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(x)))]).astype(np.int32)
+        gone = pa.array(np.asarray(pc.or_(idx.is_null(), val.is_null())))
+        lists = [pa.ListArray.from_arrays(pa.array(ends), own, mask=gone) for own in (pa.array(i, pa.int32()), v)]
+        return pa.StructArray.from_arrays(lists, ["indices", "values"], mask=x.is_null())
+
+    own = T.StructType([T.StructField("indices", T.ArrayType(T.IntegerType())), T.StructField("values", kind["values"].dataType)])
+    return F.arrow_udf(renumbered, own)
 
 
 def collected(var: DataFrame) -> pa.Table | None:
@@ -108,12 +154,18 @@ def _dense(x: Column, to_old: Column | None = None) -> Column:
 
 
 def _remap_by_join(rows: DataFrame, maps: DataFrame, column: str) -> DataFrame:
-    keyed = rows.withColumn("_row", F.monotonically_increasing_id())
-    long = keyed.select("_row", F.explode_outer(F.arrays_zip(F.col(column)["indices"].alias("i"), F.col(column)["values"].alias("v"))).alias("e")).select("_row", "e.i", "e.v")
-    joined = long.join(maps, long["i"] == maps["_old"], "left").groupBy("_row")
-    back = joined.agg(F.array_sort(F.collect_list(F.when(F.col("_new").isNotNull(), F.struct(F.col("_new").alias("i"), "v")))).alias("_e"))
-    out = keyed.drop(column).join(back, "_row")
-    return out.withColumn(column, F.struct(F.transform("_e", lambda e: e["i"]).alias("indices"), F.transform("_e", lambda e: e["v"]).alias("values"))).drop("_row", "_e")
+    """By elements; the rest of a row goes along with its first one, as rows made a second time could come in another order."""
+    x, rest = F.col(column), F.struct(*(F.col(f"`{c}`") for c in rows.columns if c != column), F.col(column).isNull().alias("_none"))
+    keyed = rows.select(F.monotonically_increasing_id().alias("_row"), rest.alias("_rest"), F.arrays_zip(x["indices"].alias("i"), x["values"].alias("v")).alias("_e"))
+    long = keyed.select("_row", "_rest", F.posexplode_outer("_e").alias("_at", "_e")).select("_row", F.when(F.coalesce("_at", F.lit(0)) == 0, F.col("_rest")).alias("_rest"), "_e.i", "_e.v")
+    pair = F.when(F.col("_new").isNotNull(), F.struct(F.col("_new").alias("i"), "v"))
+    back = long.join(maps, long["i"] == maps["_old"], "left").groupBy("_row").agg(F.first("_rest", True).alias("_rest"), F.array_sort(F.collect_list(pair)).alias("_e"))
+    made = F.when(~F.col("_rest._none"), F.struct(F.transform("_e", lambda e: e["i"]).alias("indices"), F.transform("_e", lambda e: e["v"]).alias("values")))
+    out = back.select(*(made.alias(c) if c == column else F.col(f"_rest.`{c}`").alias(c) for c in rows.columns))
+    for c in rows.columns:
+        if c != column and rows.schema[c].metadata:
+            out = out.withMetadata(c, rows.schema[c].metadata)
+    return out
 
 
 def align(parts: Sequence[Annotated], var: DataFrame | None = None) -> tuple[list[Annotated], DataFrame | None]:
