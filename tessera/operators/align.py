@@ -18,6 +18,8 @@ from tessera.types import Annotated
 LITERAL_ENTRIES = 200_000
 #: Up to so many entries, a source's map from local to united feature numbers is broadcast as one array of 4 bytes each.
 MAP_ENTRIES = 32_000_000
+#: Up to so many names of a subset are constants of a filter; more are a table to join with.
+FILTER_NAMES = 1000
 #: Rows of one block in which equal names are numbered.
 NAME_BLOCK = 100_000
 
@@ -33,7 +35,11 @@ def union_var(parts: Sequence[DataFrame]) -> DataFrame:
 
 def subset_var(var: DataFrame, names: Sequence[str]) -> DataFrame:
     """The features among names, renumbered in var's order; unknown names are ignored."""
-    return renumber(var.filter(F.col("var_name").isin(list(names))))
+    names = list(names)
+    if len(names) <= FILTER_NAMES:
+        return renumber(var.filter(F.col("var_name").isin(names)))
+    given = var.sparkSession.createDataFrame(pa.table({"var_name": pa.array(map(str, names), pa.string())}))
+    return renumber(var.join(given, "var_name", "left_semi"))
 
 
 def intersect_var(var: DataFrame, other: DataFrame) -> DataFrame:

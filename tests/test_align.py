@@ -33,3 +33,10 @@ def test_a_map_beyond_a_constant_gives_the_same_rows(spark, monkeypatch, entries
     else:  # a struct of two nulls has no elements to join
         assert [r[:2] for r in got(far)] == [r[:2] for r in want]
     assert "NestedLoop" not in far._jdf.queryExecution().executedPlan().toString()  # no row carries the map
+
+
+def test_many_names_of_a_subset_are_a_join(spark):
+    whole = var(spark, [f"n{i}" for i in range(3000)])
+    part = align.subset_var(whole, [f"n{i}" for i in range(5000, 0, -2)])
+    assert [(r.var_id, r.var_name) for r in part.sort("var_id").collect()] == [(k, f"n{i}") for k, i in enumerate(range(2, 3000, 2))]
+    assert "n1000" not in part._jdf.queryExecution().optimizedPlan().toString()  # names are no constants of the plan
