@@ -7,6 +7,7 @@ partition prefetched. Nothing but the batches in hand is on the driver.
 
 from __future__ import annotations
 
+import uuid
 import warnings
 from collections.abc import Iterator, Sequence
 
@@ -19,11 +20,18 @@ from tessera.abc import Sampler
 from tessera.operators.align import is_sparse, same_var
 from tessera.operators.intervals import virtual_rows
 from tessera.samplers import RandomSampler, SequentialSampler
-from tessera.sources.scan import Load, numbered, scratch_dir
+from tessera.sources.scan import Load, fs, numbered, scratch_dir
 from tessera.types import CSR, Annotated, LoaderOutput
 
 _PLAN = ("chunk_id", "chunk_pos", "request_id", "batch_id", "pos_in_batch", "_ordinal")
 
+#: A request of a sampler without a plan, up to so many rows and chunks, is fetched at once; tasks pack the batches of a larger one.
+REQUEST_ROWS, REQUEST_CHUNKS = 16_384, 64
+#: Rows of such a task, about.
+TASK_ROWS = 8192
+#: Rows of a request that are told to the engine at a time.
+PLACES = 1_000_000
+
 
 class Loader:
     """Batches {X, obs, var, index} of one or more datasets.
@@ -182,7 +190,10 @@ class Loader:
         rows = self.batches()
         plan = self._sampler.plan(self.n_obs)
         parts = max(1, min(plan.n_requests, 4096))
-        dealt = rows.repartitionByRange(parts, "request_id").sortWithinPartitions("request_id", "batch_id", "pos_in_batch")
+        yield from self._packed(rows.repartitionByRange(parts, "request_id").sortWithinPartitions("request_id", "batch_id", "pos_in_batch"))
+
+    def _packed(self, dealt: DataFrame) -> Iterator[pa.Table]:
+        """The batches of rows that stand in order, one after the other."""
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[pa.RecordBatch] = []
@@ -214,6 +225,12 @@ class Loader:
 
     def _requested(self, request, names, n_var: int) -> Iterator[LoaderOutput]:
         """A sampler of one's own: a request's rows are fetched by their ranges (pushed to the scan), then split."""
+        asked = np.concatenate([np.empty(0, np.int64), *(np.arange(c.start, c.stop) for c in request["chunks"])])
+        if not len(asked):
+            return
+        if len(asked) > REQUEST_ROWS or len(request["chunks"]) > REQUEST_CHUNKS:
+            yield from (self._output(t, names, n_var) for t in self._dealt(asked, [np.asarray(s) for s in request["splits"] if len(s)]))
+            return
         rows = self.rows()
         inside = None
         for c in request["chunks"]:
@@ -223,13 +240,55 @@ class Loader:
         ids = np.asarray(held["obs_id"])
         sorter = np.argsort(ids)
         of = np.asarray(held["dataset_id"])[sorter]
-        asked = np.concatenate([np.arange(c.start, c.stop) for c in request["chunks"]])
         at = np.searchsorted(ids[sorter], asked)
         memory = sorter[at[np.argsort(of[at], kind="stable")]]  # by dataset, then as asked
         for split in request["splits"]:
             if len(split):
                 yield self._output(held.take(pa.array(memory[np.asarray(split)])), names, n_var)
 
+    def _dealt(self, asked: np.ndarray, splits: list[np.ndarray]) -> Iterator[pa.Table]:
+        """The batches of a large request: its rows get (batch, place) by an equi-join and are packed by tasks.
+
+        The driver holds row numbers of the request, 8 bytes each, and batches in hand, no rows. Numbers go out PLACES at a time, through a
+        scratch table if there are more.
+        """
+        if not splits:
+            return
+        memory = asked[np.argsort(np.searchsorted(self._starts(), asked, "right"), kind="stable")]  # by dataset, then as asked
+        ids, size = memory[np.concatenate(splits)], np.array([len(s) for s in splits])
+        first = np.cumsum(size) - size
+
+        def places(lo: int, hi: int) -> DataFrame:
+            at = np.arange(lo, min(hi, len(ids)))
+            batch = np.searchsorted(first, at, "right") - 1
+            return self.spark.createDataFrame(pa.table({"_at": ids[lo:hi].astype(np.int64), "batch_id": batch, "pos_in_batch": at - first[batch]}))
+
+        scratch = f"{self._scratch or scratch_dir(self.spark)}/request-{uuid.uuid4().hex}"
+        try:
+            told = places(0, PLACES)
+            if len(ids) > PLACES:
+                for lo in range(0, len(ids), PLACES):
+                    places(lo, lo + PLACES).write.mode("append").parquet(scratch)
+                told = self.spark.read.parquet(scratch)
+            inside = self.rows().filter((F.col("obs_id") >= int(ids.min())) & (F.col("obs_id") <= int(ids.max())))
+            placed = inside.join(told, F.col("obs_id") == F.col("_at")).drop("_at").withColumn("request_id", F.lit(0))
+            parts = max(1, min(-(-len(ids) // TASK_ROWS), len(splits), 4096))
+            dealt = placed.repartitionByRange(parts, "batch_id").sortWithinPartitions("batch_id", "pos_in_batch")
+            for n, batch in zip(size, self._packed(dealt), strict=True):
+                if batch.num_rows != n:
+                    raise ValueError(f"a batch of {n} rows came with {batch.num_rows}: the sampler asked for rows that are not there")
+                yield batch
+        finally:
+            f, p = fs(self.spark, scratch)
+            f.delete(p, True)
+
+    def _starts(self) -> np.ndarray:
+        """The first row number of each dataset."""
+        if all(span == 1 for *_, span in self._parts):
+            return np.cumsum([0, *(n for _, n, _ in self._parts)])[:-1]
+        first = self.rows().groupBy("dataset_id").agg(F.min("obs_id").alias("first")).select("first").toArrow()["first"]  # one row a dataset
+        return np.sort(np.asarray(first))
+
     def _output(self, table: pa.Table, names, n_var: int) -> LoaderOutput:
         col = table["x"].combine_chunks()
         if pa.types.is_struct(col.type):

@@ -75,6 +75,38 @@ def test_own_sampler_and_ranks(spark):
     assert sorted(every) == list(range(18))
 
 
+class Strides(Own):
+    """Requests of many short chunks, backwards, some rows twice, with splits of its own."""
+
+    def __init__(self, step):
+        super().__init__(6, True)
+        self.step = step
+
+    def _sample(self, n_obs):
+        chunks = [slice(a, min(a + 2, n_obs)) for a in range(n_obs - 2, -1, -self.step)] + [slice(3, 6)]
+        n = sum(c.stop - c.start for c in chunks)
+        yield {"chunks": chunks, "splits": np.array_split(np.random.default_rng(1).permutation(n), max(1, n // 50))}
+
+
+def test_a_request_of_many_chunks(spark, monkeypatch):
+    from tessera import loader as module
+
+    def run(step, n):
+        own = Loader(spark, batch_sampler=Strides(step), return_index=True).add_adatas([dense(spark, n), dense(spark, n + 1, n)])
+        return [(b["index"].tolist(), b["X"].tolist(), b["obs"].to_dict("list")) for b in own]
+
+    near = run(9, 100)
+    monkeypatch.setattr(module, "REQUEST_CHUNKS", 1)
+    monkeypatch.setattr(module, "PLACES", 20)
+    assert run(9, 100) == near and len(near) == 1
+    monkeypatch.undo()
+    got = run(4, 6000)  # 3001 chunks, as one filter too deep for the engine
+    request = next(Strides(4)._sample(12001))
+    memory = np.concatenate([np.arange(c.start, c.stop) for c in request["chunks"]])
+    memory = memory[np.argsort(memory >= 6000, kind="stable")]
+    assert [i for i, *_ in got] == [memory[s].tolist() for s in request["splits"]]
+
+
 def test_replacement_repeats_rows(spark):
     loader = Loader(spark, batch_sampler=RandomSampler(5, 2, 5, replacement=True, num_samples=50, rng=2), return_index=True).add_adata(dense(spark, 12))
     got = [b["index"] for b in loader]
