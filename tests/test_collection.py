@@ -229,3 +229,14 @@ def test_names_become_unique(spark, monkeypatch):
         k = seen[r.name] = seen.get(r.name, -1) + 1
         want.append((r.src, r.id, f"{r.name}-{k}" if k and r.name is not None else r.name))
     assert sorted(tuple(r) for r in align.make_unique(rows, "name", ["src", "id"]).collect()) == want
+
+
+def test_small_datasets_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from tessera.sources import sink
+
+    monkeypatch.setattr(sink, "TASK_ROWS", 10)
+    rows = spark.range(60).select((F.col("id") % 6).cast("int").alias("dataset_id"), F.floor(F.col("id") / 6).alias("pos"), F.col("id").alias("x"))
+    write_sharded(rows, f"{tmp_path}/w", dataset="dataset_id", n_obs_per_chunk=5)
+    files = spark.read.parquet(f"{tmp_path}/w").groupBy("dataset_id", F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).alias("task")).count().collect()
+    assert sorted((r["dataset_id"], r["count"]) for r in files) == [(k, 10) for k in range(6)]
+    assert len({r["task"] for r in files}) > 2
