@@ -166,7 +166,7 @@ class DatasetCollection:
         plan = BlockPlan(n, block, shuffle, seed, rows_per_dataset=min(n, rows_per))
         plan.check()
         dealt = plan.deal(rows)
-        self._commit(place(dealt, seed=seed, shuffle=shuffle, sort=sort_keys(dealt, keys), ids=["row_id"], n_rows=n), var, n, write)
+        self._commit(place(dealt, seed=seed, shuffle=shuffle, sort=sort_keys(dealt, keys), ids=["row_id"], n_rows=n, n_datasets=plan.datasets), var, n, write)
 
     def _append(self, parts, keys, block, shuffle, seed, write) -> None:
         check_groupby([p.rows for p in parts], keys)
@@ -189,7 +189,7 @@ class DatasetCollection:
         n_old = sum(m["rows"].values())
         if "obs_name" in both.columns:
             both = make_unique(both, "obs_name", ["_src", "dataset_id", "row_id"])
-        self._commit(place(both, seed=seed, shuffle=shuffle, sort=sort_keys(both, keys), ids=["_src", "row_id"] if shuffle else ["row_id"], n_rows=n + n_old) if shuffle or keys else _after(both), var, n + n_old, write)
+        self._commit(place(both, seed=seed, shuffle=shuffle, sort=sort_keys(both, keys), ids=["_src", "row_id"] if shuffle else ["row_id"], n_rows=n + n_old, n_datasets=k) if shuffle or keys else _after(both), var, n + n_old, write)
 
     def _commit(self, rows: DataFrame, var: DataFrame | None, n_rows: int, write: dict) -> None:
         before, run, batch = self.manifest, uuid.uuid4().hex[:12], write.pop("batch")

@@ -36,14 +36,16 @@ def below(key: Column, n: int | Column) -> Column:
     return lead(key) % n
 
 
-def ranked(df: DataFrame, key: str, n_rows: int, name: str, ties: list[str], within: list[str] | None = None) -> DataFrame:
+def ranked(df: DataFrame, key: str, n_rows: int, name: str, ties: list[str], within: list[str] | None = None, n_groups: int = 1) -> DataFrame:
     """df with ``name``: its 0-based rank by (key, ties), globally or within groups; key: hexadecimal, uniform.
 
     Small tables take one window. Large ones are cut by the keys' leading bits into ranges: ranks within a range are a window over
-    (within, range), and the ranges' offsets, one row for about 65,536 rows, are prefix sums joined back.
+    (within, range), and the ranges' offsets, one row for about 65,536 rows, are prefix sums joined back. n_groups: groups of about
+    equal size; what counts as large is one group.
     """
     within = within or []
     groups = W.partitionBy(*within) if within else W.partitionBy(F.lit(0))
+    n_rows = -(-n_rows // max(1, n_groups))
     if n_rows <= ONE_WINDOW_ROWS:
         return df.withColumn(name, (F.row_number().over(groups.orderBy(key, *ties)) - 1).cast("long"))
     bits = min(24, (n_rows // RANGE_ROWS).bit_length())

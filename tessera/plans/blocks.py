@@ -70,12 +70,12 @@ class BlockPlan:
         return own.join(F.broadcast(plan) if self.n_blocks <= BROADCAST_BLOCKS else plan, "block_id").drop("block_id")
 
 
-def place(rows: DataFrame, *, seed: int | str, shuffle: bool, sort: list[Column], ids: list[str], n_rows: int) -> DataFrame:
+def place(rows: DataFrame, *, seed: int | str, shuffle: bool, sort: list[Column], ids: list[str], n_rows: int, n_datasets: int = 1) -> DataFrame:
     """rows with ``pos``: the place within the dataset, by sort keys, then shuffled or in the order (block_pos, ids).
 
     Without sort keys a large dataset is ranked in ranges of its random keys, so no task sorts a whole dataset.
     """
     if shuffle and not sort:
-        return ranked(rows.withColumn("_key", hash_key(seed, "place", "dataset_id", *ids)), "_key", n_rows, "pos", ids, within=["dataset_id"]).drop("_key")
+        return ranked(rows.withColumn("_key", hash_key(seed, "place", "dataset_id", *ids)), "_key", n_rows, "pos", ids, within=["dataset_id"], n_groups=n_datasets).drop("_key")
     last = [hash_key(seed, "place", "dataset_id", *ids), *ids] if shuffle else ["block_pos", *ids]
     return rows.withColumn("pos", (F.row_number().over(W.partitionBy("dataset_id").orderBy(*sort, *last)) - 1).cast("long"))

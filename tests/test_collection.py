@@ -240,3 +240,12 @@ def test_small_datasets_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
     files = spark.read.parquet(f"{tmp_path}/w").groupBy("dataset_id", F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).alias("task")).count().collect()
     assert sorted((r["dataset_id"], r["count"]) for r in files) == [(k, 10) for k in range(6)]
     assert len({r["task"] for r in files}) > 2
+
+
+def test_small_datasets_are_ranked_without_ranges(spark):
+    from tessera.plans.blocks import place
+
+    rows = spark.range(40).select("id", F.col("id").alias("row_id"), F.floor(F.col("id") / 10).cast("int").alias("dataset_id"))
+    small, large = (place(rows, seed=1, shuffle=True, sort=[], ids=["row_id"], n_rows=n, n_datasets=k) for n, k in ((8_000_000, 20_000), (8_000_000, 1)))
+    assert "Join" not in small._jdf.queryExecution().optimizedPlan().toString()  # the table of ranges would have as many rows as the input
+    assert sorted((r.id, r.dataset_id, r.pos) for r in small.collect()) == sorted((r.id, r.dataset_id, r.pos) for r in large.collect())
