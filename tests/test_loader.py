@@ -107,6 +107,13 @@ def test_a_request_of_many_chunks(spark, monkeypatch):
     assert [i for i, *_ in got] == [memory[s].tolist() for s in request["splits"]]
 
 
+def test_small_requests_share_a_task(spark, monkeypatch):
+    parts, packed = [], Loader._packed
+    monkeypatch.setattr(Loader, "_packed", lambda self, dealt: parts.append(dealt.rdd.getNumPartitions()) or packed(self, dealt))
+    got = list(Loader(spark, chunk_size=5, preload_nchunks=1, batch_size=5, return_index=True).add_adata(dense(spark, 300)))
+    assert parts == [1] and [b["index"].tolist() for b in got] == [list(range(k, k + 5)) for k in range(0, 300, 5)]
+
+
 def test_replacement_repeats_rows(spark):
     loader = Loader(spark, batch_sampler=RandomSampler(5, 2, 5, replacement=True, num_samples=50, rng=2), return_index=True).add_adata(dense(spark, 12))
     got = [b["index"] for b in loader]
